@@ -16,7 +16,7 @@ ORACLES = {}
 def add(name, select, **steps):
     """Register ``select``; ``steps`` are further named queries it reads, in order."""
     texts = [*steps.values(), select]
-    views = closure([n for text in texts for n in needs(text)])
+    views = [v for v in closure([n for text in texts for n in needs(text)]) if v in VIEWS]
     parts = [f"{v} as ({VIEWS[v]})" for v in views]
     parts += [f"{step} as ({sql})" for step, sql in steps.items()]
     ORACLES[name] = (f"with {', '.join(parts)} " if parts else "") + select
@@ -242,9 +242,9 @@ add("service_count", """select account_sid, count(distinct service_sid) as servi
 # Ordered groups and deduplication
 
 _SETTINGS = f"""select distinct account_sid, service_sid, friendly_name,
- case when try_cast(json_extract_string(configuration, '{S.ENABLED_PATH}') as boolean)
+ case when try_cast(json_extract_string(configuration, '$.{S.ENABLED_FIELD}') as boolean)
   then 'enable' else 'disable' end as fraud_guard,
- json_extract_string(configuration, '{S.MODE_PATH}') as fraud_guard_mode, updated_at
+ json_extract_string(configuration, '$.{S.MODE_FIELD}') as fraud_guard_mode, updated_at
  from service_events"""
 _HISTORY = """select *, case when lag(fraud_guard_mode) over (
   partition by account_sid, service_sid
@@ -397,7 +397,7 @@ def joined(array, sep="|"):
 
 
 def matches(pattern, group=0):
-    return f"regexp_extract_all(text, {quoted(pattern)}, {group})"
+    return f"regexp_extract_all(text, {quoted(pattern[1])}, {group})"
 
 
 def sorted_set(array):
@@ -416,8 +416,8 @@ def categories(text):
 
 
 FOUND = f"""select ticket_id, turn, role, text, pairs as mcc_mnc,
- nullif(regexp_extract(text, {quoted(X.ACCOUNT_ID)}), '') as account_sid,
- {sorted_set(matches(r'\b(?:' + '|'.join(X.COUNTRIES) + r')\b'))} as country,
+ nullif(regexp_extract(text, {quoted(X.ACCOUNT_ID[1])}), '') as account_sid,
+ {sorted_set(matches(X.country_pattern()))} as country,
  {sorted_set(f"list_concat([split_part(x, '-', 1) for x in pairs], {matches(X.NAMED_MCC, 1)})")}
   as mcc,
  {sorted_set(f"list_concat([split_part(x, '-', 2) for x in pairs], {matches(X.NAMED_MNC, 1)})")}
@@ -503,7 +503,7 @@ _HELP_WORDS = sorted({*X.HELP_WORDS, *[
     w for table in (X.PRODUCT_WORDS, X.CATEGORY_PHRASES) for ws in table.values() for w in ws]})
 _CONFIRMS = r"^\s*(?:" + "|".join(X.CONFIRM_WORDS) + r")\b"
 add("route_messages", f"""select conv_id, turn, case
- when regexp_matches(text, {quoted(X.ACCOUNT_ID)}) or {any_of('lower(text)', _HELP_WORDS)}
+ when regexp_matches(text, {quoted(X.ACCOUNT_ID[1])}) or {any_of('lower(text)', _HELP_WORDS)}
   then '{HELP}'
  when regexp_matches(lower(text), {quoted(_CONFIRMS)}) and turn > 0 then '{DETAILS}'
  else '{GENERAL}' end as route from messages""")

@@ -2,7 +2,11 @@
 
 import re
 
-BASE_TABLES = ["events", "conversations"]
+BASE_TABLES = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,"
+              " value double, props string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 _ACCOUNT = "'AC' || lpad(cast(user_id as string), 6, '0')"
 _CARRIER = """cast(200 + user_id % 7 as string) as mcc,
@@ -148,12 +152,12 @@ def needs(sql):
 
 
 def closure(names):
-    """Views needed for ``names``, each after the ones it reads."""
+    """Tables and views needed for ``names``, each after the ones it reads."""
     ordered = []
 
     def visit(name):
-        if name in VIEWS and name not in ordered:
-            for inner in needs(VIEWS[name]):
+        if name not in ordered:
+            for inner in needs(VIEWS.get(name, "")):
                 visit(inner)
             ordered.append(name)
 
@@ -163,21 +167,21 @@ def closure(names):
 
 
 class Data:
-    """The derived views over one folder of tables, as DataFrames."""
+    """Given tables and derived views over one folder, read only when asked for."""
 
     def __init__(self, spark, sf_dir, **streams):
-        self.spark, self.sf_dir = spark, sf_dir
-        for name in BASE_TABLES:
-            table = streams.get(name)
-            if table is None:
-                table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-            table.createOrReplaceTempView(name)
+        self.spark, self.sf_dir, self.streams = spark, sf_dir, streams
 
     def __getattr__(self, name):
-        if name in BASE_TABLES:
-            return self.spark.table(name)
-        if name not in VIEWS:
+        if name not in VIEWS and name not in BASE_TABLES:
             raise AttributeError(name)
-        for view in closure([name]):
-            self.spark.sql(VIEWS[view]).createOrReplaceTempView(view)
+        for part in closure([name]):
+            self._frame(part).createOrReplaceTempView(part)
         return self.spark.table(name)
+
+    def _frame(self, name):
+        if name in VIEWS:
+            return self.spark.sql(VIEWS[name])
+        if name in self.streams:
+            return self.streams[name]
+        return self.spark.read.schema(BASE_TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")

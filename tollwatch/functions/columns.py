@@ -33,13 +33,17 @@ def all_of(*conditions):
     return F.lit(True) if result is None else result
 
 
-def json_flag(c, path):
-    """JSON path as boolean; null for absent, null or unreadable values."""
-    return F.get_json_object(col(c), path).try_cast("boolean")
+def json_fields(c, *names):
+    """Top-level JSON fields as a struct of text, read in one parse.
 
+    Absent and null fields are null; unreadable JSON gives only nulls.
+    """
+    return F.from_json(col(c), ", ".join(f"{name} string" for name in names))
 
-def json_text(c, path):
-    return F.get_json_object(col(c), path)
+
+def flag(c):
+    """Text as boolean, null where it is none."""
+    return col(c).try_cast("boolean")
 
 
 def joined_key(*parts, sep="_"):
@@ -86,4 +90,4 @@ def not_blank(c):
 
 def nulls_last(c):
     """Ordering value that puts nulls after everything else."""
-    return F.struct(col(c).isNull(), col(c))
+    return F.struct(col(c).isNull().alias("absent"), col(c).alias("value"))

@@ -78,16 +78,31 @@ CONFIRM_WORDS = ["yes", "correct", "confirm", "confirmed", "right", "agreed"]
 # Words that make a message a help request besides products and categories.
 HELP_WORDS = ["account sid", "error code", "fraud", "blocked", "safelist"]
 
-ACCOUNT_ID = r"\bAC[0-9A-Za-z]*[0-9][0-9A-Za-z]*"
-DASHED_NUMBERS = r"\b[0-9]+(?:-[0-9]+)+\b"
-CARRIER_PAIR = r"^[2-7][0-9]{2}-[0-9]{2,3}$"
-NAMED_MCC = r"\b[Mm][Cc][Cc][ :=]+([2-7][0-9]{2})\b"
-NAMED_MNC = r"\b[Mm][Nn][Cc][ :=]+([0-9]{2,3})\b"
-ERROR_CODE = r"\b[0-9]{5}\b"
-DATE_TEXT = (
+# Patterns, each with the characters a match may start with.
+ACCOUNT_ID = "A", r"\bAC[0-9A-Za-z]*[0-9][0-9A-Za-z]*"
+DASHED_NUMBERS = "0-9", r"\b[0-9]+(?:-[0-9]+)+\b"
+NAMED_MCC = "Mm", r"\b[Mm][Cc][Cc][ :=]+([2-7][0-9]{2})\b"
+NAMED_MNC = "Mm", r"\b[Mm][Nn][Cc][ :=]+([0-9]{2,3})\b"
+ERROR_CODE = "0-9", r"\b[0-9]{5}\b"
+DATE_TEXT = "ADFJMNOS0-9", (
     r"\b(?:January|February|March|April|May|June|July|August|September|October|November"
     r"|December)(?: [0-9]{1,2},?)?(?: [0-9]{4})?\b|\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b"
 )
+CARRIER_PAIR = r"^[2-7][0-9]{2}-[0-9]{2,3}$"
+
+
+def country_pattern(names=COUNTRIES):
+    return "".join(sorted({n[0] for n in names})), r"\b(?:" + "|".join(names) + r")\b"
+
+
+def quick(pattern):
+    """The pattern behind a look at the first character.
+
+    Most positions of a text fail on that one look, before any boundary test or
+    alternative is tried.
+    """
+    first, rest = pattern
+    return F.lit(f"(?=[{first}])(?:{rest})")
 
 
 def contains_any(lowered, words):
@@ -95,7 +110,7 @@ def contains_any(lowered, words):
 
 
 def every_match(c, pattern, group=0):
-    return F.regexp_extract_all(col(c), F.lit(pattern), group)
+    return F.regexp_extract_all(col(c), quick(pattern), group)
 
 
 def sorted_set(array):
@@ -104,8 +119,7 @@ def sorted_set(array):
 
 def account_id(text):
     """First account id, null when there is none."""
-    found = F.regexp_extract(col(text), ACCOUNT_ID, 0)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_substr(col(text), quick(ACCOUNT_ID)), F.lit(""))
 
 
 def carrier_pairs(text):
@@ -135,29 +149,18 @@ def dates(text):
 
 
 def countries(text, names=COUNTRIES):
-    return sorted_set(every_match(text, r"\b(?:" + "|".join(names) + r")\b"))
+    return sorted_set(every_match(text, country_pattern(names)))
 
 
-def labels_found(text, words_by_label):
-    """Labels with any of their words in the text, in the order of the table."""
-    lowered = F.lower(col(text))
-    hits = [F.when(contains_any(lowered, words), F.lit(label))
+def labels_found(lowered, words_by_label):
+    """Labels with any of their words in a lower-case text, in the order of the table."""
+    hits = [F.when(contains_any(col(lowered), words), F.lit(label))
             for label, words in words_by_label.items()]
     return F.array_compact(F.array(*hits))
 
 
-def products(text):
-    return labels_found(text, PRODUCT_WORDS)
-
-
-def categories(text, phrases=None):
-    found = labels_found(text, phrases or CATEGORY_PHRASES)
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(OTHERS)))
-
-
-def first_decoding(text, branches, default=None):
-    """Label of the first branch with a word in the text."""
-    lowered = F.lower(text)
+def first_decoding(lowered, branches, default=None):
+    """Label of the first branch with a word in the lower-case text."""
     chain = F
     for label, words in branches:
         chain = chain.when(contains_any(lowered, words), label)
@@ -166,12 +169,13 @@ def first_decoding(text, branches, default=None):
 
 def decode_products(answers):
     """Decoded products of an array of answers; unmatched ones go, repeats stay."""
+    lowered = F.transform(col(answers), F.lower)
     return F.array_compact(F.transform(
-        col(answers), lambda answer: first_decoding(answer, PRODUCT_DECODING)))
+        lowered, lambda answer: first_decoding(answer, PRODUCT_DECODING)))
 
 
 def decode_issue(answer):
-    return first_decoding(col(answer), ISSUE_DECODING, OTHERS)
+    return first_decoding(F.lower(col(answer)), ISSUE_DECODING, OTHERS)
 
 
 def account_id_loose(account):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tollwatch import schemas as S
-from tollwatch.functions.columns import json_flag, json_text
+from tollwatch.functions.columns import flag, json_fields
 from tollwatch.operators.filters import account_is, account_like, keep, loaded_since
 from tollwatch.operators.ordered import (
     HOT_GROUP_ROWS, dense_rank_within, hot_groups, lag_within,
@@ -57,19 +57,26 @@ def account_status(flags):
                         protection.alias("protection"), text.alias("status_text"))
 
 
+def settings_rows(events):
+    """Enabled flag and mode read from the JSON column; unreadable is disabled."""
+    settings = json_fields("configuration", S.ENABLED_FIELD, S.MODE_FIELD)
+    enabled = flag(f"_settings.{S.ENABLED_FIELD}")
+    return events.select(*SERVICE, "friendly_name", "updated_at", settings.alias("_settings")) \
+        .select(
+            *SERVICE, "friendly_name",
+            F.when(enabled, "enable").otherwise("disable").alias("fraud_guard"),
+            F.col(f"_settings.{S.MODE_FIELD}").alias("fraud_guard_mode"),
+            "updated_at",
+        )
+
+
 def service_settings(events, account_pattern=None):
-    """Distinct settings rows: enabled flag and mode read from the JSON column.
+    """Distinct settings rows.
 
     Distinct goes over the service name too, so a renamed service may show the
     same settings twice.
     """
-    flag = json_flag("configuration", S.ENABLED_PATH)
-    return keep(events, account_like(account_pattern)).select(
-        *SERVICE, "friendly_name",
-        F.when(flag, "enable").otherwise("disable").alias("fraud_guard"),
-        json_text("configuration", S.MODE_PATH).alias("fraud_guard_mode"),
-        "updated_at",
-    ).distinct()
+    return settings_rows(keep(events, account_like(account_pattern))).distinct()
 
 
 def mode_change(settings, hot=None):
@@ -92,8 +99,12 @@ def rank_by_update(settings, hot=None):
 def service_history(events, account_pattern=None, hot_rows=HOT_GROUP_ROWS):
     """Settings history of every service with its mode changes."""
     rows = keep(events, account_like(account_pattern))
-    settings = service_settings(rows)
-    history = mode_change(settings, hot_groups(rows, SERVICE, hot_rows))
+    hot = hot_groups(rows, SERVICE, hot_rows)
+    settings = settings_rows(rows)
+    if hot is None:
+        # One shuffle by service serves the distinct and the window.
+        settings = settings.repartition(*SERVICE)
+    history = mode_change(settings.distinct(), hot)
     return history.select(*SERVICE, "fraud_guard", "fraud_guard_mode", "updated_at",
                           "mode_change")
 

@@ -18,9 +18,20 @@ def join_friendly_name(df, names):
                                    F.col("account_sid")))
     lookup = names.groupBy("account_sid").agg(
         F.count(F.lit(1)).alias("_n"), F.max("friendly_name").alias("_name"),
-    ).select("account_sid", F.when(F.col("_n") > 1, twice).otherwise(F.col("_name"))
-             .alias("friendly_name"))
-    return df.drop("friendly_name").join(lookup, "account_sid", "left")
+    ).select(F.col("account_sid").alias("_account"),
+             F.when(F.col("_n") > 1, twice).otherwise(F.col("_name")).alias("friendly_name"))
+    rows = df.drop("friendly_name")
+    return rows.join(lookup, splittable("account_sid", "_account"), "left").drop("_account")
+
+
+def splittable(left, right):
+    """Join condition that leaves hot keys of the left side to adaptive skew splitting.
+
+    Splitting needs a shuffle directly under each side of the join. A plain
+    equality would reuse the partitioning of a right side that was just grouped
+    by the key; the null-safe form does not.
+    """
+    return F.col(left).eqNullSafe(F.col(right))
 
 
 def skiplist_anti(df, skiplist):
@@ -28,7 +39,7 @@ def skiplist_anti(df, skiplist):
     if skiplist is None:
         return df
     listed = skiplist.select(F.col("prefix").alias("_prefix")).distinct()
-    return df.join(listed, df["phone_prefix"].eqNullSafe(F.col("_prefix")), "left_anti")
+    return df.join(listed, splittable("phone_prefix", "_prefix"), "left_anti")
 
 
 def prefix_merge(df, key, record="record_time", expiry="expiry_time"):
@@ -131,10 +142,11 @@ def check_block_list(df, keys):
     stored = keys.where(F.col("key").endswith("x")).select(
         F.col("key").alias("_prefix"),
         F.explode(F.split("mnc", ",")).alias("_mnc")).distinct()
+    # No stored prefix or mnc is null, so a null never matches.
     droppable = ~F.col("mode").eqNullSafe(F.lit("good"))
     result = df
     for prefix in ("phone_prefix", "higher_prefix"):
-        hit = (F.col(prefix) == F.col("_prefix")) & (F.col("mnc") == F.col("_mnc"))
+        hit = splittable(prefix, "_prefix") & splittable("mnc", "_mnc")
         result = result.join(stored, hit & droppable, "left_anti")
     return result
 
@@ -144,7 +156,8 @@ def check_allow_list(df, keys, hash_keys=False):
     listed = keys.where(F.col("key").startswith("allow")).select(
         F.col("key").alias("_key")).distinct()
     number = allow_key("phone_number", hash_keys)
-    return df.join(listed, number == F.col("_key"), "left_anti")
+    keyed = df.withColumn("_number", number)
+    return keyed.join(listed, splittable("_number", "_key"), "left_anti").drop("_number")
 
 
 def delete_keys(state, df, column):

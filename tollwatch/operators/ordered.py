@@ -23,9 +23,8 @@ def hot_groups(df, keys, limit=HOT_GROUP_ROWS):
     Reads the key columns only. The result has fewer than ``rows / limit``
     rows, so it may be broadcast.
     """
-    hot = checkpointed(
-        df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys))
-    return None if hot.isEmpty() else hot
+    hot = df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
+    return None if hot.isEmpty() else checkpointed(hot)
 
 
 def _same(df, prefix, keys):

@@ -25,9 +25,10 @@ def dedupe_key(df, key, order=()):
     rest = [c for c in df.columns if c not in key]
     if not rest:
         return df.distinct()
-    first = F.min_by(F.struct(*rest), F.struct(*order, *[nulls_last(c) for c in rest]))
-    reduced = df.groupBy(*key).agg(first.alias("_row")).select(*key, "_row.*")
-    return reduced.select(*df.columns)
+    first = F.min(F.struct(*order, *[nulls_last(c).alias(f"_{c}") for c in rest]))
+    reduced = df.groupBy(*key).agg(first.alias("_row"))
+    return reduced.select(*[
+        F.col(c) if c in key else F.col(f"_row._{c}.value").alias(c) for c in df.columns])
 
 
 def dedupe_latest_expiry(df, key=S.STATE_KEY):

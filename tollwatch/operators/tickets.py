@@ -43,12 +43,25 @@ def ticket_fields(tickets, countries=None):
     )
 
 
+def with_labels(df, text, name, words_by_label):
+    """Add the labels found in a text.
+
+    The lower-case text is a column of its own: as part of every word test it
+    would be computed once per word.
+    """
+    lowered = df.withColumn("_lower", F.lower(col(text)))
+    return lowered.withColumn(name, X.labels_found("_lower", words_by_label)).drop("_lower")
+
+
 def ticket_products(tickets, text="text"):
-    return tickets.withColumn("products", X.products(text))
+    return with_labels(tickets, text, "products", X.PRODUCT_WORDS)
 
 
 def ticket_categories(tickets, text="text", name="categories", phrases=None):
-    return tickets.withColumn(name, X.categories(text, phrases))
+    """Categories found in the text; ``Others`` when there is none."""
+    found = with_labels(tickets, text, "_labels", phrases or X.CATEGORY_PHRASES)
+    some = F.when(F.size("_labels") > 0, F.col("_labels")).otherwise(F.array(F.lit(X.OTHERS)))
+    return found.withColumn(name, some).drop("_labels")
 
 
 def account_id_check(df, account="account_sid"):
@@ -139,18 +152,18 @@ def route_messages(messages, first_turn=0):
     Anything with an account id or a triage keyword is a help request, also
     when it starts like a confirmation. A confirmation needs an earlier turn.
     """
-    lowered = F.lower(F.col("text"))
+    lowered = F.col("_lower")
     words = [w for table in (X.PRODUCT_WORDS, X.CATEGORY_PHRASES) for ws in table.values()
              for w in ws]
     help_request = X.account_id("text").isNotNull() | X.contains_any(
         lowered, sorted({*words, *X.HELP_WORDS}))
     confirms = F.regexp_like(
         lowered, F.lit(r"^\s*(?:" + "|".join(X.CONFIRM_WORDS) + r")\b"))
-    return messages.withColumn(
+    return messages.withColumn("_lower", F.lower("text")).withColumn(
         "route",
         F.when(help_request, HELP)
         .when(confirms & (F.col("turn") > first_turn), DETAILS)
-        .otherwise(GENERAL))
+        .otherwise(GENERAL)).drop("_lower")
 
 
 def transcript(messages, turns_per_page=100):

@@ -50,11 +50,11 @@ ACCOUNT_RECORD = _struct(
 ISSUE_RECORD = _struct(category=STRS, reason=STR)
 PRODUCT_RECORD = _struct(result=STRS)
 
-# Products, JSON paths and reasons as stored in the tables.
+# Products, JSON fields and reasons as stored in the tables.
 VERIFY = "Verify"
 MESSAGING = "Messaging"
-ENABLED_PATH = "$.allowTollFraudAutoBlockingEnabled"
-MODE_PATH = "$.fraudGuardMode"
+ENABLED_FIELD = "allowTollFraudAutoBlockingEnabled"
+MODE_FIELD = "fraudGuardMode"
 
 ALLOWED = ""
 PREFIX_BLOCK = "FraudGuardPrefixBlock"

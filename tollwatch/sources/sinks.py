@@ -24,14 +24,18 @@ def read_appended(spark, path):
 
 
 def write_run(df, base, kind, run_at=None):
-    """Append one run's rows under kind / date / minute."""
+    """Write one run's rows under kind / date / minute.
+
+    A run repeated within the minute replaces what it wrote; other runs stay.
+    """
     run = as_timestamp(run_at)
     stamped = (
         df.withColumn("kind", F.lit(kind))
         .withColumn("run_date", F.date_format(run, "yyyy-MM-dd"))
         .withColumn("run_time", F.date_format(run, RUN_TIME_FORMAT))
     )
-    stamped.write.mode("append").partitionBy(*RUN_PARTS).parquet(base)
+    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy(*RUN_PARTS).parquet(base)
 
 
 def run_snapshot(df, base, key, run_at=None):
