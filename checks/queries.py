@@ -369,15 +369,15 @@ def traffic_by_code(d):
 
 @query
 def mode_change(d):
-    hot = accounts.hot_groups(d.service_events, accounts.SERVICE)
-    return accounts.mode_change(accounts.service_settings(d.service_events), hot)
+    rows, hot = accounts.split_hot(d.service_events, accounts.SERVICE)
+    hot = None if hot is None else accounts.service_settings(hot)
+    return accounts.mode_change(accounts.service_settings(rows), hot)
 
 
 @query
 def rank_by_update(d):
-    hot = accounts.hot_groups(d.service_events, ["account_sid"])
-    rows = d.service_events.select("account_sid", "service_sid", "updated_at")
-    return accounts.rank_by_update(rows, hot)
+    return accounts.rank_by_update(
+        d.service_events.select("account_sid", "service_sid", "updated_at"))
 
 
 @query

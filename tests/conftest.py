@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -12,9 +11,7 @@ from tollwatch.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    shared = tempfile.mkdtemp(prefix="tollwatch-tests-")
-    session = local_session(
-        "tests", 8, 4, **{"spark.checkpoint.dir": f"file:{shared}/checkpoints"})
+    session = local_session("tests", 8, 4)
     yield session
     session.stop()
 

@@ -8,7 +8,7 @@ from conftest import rows
 
 from tollwatch import schemas as S
 from tollwatch.operators import accounts
-from tollwatch.operators.ordered import dense_rank_within, hot_groups, lag_within
+from tollwatch.operators.ordered import dense_rank_within, lag_within, split_hot
 
 T0 = datetime(2024, 1, 1)
 
@@ -69,7 +69,7 @@ def skewed(seed=1):
 def test_hot_services_give_the_same_history(spark, limit):
     data = skewed()
     frame = spark.createDataFrame(data, S.SERVICE_EVENTS)
-    assert hot_groups(frame, accounts.SERVICE, limit) is not None
+    assert split_hot(frame, accounts.SERVICE, limit)[1] is not None
     plain = history(spark, data, hot_rows=10**9)
     assert rows(history(spark, data, hot_rows=limit)) == rows(plain)
 
@@ -80,8 +80,9 @@ def test_hot_accounts_give_the_same_rank(spark, limit):
             for i, m in enumerate(random.Random(2).choices(range(40), k=900))]
     frame = spark.createDataFrame(data, "account_sid string, updated_at timestamp, n int")
     plain = dense_rank_within(frame, ["account_sid"], "updated_at", "r")
-    hot = hot_groups(frame, ["account_sid"], limit)
-    ranged = dense_rank_within(frame, ["account_sid"], "updated_at", "r", hot)
+    cold, hot = split_hot(frame, ["account_sid"], limit)
+    assert hot is not None
+    ranged = dense_rank_within(cold, ["account_sid"], "updated_at", "r", hot)
     assert rows(ranged) == rows(plain)
     by_hand = {}
     for account, moment, _ in data:
@@ -93,8 +94,8 @@ def test_hot_accounts_give_the_same_rank(spark, limit):
 
 def test_hot_lag_spreads_over_ranges(spark):
     frame = spark.range(4000).selectExpr("'k' as key", "id as moment", "id % 7 as value")
-    hot = hot_groups(frame, ["key"], 10)
-    got = lag_within(frame, ["key"], ["moment", "value"], "value", "before", hot)
+    cold, hot = split_hot(frame, ["key"], 10)
+    got = lag_within(cold, ["key"], ["moment", "value"], "value", "before", hot)
     assert got.where("before <=> case when moment = 0 then null else (moment - 1) % 7 end") \
         .count() == 4000
 

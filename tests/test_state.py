@@ -154,6 +154,18 @@ def test_uncommitted_version_is_not_seen(spark, path):
     assert versions.read_version(spark, path("nothing")) is None
 
 
+def test_old_versions_are_dropped_on_request(spark, path):
+    store = path("state")
+    for hours in (10, 20, 30):
+        versions.overwrite_state(state_frame(spark, ("a", 0, hours)), store)
+    assert versions.drop_old_versions(spark, store, keep=2) == [1]
+    assert versions.committed_versions(spark, store) == [2, 3]
+    assert versions.read_version(spark, store, at_most=1) is None
+    assert expiries(versions.read_version(spark, store)) == {"a": 30}
+    with pytest.raises(ValueError):
+        versions.drop_old_versions(spark, store, keep=0)
+
+
 def test_optional_source(spark, path):
     empty = tables.read_if_exists(spark, path("absent"), S.SKIPLIST)
     assert empty.count() == 0 and empty.columns == ["prefix"]

@@ -6,7 +6,7 @@ from tollwatch import schemas as S
 from tollwatch.functions.columns import flag, json_fields
 from tollwatch.operators.filters import account_is, account_like, keep, loaded_since
 from tollwatch.operators.ordered import (
-    HOT_GROUP_ROWS, dense_rank_within, hot_groups, lag_within,
+    HOT_GROUP_ROWS, dense_rank_within, lag_within, split_hot,
 )
 
 SERVICE = ["account_sid", "service_sid"]
@@ -82,7 +82,8 @@ def service_settings(events, account_pattern=None):
 def mode_change(settings, hot=None):
     """Flag rows whose mode differs from the row before of the same service.
 
-    A null mode on either side is no change.
+    A null mode on either side is no change. ``hot`` holds the settings of
+    services with very many rows, split off by ``split_hot``.
     """
     order = ["updated_at", "fraud_guard_mode", "fraud_guard", "friendly_name"]
     marked = lag_within(settings, SERVICE, order, "fraud_guard_mode", "_previous", hot)
@@ -91,20 +92,18 @@ def mode_change(settings, hot=None):
         "mode_change", F.when(changed, CHANGE).otherwise(NO_CHANGE)).drop("_previous")
 
 
-def rank_by_update(settings, hot=None):
+def rank_by_update(updates, hot_rows=HOT_GROUP_ROWS):
     """Dense rank of updates per account, newest first."""
-    return dense_rank_within(settings, ["account_sid"], "updated_at", "rank_desc", hot)
+    rows, hot = split_hot(updates, ["account_sid"], hot_rows)
+    return dense_rank_within(rows, ["account_sid"], "updated_at", "rank_desc", hot)
 
 
 def service_history(events, account_pattern=None, hot_rows=HOT_GROUP_ROWS):
     """Settings history of every service with its mode changes."""
-    rows = keep(events, account_like(account_pattern))
-    hot = hot_groups(rows, SERVICE, hot_rows)
-    settings = settings_rows(rows)
-    if hot is None:
-        # One shuffle by service serves the distinct and the window.
-        settings = settings.repartition(*SERVICE)
-    history = mode_change(settings.distinct(), hot)
+    rows, hot = split_hot(keep(events, account_like(account_pattern)), SERVICE, hot_rows)
+    # One shuffle by service serves both the distinct and the window.
+    settings = settings_rows(rows).repartition(*SERVICE).distinct()
+    history = mode_change(settings, None if hot is None else service_settings(hot))
     return history.select(*SERVICE, "fraud_guard", "fraud_guard_mode", "updated_at",
                           "mode_change")
 

@@ -11,37 +11,37 @@ from functools import reduce
 
 from pyspark.sql import Window, functions as F
 
-from tollwatch.session import checkpointed
+from tollwatch.session import checkpointed, written
 
 HOT_GROUP_ROWS = 5_000_000
 RANGE = "_range"
 
 
-def hot_groups(df, keys, limit=HOT_GROUP_ROWS):
-    """Keys with more than ``limit`` rows, or None when there is none.
+def split_hot(df, keys, limit=HOT_GROUP_ROWS):
+    """Rows of groups up to ``limit`` rows, and those of larger groups or None.
 
-    Reads the key columns only. The result has fewer than ``rows / limit``
-    rows, so it may be broadcast.
+    Counting reads the key columns only. Fewer than ``rows / limit`` keys are
+    hot, so that list may be broadcast. Split before costly projections: each
+    part computes its own rows only.
     """
-    hot = df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
-    return None if hot.isEmpty() else checkpointed(hot)
+    hot = df.groupBy(*keys).count().where(F.col("count") > limit).select(
+        *[F.col(k).alias("_h_" + k) for k in keys])
+    if hot.isEmpty():
+        return df, None
+    listed = F.broadcast(checkpointed(hot))
+    match = _same(df, "_h_", keys)
+    return df.join(listed, match, "left_anti"), df.join(listed, match, "left_semi")
 
 
 def _same(df, prefix, keys):
     return reduce(lambda a, b: a & b, [df[k].eqNullSafe(F.col(prefix + k)) for k in keys])
 
 
-def _split(df, hot, keys):
-    small = F.broadcast(hot.select(*[F.col(k).alias("_h_" + k) for k in keys]))
-    match = _same(df, "_h_", keys)
-    return df.join(small, match, "left_anti"), df.join(small, match, "left_semi")
-
-
 def _ranged(df, keys, order):
     """Rows cut into ranges of (keys, order), kept so that all readers see the same cuts."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
-    return checkpointed(cut.withColumn(RANGE, F.spark_partition_id()))
+    return written(cut.withColumn(RANGE, F.spark_partition_id()), "ranges")
 
 
 def _with_carry(df, carry, keys):
@@ -56,7 +56,8 @@ def _with_carry(df, carry, keys):
 def lag_within(df, keys, order, value, name, hot=None):
     """Add ``name``: ``value`` of the row before, by ``order`` columns, ascending.
 
-    ``order`` must tell any two rows of a group apart, or they must be equal.
+    ``df`` and ``hot`` are the two parts of ``split_hot``. ``order`` must tell
+    any two rows of a group apart, or they must be equal.
     """
     def plain(rows):
         window = Window.partitionBy(*keys).orderBy(*order)
@@ -74,7 +75,7 @@ def lag_within(df, keys, order, value, name, hot=None):
         previous = F.when(F.col("_nth") == 1, F.col("_carry")).otherwise(F.col("_before"))
         return joined.withColumn(name, previous).drop(RANGE, "_before", "_nth", "_carry")
 
-    return _by_size(df, keys, hot, plain, by_range)
+    return _joined(plain(df), hot, by_range)
 
 
 def dense_rank_within(df, keys, column, name, hot=None):
@@ -106,11 +107,8 @@ def dense_rank_within(df, keys, column, name, hot=None):
         rank = F.col("_local") + F.col("_offset")
         return joined.withColumn(name, rank.cast("long")).drop(RANGE, "_local", "_offset")
 
-    return _by_size(df, keys, hot, plain, by_range)
+    return _joined(plain(df), hot, by_range)
 
 
-def _by_size(df, keys, hot, plain, by_range):
-    if hot is None:
-        return plain(df)
-    cold_rows, hot_rows = _split(df, hot, keys)
-    return plain(cold_rows).unionByName(by_range(hot_rows))
+def _joined(cold_result, hot, by_range):
+    return cold_result if hot is None else cold_result.unionByName(by_range(hot))

@@ -17,15 +17,18 @@ def _path(spark, text):
     return spark._jvm.org.apache.hadoop.fs.Path(text)
 
 
-def latest_version(spark, path, at_most=None):
-    """Highest committed version, or None."""
+def committed_versions(spark, path):
+    """Numbers of the committed versions, ascending."""
     fs, markers = _fs(spark, f"{path}/_committed")
     if not fs.exists(markers):
-        return None
-    found = [int(status.getPath().getName()) for status in fs.listStatus(markers)]
-    if at_most is not None:
-        found = [v for v in found if v <= at_most]
-    return max(found, default=None)
+        return []
+    return sorted(int(status.getPath().getName()) for status in fs.listStatus(markers))
+
+
+def latest_version(spark, path, at_most=None):
+    """Highest committed version, or None."""
+    found = [v for v in committed_versions(spark, path) if at_most is None or v <= at_most]
+    return found[-1] if found else None
 
 
 def read_version(spark, path, schema=None, at_most=None):
@@ -51,3 +54,18 @@ def overwrite_state(df, path, version=None):
     fs, _ = _fs(spark, path)
     fs.create(_path(spark, f"{path}/_committed/{version}"), repeat).close()
     return version
+
+
+def drop_old_versions(spark, path, keep=2):
+    """Delete all but the newest ``keep`` committed versions.
+
+    Frames over an older version can no longer be read afterwards.
+    """
+    if keep < 1:
+        raise ValueError("at least one version must be kept")
+    dropped = committed_versions(spark, path)[:-keep]
+    fs, _ = _fs(spark, path)
+    for version in dropped:
+        fs.delete(_path(spark, f"{path}/_committed/{version}"), False)
+        fs.delete(_path(spark, f"{path}/version={version}"), True)
+    return dropped

@@ -8,12 +8,9 @@ from tollwatch.sources.versions import overwrite_state
 
 
 def stream_daily_metrics(events, preset=S.DAILY_VERIFY):
-    """Counters per event day; state is one row per day, so late events are kept."""
-    day = F.window("event_ts", "1 day")
-    counted = events.groupBy(day.alias("_day")).agg(
+    """Counters per load date; state is one row per date, so late events are kept."""
+    return events.groupBy("data_load_date").agg(
         *reason_counters(preset), F.count(F.lit(1)).alias("total_traffic"))
-    return counted.select(F.to_date("_day.start").alias("data_load_date"),
-                          *preset, "total_traffic")
 
 
 def start_daily_metrics(events, path, checkpoint, preset=S.DAILY_VERIFY, **trigger):
