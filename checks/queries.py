@@ -649,7 +649,8 @@ def ticket_summary(d):
 
 @query
 def account_page(d):
-    return _report(d)["status"].join(_report(d)["service_count"], "account_sid", "left")
+    report = _report(d)
+    return report["status"].join(report["service_count"], "account_sid", "left")
 
 
 # Streams

@@ -16,6 +16,7 @@ def local_session(app="tollwatch", cpus="*", partitions=8, memory="8g", **conf):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

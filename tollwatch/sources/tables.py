@@ -31,7 +31,7 @@ def read_like(spark, path, like):
 
 
 def read_if_exists(spark, path, schema):
-    """Parquet at ``path``, or None-row frame of ``schema`` where there is none.
+    """Parquet at ``path``, or an empty frame of ``schema`` where there is none.
 
     Only absence counts; any other failure is raised.
     """
