@@ -2,7 +2,7 @@
 
 import pyspark.sql.functions as F
 
-from tollwatch.llm import attention, licenses, mixing, rules, samples, tokens
+from tollwatch.llm import attention, licenses, mixing, rules, samples, substrings, tokens
 
 #: Shares of characters by source; the first source holds a third of all rows.
 TARGETS = {"src0": 0.2, "src1": 0.1, "src2": 0.1, "src3": 0.1}
@@ -33,6 +33,10 @@ def op5_quality_rules(spark, sf_dir):
     return rules.judge(docs, rules.fit_rules(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return substrings.dedup_substrings(_table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op9_quality_classifier(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     model = attention.fit_quality(docs, _table(spark, sf_dir, "labels"))
@@ -45,8 +49,8 @@ def op10_license_scan(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op5_quality_rules, op6_token_files, op9_quality_classifier,
-    op10_license_scan)}
+    op1_mix_sources, op5_quality_rules, op6_token_files, op8_substring_dedup,
+    op9_quality_classifier, op10_license_scan)}
 
 OP1_SQL = """
 with recursive target(source, weight) as (
@@ -78,4 +82,22 @@ select doc_id, text, lang, source, n_chars, cast(r.copy as int) as copy,
 from counted, lateral (select unnest(range(1, cast(n as bigint) + 1)) as copy) r
 """
 
-ORACLES = {"op1_mix_sources": OP1_SQL}
+OP8_SQL = r"""
+with doc as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+    lambda w: w <> '') as w, row_number() over () as r from documents),
+win as (
+  select r, i, md5(array_to_string(w[i:i + 34], ' ')) as h
+  from doc, lateral (select unnest(range(1, len(w) - 33)) as i)),
+dup as (select h from win group by h having count(*) > 1),
+gone as (
+  select distinct r, i + j as p from win semi join dup using (h), range(0, 35) t(j)),
+lost as (select r, list(p) as p from gone group by r)
+select doc_id, cast(len(w) as bigint) as n_words,
+  cast(coalesce(len(p), 0) as bigint) as n_removed,
+  sha256(array_to_string(case when p is null then w else
+    [w[k] for k in range(1, len(w) + 1) if not list_contains(p, k)] end, ' ')) as kept_sha256
+from doc left join lost using (r)
+"""
+
+ORACLES = {"op1_mix_sources": OP1_SQL, "op8_substring_dedup": OP8_SQL}
