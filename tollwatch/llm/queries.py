@@ -2,12 +2,17 @@
 
 import pyspark.sql.functions as F
 
-from tollwatch.llm import attention, licenses, mixing, rules, samples, substrings, tokens
+from tollwatch.llm import (
+    attention, licenses, mixing, pseudonyms, rules, samples, substrings, tokens, urls,
+)
 
 #: Shares of characters by source; the first source holds a third of all rows.
 TARGETS = {"src0": 0.2, "src1": 0.1, "src2": 0.1, "src3": 0.1}
 OTHER = 0.5
 
+#: Key of the check query; a real run gives its own secret.
+PSEUDONYM_KEY = "check-key"
+
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,11 +33,23 @@ def op6_token_files(spark, sf_dir):
     return tokens.read_tokens(spark, tokens.write_tokens(docs, tokenizer_path()))
 
 
+def op4_url_filter(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages")
+    return urls.judge_urls(pages, urls.fit_urls(pages))
+
+
 def op5_quality_rules(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return rules.judge(docs, rules.fit_rules(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_pseudonyms(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pseudonyms.pseudonymize(docs, PSEUDONYM_KEY)
+    return found.select("doc_id", "text", F.aggregate(
+        F.map_values("pii"), F.lit(0), lambda a, b: a + b).alias("n_replaced"))
+
+
 def op8_substring_dedup(spark, sf_dir):
     return substrings.dedup_substrings(_table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -49,8 +66,8 @@ def op10_license_scan(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op5_quality_rules, op6_token_files, op8_substring_dedup,
-    op9_quality_classifier, op10_license_scan)}
+    op1_mix_sources, op4_url_filter, op5_quality_rules, op6_token_files, op7_pseudonyms,
+    op8_substring_dedup, op9_quality_classifier, op10_license_scan)}
 
 OP1_SQL = """
 with recursive target(source, weight) as (
