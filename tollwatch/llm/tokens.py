@@ -16,21 +16,28 @@ import json
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
+import regex
 from pyspark import TaskContext
+from tokenizers import Tokenizer, pre_tokenizers
 
 from tollwatch.session import fresh_path
 
 #: Words that a worker keeps with their ids; the memory is emptied beyond it.
-KEPT_WORDS = 1 << 19
+KEPT_WORDS = 1 << 20
+#: Words of characters before this one take the short way.
+PLAIN_END = "\u0250"
+# Fixed value: the split pattern of byte-level tokenizers.
+SPLIT = regex.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 DOC = np.dtype([("doc_id", "<i8"), ("known", "u1")])
 PARTS = "part long, n_docs long, n_ids long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
-_UNSURE = re.compile(r"^ | $|\s | \s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -44,65 +51,93 @@ def mounted(path):
     return path
 
 
+class Words(dict):
+    """Ids, as bytes, of words that follow a single space, found when first asked for.
+
+    The value is None for what is no word: white space stands at an end of it.
+    """
+
+    def __init__(self, library, code):
+        self.library, self.code, self.tokens = library, code, library.model.tokenize
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(ord(PLAIN_END))}
+        self.parts = {}
+
+    def whole(self, piece):
+        """Ids of a piece that the split pattern leaves whole."""
+        ids = [t.id for t in self.tokens(piece.translate(self.letters))]
+        return array(self.code, ids).tobytes()
+
+    def part(self, piece):
+        if piece[0] == " " and piece[1:].isalpha():
+            return self[piece[1:]]
+        found = self.parts.get(piece)
+        if found is None:
+            if len(self.parts) > KEPT_WORDS:
+                self.parts.clear()
+            found = self.parts[piece] = self.whole(piece)
+        return found
+
+    def __missing__(self, word):
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        if not word or word[0].isspace() or word[-1].isspace():
+            found = None
+        elif not word.isascii() and max(word) >= PLAIN_END or "<|" in word:
+            ids = self.library.encode(" " + word, add_special_tokens=False).ids
+            found = array(self.code, ids).tobytes()
+        elif word.isalpha():
+            found = self.whole(" " + word)
+        elif word[-1] in ".," and word[:-1].isalpha():
+            found = self[word[:-1]] + self.part(word[-1])
+        else:
+            found = b"".join(map(self.part, SPLIT.findall(" " + word)))
+        self[word] = found
+        return found
+
+
 class Encoder:
     """Ids of whole texts as bytes.
 
     A byte-level tokenizer with the usual split pattern never joins what stands
-    on both sides of a single space, so the pieces between spaces are encoded
-    once each by the library and looked up later.
+    on both sides of a single space, so the words between spaces are encoded
+    by the library's model once each and looked up later. Other tokenizers get
+    whole texts.
     """
 
     def __init__(self, tokenizer):
-        from tokenizers import Tokenizer
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(tokenizer)
         setup = json.loads(self.library.to_str())
         self.splits = (setup["normalizer"] is None and setup["pre_tokenizer"] == {
             "type": "ByteLevel", "add_prefix_space": False,
-            "trim_offsets": setup["pre_tokenizer"].get("trim_offsets"), "use_regex": True})
+            "trim_offsets": setup["pre_tokenizer"].get("trim_offsets"), "use_regex": True}
+            and all(t["content"].startswith("<|") for t in setup["added_tokens"]))
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kept = {}
-
-    def pieces(self, text):
-        """What stands before the first cut, and what follows the space of each cut."""
-        if not self.splits:
-            return text, []
-        if _UNSURE.search(text):
-            head, *rest = _CUT.split(text)
-            return head, [r[1:] for r in rest]
-        head, *rest = text.split(" ")
-        return head, rest
-
-    def learn(self, words):
-        """Keep the ids of words that follow a space; thousands are encoded as one text."""
-        ends_in_space = [w for w in words if w[-1].isspace()]
-        for w, e in zip(ends_in_space, self.plain([" " + w for w in ends_in_space]), strict=True):
-            self.kept[w] = e
-        words = [w for w in words if not w[-1].isspace()]
-        for low in range(0, len(words), 4096):
-            own = words[low:low + 4096]
-            found = self.library.encode(" " + " ".join(own), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in own[:-1])])
-            cuts = np.searchsorted(np.array(found.offsets)[:, 0], [*starts[1:], np.inf])
-            ids, size = np.array(found.ids, self.dtype).tobytes(), self.dtype.itemsize
-            self.kept.update((w, ids[a * size:b * size]) for w, (a, b) in zip(
-                own, itertools.pairwise([0, *cuts.tolist()]), strict=True))
+        self.words = Words(self.library, "H" if self.dtype.itemsize == 2 else "I")
 
     def plain(self, texts):
         encoded = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
 
+    def cut(self, text):
+        """Ids of a text with other white space than single spaces between words."""
+        head, *rest = _CUT.split(text)
+        last = self.plain([rest.pop()]) if rest else []
+        return b"".join([*self.plain([head]), *[self.words[r[1:]] for r in rest], *last])
+
     def encode(self, texts):
-        pieces = [self.pieces(t) for t in texts]
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        self.learn(list(set(itertools.chain.from_iterable(
-            rest for _, rest in pieces)).difference(self.kept)))
-        kept = self.kept.__getitem__
-        heads = self.plain([head for head, _ in pieces])
-        return [b"".join([head, *map(kept, rest)])
-                for head, (_, rest) in zip(heads, pieces, strict=True)]
+        if not self.splits:
+            return self.plain(texts)
+        words = [t.split(" ") for t in texts]
+        heads = self.plain([w[0] for w in words])
+        ids, out = self.words.__getitem__, []
+        for text, head, own in zip(texts, heads, words, strict=True):
+            own[0] = "" if len(own) > 1 and (not own[0] or own[0][-1].isspace()) else own[0]
+            found = [head, *map(ids, own[1:])]
+            out.append(self.cut(text) if len(own) > 1 and (not own[0] or None in found)
+                       else b"".join(found))
+        return out
 
 
 @functools.lru_cache(2)
