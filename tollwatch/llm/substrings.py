@@ -19,7 +19,7 @@ from tollwatch.llm.words import Texts, chunks, covered
 #: Period and residues of a perfect difference set: every difference modulo 21 occurs.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 #: Bits of the broadcast filter, and the share of set bits up to which it is used.
-FILTER_BITS, FILTER_FILL = 1 << 28, 0.5
+FILTER_BITS, FILTER_FILL = 1 << 26, 0.5
 
 
 def is_difference_cover(period, cover):
@@ -80,9 +80,9 @@ def _filter(repeated):
     words = repeated.select(F.explode(two).alias("b")).select(
         F.shiftright("b", 6).cast("int").alias("w"),
         F.expr("shiftleft(1L, cast(b & 63 as int))").alias("v"),
-    ).groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
+    ).groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
     bitmap = np.zeros(FILTER_BITS // 64, np.uint64)
-    bitmap[words["w"].to_numpy(int)] = words["v"].to_numpy(np.int64).view(np.uint64)
+    bitmap[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
     used = sum(int(np.bitwise_count(part).sum()) for part in np.array_split(bitmap, 64))
     return bitmap if used <= FILTER_FILL * FILTER_BITS else None
 
