@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept.
 """
 
-from tollwatch.llm import attention, mixing, tokens
+from tollwatch.llm import attention, darts, mixing, templates, tokens
 from tollwatch.llm.queries import OTHER, TARGETS, tokenizer_path
 
 
@@ -13,6 +13,16 @@ def quality(spark, docs, sf_dir):
     return attention.reject_low_quality(docs, attention.fit_quality(docs, labels))
 
 
+def near_dedup(spark, docs, sf_dir):
+    """One document of each group of near copies."""
+    return darts.keep_one(docs)
+
+
+def decontaminate(spark, docs, sf_dir):
+    """Documents that hold no benchmark item."""
+    return templates.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix(spark, docs, sf_dir):
     """Documents repeated to the target weights of their sources, in random order."""
     return mixing.mix_sources(docs, TARGETS, OTHER).select(docs.columns)
@@ -23,7 +33,11 @@ def token_files(spark, docs, sf_dir):
     return tokens.read_tokens(spark, tokens.write_tokens(docs, tokenizer_path()))
 
 
-STAGES = [("quality classifier", quality), ("mixing sources", mix), ("token files", token_files)]
+STAGES = [
+    ("quality classifier", quality), ("near-duplicate removal", near_dedup),
+    ("benchmark decontamination", decontaminate), ("mixing sources", mix),
+    ("token files", token_files),
+]
 
 #: SQL expresses neither the classifier nor the tokenizer; tests hold them against plain forms.
 ORACLE_SQL = None

@@ -3,7 +3,8 @@
 import pyspark.sql.functions as F
 
 from tollwatch.llm import (
-    attention, licenses, mixing, pseudonyms, rules, samples, substrings, tokens, urls,
+    attention, darts, licenses, mixing, pseudonyms, rules, samples, substrings, templates, tokens,
+    urls,
 )
 
 #: Shares of characters by source; the first source holds a third of all rows.
@@ -33,6 +34,14 @@ def op6_token_files(spark, sf_dir):
     return tokens.read_tokens(spark, tokens.write_tokens(docs, tokenizer_path()))
 
 
+def op2_near_duplicates(spark, sf_dir):
+    return darts.classes(_table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark, sf_dir):
+    return templates.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_url_filter(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages")
     return urls.judge_urls(pages, urls.fit_urls(pages))
@@ -66,8 +75,9 @@ def op10_license_scan(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op4_url_filter, op5_quality_rules, op6_token_files, op7_pseudonyms,
-    op8_substring_dedup, op9_quality_classifier, op10_license_scan)}
+    op1_mix_sources, op2_near_duplicates, op3_decontamination, op4_url_filter, op5_quality_rules,
+    op6_token_files, op7_pseudonyms, op8_substring_dedup, op9_quality_classifier,
+    op10_license_scan)}
 
 OP1_SQL = """
 with recursive target(source, weight) as (
