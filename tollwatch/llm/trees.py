@@ -60,7 +60,6 @@ def fit(x, y, signs=None, trees=60, depth=3, rate=0.15, n_bins=64, penalty=1.0,
     Without both labels the score is the share of label 1, or 0.5 without rows.
     """
     x, y = np.nan_to_num(np.asarray(x, float)), np.asarray(y, float)
-    x = x.reshape(len(y), -1)
     signs = np.zeros(x.shape[1]) if signs is None else np.asarray(signs)
     share = (y.sum() + 0.5) / (len(y) + 1)
     base = float(np.log(share / (1 - share)))
