@@ -673,10 +673,10 @@ def stream_daily_metrics(d):
 @query
 def stream_state_upsert(d):
     path, checkpoint = (fresh_path(d.spark, n) for n in ("upsert", "upsert-checkpoint"))
-    versions.overwrite_state(d.state_rows, path, version=0)
+    versions.overwrite_state(d.state_rows, path)
     cleared = d.cleared_keys.select("*")
     stream = _event_stream(d).new_rows
-    upsert.start_upsert(stream, path, checkpoint, upsert.upserting(cleared, NOW),
+    upsert.start_upsert(stream, path, checkpoint, upsert.upserting(lambda batch: cleared, NOW),
                         S.STATE).awaitTermination()
     return versions.read_version(d.spark, path)
 

@@ -147,13 +147,40 @@ def test_state_file_is_read_and_replaced(spark, path):
 def test_uncommitted_version_is_not_seen(spark, path):
     store = path("state")
     versions.overwrite_state(state_frame(spark, ("a", 0, 50)), store)
-    state_frame(spark, ("half", 0, 50)).write.parquet(f"{store}/version=2")
+    state_frame(spark, ("half", 0, 50)).write.parquet(f"{store}/data-dead")
+    open(f"{store}/_committed/2", "w").close()  # a writer that died over its marker
     assert expiries(versions.read_version(spark, store)) == {"a": 50}
-    versions.overwrite_state(state_frame(spark, ("b", 0, 50)), store, version=2)
+    assert versions.overwrite_state(state_frame(spark, ("b", 0, 50)), store) == 3
     assert expiries(versions.read_version(spark, store)) == {"b": 50}
+    assert versions.committed_versions(spark, store) == [1, 3]
     assert versions.read_version(spark, path("nothing")) is None
 
 
+def test_second_writer_from_one_version_fails(spark, path):
+    store = path("state")
+    base = versions.overwrite_state(state_frame(spark, ("a", 0, 50)), store)
+    versions.overwrite_state(state_frame(spark, ("b", 0, 50)), store, base=base)
+    with pytest.raises(RuntimeError):
+        versions.overwrite_state(state_frame(spark, ("c", 0, 50)), store, base=base)
+    assert expiries(versions.read_version(spark, store)) == {"b": 50}
+
+
+def test_a_rerun_makes_the_same_delta(spark, path, monkeypatch):
+    old, new = (spark.createDataFrame(r, "account_sid string, n int")
+                for r in ([("a", 1)], [("a", 1), ("b", 2)]))
+    paths = [path(n) for n in ("delta", "master", "snapshots")]
+    publish.merge_and_publish(old, old, *paths, "account_sid", reset=True, run_at=at(1))
+    write = publish.overwrite_state
+    monkeypatch.setattr(publish, "overwrite_state", lambda df, to, **more: (
+        write(df, to, **more) if to == paths[0] else 1 / 0))
+    with pytest.raises(ZeroDivisionError):
+        publish.merge_and_publish(new, new, *paths, "account_sid", run_at=at(2))
+    monkeypatch.setattr(publish, "overwrite_state", write)
+    master, delta = publish.merge_and_publish(new, new, *paths, "account_sid", run_at=at(3))
+    assert [r.account_sid for r in delta.collect()] == ["b"]
+    assert master.count() == 2
+
+
 def test_old_versions_are_dropped_on_request(spark, path):
     store = path("state")
     for hours in (10, 20, 30):

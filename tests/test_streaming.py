@@ -7,6 +7,7 @@ from tollwatch import schemas as S
 from tollwatch.operators import blocks
 from tollwatch.sources import versions
 from tollwatch.streaming import daily, upsert
+from tollwatch.streaming.batches import once_per_batch
 
 T0 = datetime(2024, 1, 1)
 
@@ -61,3 +62,40 @@ def test_insert_if_absent_per_batch(spark, path):
     got = run_upsert(spark, path, upsert.inserting(at(5)), schema, [
         part(("a", 0, 10)), part(("a", 1, 99), ("b", 1, 20))])
     assert rows(got, "key", "expiry_time") == [("a", at(10)), ("b", at(20))]
+
+
+def test_streams_start_over_an_existing_table(spark, path):
+    none = spark.createDataFrame([], "account_sid string, mcc string, mnc string")
+    for name in "xyz":
+        versions.overwrite_state(state_rows(spark, (name, 0, 10)), path("out"))
+    got = run_upsert(spark, path, upsert.upserting(none, at(1)), S.STATE,
+                     [state_rows(spark, ("a", 0, 10)), state_rows(spark, ("b", 0, 10))])
+    assert [k for k, *_ in rows(got, "account_sid")] == ["a", "b", "z"]
+    stream = spark.readStream.schema(S.STATE).parquet(path("in"))
+    upsert.start_upsert(stream, path("out"), path("again"), upsert.upserting(none, at(1)), S.STATE,
+                        keep=2).awaitTermination()
+    assert [k for k, *_ in rows(versions.read_version(spark, path("out")), "account_sid")] == [
+        "a", "b", "z"]
+    assert len(versions.committed_versions(spark, path("out"))) == 2
+
+
+def test_many_batches_equal_one(spark, path):
+    none = spark.createDataFrame([], "account_sid string, mcc string, mnc string")
+    data = [(k, r, r + 20) for r, k in enumerate("abcabcab")]
+    os.mkdir(path("in"))
+    for row in data:
+        state_rows(spark, row).coalesce(1).write.mode("append").parquet(path("in"))
+    stream = (spark.readStream.schema(S.STATE).option("maxFilesPerTrigger", 1)
+              .parquet(path("in")))
+    upsert.start_upsert(stream, path("out"), path("check"), upsert.upserting(lambda b: none, at(1)),
+                        S.STATE, keep=3).awaitTermination()
+    got = versions.read_version(spark, path("out"))
+    assert rows(got, "account_sid", "expiry_time") == [
+        ("a", at(26)), ("b", at(27)), ("c", at(25))]
+
+
+def test_a_batch_is_applied_once(spark, path):
+    apply = once_per_batch(path("out"), "check", lambda old, batch: batch)
+    for _ in range(2):
+        apply(state_rows(spark, ("a", 0, 10)), 0)
+    assert versions.committed_versions(spark, path("out")) == [1]

@@ -2,7 +2,8 @@
 
 from tollwatch.operators.state import delta_rows, master_merge, state_upsert
 from tollwatch.sources.sinks import run_snapshot
-from tollwatch.sources.versions import overwrite_state, read_version
+from tollwatch.session import written
+from tollwatch.sources.versions import latest_version, overwrite_state, read_version
 
 
 def merge_and_publish(raw, df, delta_path, master_path, snapshot_path, key, reset=False,
@@ -10,23 +11,29 @@ def merge_and_publish(raw, df, delta_path, master_path, snapshot_path, key, rese
     """Snapshot the raw rows, then write the merged master and the delta.
 
     ``reset`` replaces both with the rows as given. Returns what was written.
+    The delta is committed first: if the run dies before the master follows, a
+    rerun finds the old master and makes the same delta again.
     """
     spark = df.sparkSession
     run_snapshot(raw, snapshot_path, key, run_at)
+    df = written(df, "publish")
+    base = latest_version(spark, master_path) or 0
     if reset:
         merged = delta = df
     else:
         master = read_version(spark, master_path)
         merged = master_merge(df, master, key, prefer)
         delta = delta_rows(df, master, key)
-    versions = [overwrite_state(merged, master_path), overwrite_state(delta, delta_path)]
-    return tuple(read_version(spark, path, at_most=version)
-                 for path, version in zip((master_path, delta_path), versions))
+    delta_version = overwrite_state(delta, delta_path)
+    master_version = overwrite_state(merged, master_path, base=base)
+    return (read_version(spark, master_path, at_most=master_version),
+            read_version(spark, delta_path, at_most=delta_version))
 
 
 def update_state(path, new, not_breached, update=False, as_of=None):
     """Upsert rows into a state table and return its new contents."""
     spark = new.sparkSession
+    base = latest_version(spark, path) or 0
     state = read_version(spark, path) if update else None
-    version = overwrite_state(state_upsert(state, new, not_breached, as_of), path)
+    version = overwrite_state(state_upsert(state, new, not_breached, as_of), path, base=base)
     return read_version(spark, path, at_most=version)

@@ -1,10 +1,15 @@
 """Tables that are replaced as a whole.
 
 Spark cannot overwrite what it is reading. Every replacement is written to a
-new ``version=N`` folder and then committed by a marker file; readers take the
-highest committed version, so a failed or half-written run is never seen.
+new folder with a name of its own and then committed by a numbered marker file
+that names the folder; readers follow the highest readable marker. A run that
+dies before its marker leaves nothing that readers see or later writers meet,
+and of two writers that commit one number the second fails.
 """
 
+import json
+import uuid
+
 from tollwatch.sources.tables import read_or_none
 
 
@@ -17,18 +22,38 @@ def _path(spark, text):
     return spark._jvm.org.apache.hadoop.fs.Path(text)
 
 
-def committed_versions(spark, path):
-    """Numbers of the committed versions, ascending."""
+def _numbers(spark, path):
     fs, markers = _fs(spark, f"{path}/_committed")
     if not fs.exists(markers):
         return []
     return sorted(int(status.getPath().getName()) for status in fs.listStatus(markers))
 
 
+def _marker(spark, path, version):
+    """Contents of a marker, or None for one whose writer died over it."""
+    fs, name = _fs(spark, f"{path}/_committed/{version}")
+    stream = fs.open(name)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    try:
+        return json.loads(text)
+    except ValueError:
+        return None
+
+
+def committed_versions(spark, path):
+    """Numbers of the committed versions, ascending."""
+    return [v for v in _numbers(spark, path) if _marker(spark, path, v)]
+
+
 def latest_version(spark, path, at_most=None):
-    """Highest committed version, or None."""
-    found = [v for v in committed_versions(spark, path) if at_most is None or v <= at_most]
-    return found[-1] if found else None
+    """Highest committed version, or None; only the newest markers are opened."""
+    for version in reversed(_numbers(spark, path)):
+        if (at_most is None or version <= at_most) and _marker(spark, path, version):
+            return version
+    return None
 
 
 def read_version(spark, path, schema=None, at_most=None):
@@ -36,23 +61,34 @@ def read_version(spark, path, schema=None, at_most=None):
     version = latest_version(spark, path, at_most)
     if version is None:
         return None
-    return read_or_none(spark, f"{path}/version={version}", schema)
+    return read_or_none(spark, f"{path}/{_marker(spark, path, version)['folder']}", schema)
+
+
+def last_tag(spark, path):
+    """Tag of the newest committed version, or None."""
+    version = latest_version(spark, path)
+    return None if version is None else _marker(spark, path, version)["tag"]
 
 
-def overwrite_state(df, path, version=None):
-    """Write ``df`` as the next version, or as a given one, and commit it.
+def overwrite_state(df, path, tag=None, base=None):
+    """Write ``df`` as the next version and commit it; returns its number.
 
-    Two writers of one version: the second fails to create the marker unless it
-    repeats a version on purpose, as a retried stream batch does.
+    ``tag`` is kept in the marker. ``base`` is the version that ``df`` was made
+    from (0 for none): if another writer has committed since, this one fails.
     """
     spark = df.sparkSession
-    repeat = version is not None
-    if not repeat:
-        version = (latest_version(spark, path) or 0) + 1
-    df.write.mode("overwrite" if repeat else "errorifexists").parquet(
-        f"{path}/version={version}")
+    numbers = _numbers(spark, path)
+    if base is not None and (latest_version(spark, path) or 0) != base:
+        raise RuntimeError(f"{path} has been replaced since version {base}")
+    version = max(numbers, default=0) + 1
+    folder = f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder}")
     fs, _ = _fs(spark, path)
-    fs.create(_path(spark, f"{path}/_committed/{version}"), repeat).close()
+    out = fs.create(_path(spark, f"{path}/_committed/{version}"), False)
+    try:
+        out.write(bytearray(json.dumps({"folder": folder, "tag": tag}).encode()))
+    finally:
+        out.close()
     return version
 
 
@@ -66,6 +102,7 @@ def drop_old_versions(spark, path, keep=2):
     dropped = committed_versions(spark, path)[:-keep]
     fs, _ = _fs(spark, path)
     for version in dropped:
+        folder = _marker(spark, path, version)["folder"]
         fs.delete(_path(spark, f"{path}/_committed/{version}"), False)
-        fs.delete(_path(spark, f"{path}/version={version}"), True)
+        fs.delete(_path(spark, f"{path}/{folder}"), True)
     return dropped

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tollwatch import schemas as S
 from tollwatch.operators.blocks import reason_counters
-from tollwatch.sources.versions import overwrite_state
+from tollwatch.streaming.batches import once_per_batch
 
 
 def stream_daily_metrics(events, preset=S.DAILY_VERIFY):
@@ -13,16 +13,16 @@ def stream_daily_metrics(events, preset=S.DAILY_VERIFY):
         *reason_counters(preset), F.count(F.lit(1)).alias("total_traffic"))
 
 
-def start_daily_metrics(events, path, checkpoint, preset=S.DAILY_VERIFY, **trigger):
+def start_daily_metrics(events, path, checkpoint, preset=S.DAILY_VERIFY, keep=None, **trigger):
     """Write the metrics to a versioned table after every batch of events.
 
-    The version is the batch number, so a batch that is run again replaces
-    what it wrote before.
+    The stream's own state holds all dates it has seen, so each version is
+    complete for the stream; ``keep`` bounds the number of versions kept.
     """
-    def publish(batch, batch_id):
-        overwrite_state(batch, path, version=batch_id + 1)
+    def publish(old, batch):
+        return batch
 
     return (stream_daily_metrics(events, preset).writeStream.outputMode("complete")
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True}))
-            .foreachBatch(publish).start())
+            .foreachBatch(once_per_batch(path, checkpoint, publish, None, keep)).start())

@@ -2,29 +2,31 @@
 
 from tollwatch.operators.lists import insert_if_absent_ttl
 from tollwatch.operators.state import state_upsert
-from tollwatch.sources.versions import overwrite_state, read_version
+from tollwatch.streaming.batches import once_per_batch
 
 
-def start_upsert(rows, path, checkpoint, merge, schema, **trigger):
-    """Apply ``merge(old, batch)`` for every batch.
+def start_upsert(rows, path, checkpoint, merge, schema, keep=None, **trigger):
+    """Apply ``merge(old, batch)`` for every batch to the newest version of a table.
 
-    Batch ``n`` reads a version up to ``n`` and writes ``n + 1``; run again, it
-    reads the same state and replaces the same version.
+    Every batch rewrites the state; ``keep`` bounds the number of versions kept
+    (two at least, since a batch reads one while it writes the next).
     """
-    def apply(batch, batch_id):
-        old = read_version(batch.sparkSession, path, schema, at_most=batch_id)
-        overwrite_state(merge(old, batch), path, version=batch_id + 1)
-
     return (rows.writeStream.option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True}))
-            .foreachBatch(apply).start())
+            .foreachBatch(once_per_batch(path, checkpoint, merge, schema, keep)).start())
 
 
 def upserting(not_breached, as_of=None):
-    """Merge step: latest expiry per key, cleared keys removed, expired rows dropped."""
+    """Merge step: latest expiry per key, cleared keys removed, expired rows dropped.
+
+    ``not_breached`` is a function from a batch to the keys cleared with it, as
+    each run of the batch form gets its own list. A frame stands for the same
+    list in every batch, so a listed key stays only until the next batch.
+    """
     def merge(old, batch):
         state = batch.limit(0) if old is None else old
-        return state_upsert(state, batch, not_breached, as_of)
+        cleared = not_breached(batch) if callable(not_breached) else not_breached
+        return state_upsert(state, batch, cleared, as_of)
     return merge
 
 
