@@ -404,14 +404,34 @@ def sorted_set(array):
     return f"list_sort(list_distinct({array}))"
 
 
+def named(text, words):
+    """Any of the words in a text; five-digit codes only where they stand alone."""
+    tests = [f"regexp_matches({text}, '\\b{w}\\b')" if w.isdigit()
+             else f"contains({text}, {quoted(w)})" for w in words]
+    return "(" + " or ".join(tests) + ")"
+
+
 def labels(text, table):
-    cases = ", ".join(f"case when {any_of(f'lower({text})', words)} then {quoted(label)} end"
+    cases = ", ".join(f"case when {named(f'lower({text})', words)} then {quoted(label)} end"
                       for label, words in table.items())
     return f"[x for x in [{cases}] if x is not null]"
 
 
-def categories(text):
-    found = labels(text, X.CATEGORY_PHRASES)
+# What a summary may say for each category: the phrases of a ticket, or the label.
+SUMMARY_WORDS = {
+    "Enablement": ["enablement", "mode settings", "mode enabled", "history of modes"],
+    "SafeList": ["safelist", "adding numbers", "removing numbers"],
+    "Risk Check": ["risk check", "riskcheck"],
+    "False Negative": ["false negative", "missed fraud", "low conversion rate",
+                       "high volume of messages"],
+    "False Positive": ["false positive", "genuine messages blocked", "blocked messages"],
+    "Refund": ["refund", "credit memo"], "Billing": ["billing", "pricing"],
+    "60410": ["60410", "unblocking 30453"], "30450": ["30450"], "30453": ["30453"],
+}
+
+
+def categories(text, table=X.CATEGORY_PHRASES):
+    found = labels(text, table)
     return f"case when len({found}) > 0 then {found} else ['{X.OTHERS}'] end"
 
 
@@ -459,8 +479,8 @@ add("account_id_check", f"""select ticket_id, account_sid, {_LOOSE} as is_accoun
  {_STRICT} as is_full_account_id from found""", found=FOUND)
 
 _BODY = """select ticket_id, response, regexp_replace(regexp_replace(
-  case when contains(response, '</think>') then split_part(response, '</think>', 2)
-   else response end, '(?i)"category"\\s*:', '"category":', 'g'),
+  coalesce(nullif(regexp_extract(case when contains(response, '</think>')
+   then split_part(response, '</think>', 2) else response end, '(?s)\\{.*\\}'), ''), response), '(?i)"category"\\s*:', '"category":', 'g'),
   '(?i)"reason"\\s*:', '"reason":', 'g') as body from responses"""
 _VALID = """case when json_valid(body) then coalesce(json_type(body, '$.category') = 'ARRAY'
  and json_type(body, '$.reason') = 'VARCHAR', false) else false end"""
@@ -495,9 +515,10 @@ add("issue_details", f"""select ticket_id, '1. '
  as category, case when {_VALID} then {_REASON} end as reason from bodies""")
 
 add("transcript", """select conv_id, turn // 100 as page,
- string_agg(role || ': ' || text, chr(10) order by turn) as transcript
+ string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) order by turn) as transcript
  from conversations group by conv_id, turn // 100""")
-add("transcript_lines", "select conv_id, turn, role || ': ' || text as line from conversations")
+add("transcript_lines", """select conv_id, turn,
+ coalesce(role, '') || ': ' || coalesce(text, '') as line from conversations""")
 
 _HELP_WORDS = sorted({*X.HELP_WORDS, *[
     w for table in (X.PRODUCT_WORDS, X.CATEGORY_PHRASES) for ws in table.values() for w in ws]})
@@ -519,7 +540,7 @@ _SUMMARY = f"""concat_ws('; ', 'account: ' || account_sid, {summary_part('countr
 add("ticket_summary", f"select ticket_id, {_SUMMARY} as summary from found", found=FOUND)
 add("triage_report", f"""select ticket_id, {_FIELDS}, {joined('products')} as products,
  {joined('categories')} as categories, summary,
- {joined(categories('summary'))} as summary_categories, {_LOOSE} as is_account_id,
+ {joined(categories('summary', SUMMARY_WORDS))} as summary_categories, {_LOOSE} as is_account_id,
  {_STRICT} as is_full_account_id, {_REPLY} as reply
  from (select *, {_SUMMARY} as summary, {_REPLY_LIST} as replies from found)""", found=FOUND)
 

@@ -130,6 +130,9 @@ select ticket_id, case when turn % 2 = 0 then '<think>step</think>' else '' end
   || case ticket_id % 6 when 4 then '{bad'
     when 3 then '{"category": "Refund", "reason": "text, not a list"}'
     when 2 then '{"category": []}'
+    when 5 then 'Here it is:' || chr(10) || '```json' || chr(10)
+      || '{"category": ["Billing"], "reason": "f' || cast(ticket_id as string) || '"}'
+      || chr(10) || '```'
     when 1 then '{"Category": ["Billing"], "Reason": "r' || cast(ticket_id as string) || '"}'
     else '{"category": ["60410", "Refund"], "reason": "r' || cast(ticket_id as string)
       || '"}' end as response

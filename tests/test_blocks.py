@@ -132,3 +132,15 @@ def test_exclusion_keeps_other_rows(spark):
            for r in filters.exclusion_override(df, config).collect()}
     assert got == {"AC1001": "No", "AC1002": "No", "AC2002": "No", "AC3002": None,
                    "AC4None": "Yes", "AC5004": "Yes"}
+
+
+def test_exclusion_lists_as_frames(spark):
+    df = spark.createDataFrame([("a", "310", "26", "Yes"), ("b", "405", "12", "Yes"),
+                                ("c", "222", "01", "Yes")],
+                               "account_sid string, mcc string, mnc string, block string")
+    mccs = spark.range(100_000).selectExpr("cast(id + 1000 as string) as entry").union(
+        spark.createDataFrame([("310",), ("310",), (None,)], "entry string"))
+    got = filters.exclusion_override(df, {"do_not_include": {
+        "mcc": mccs, "mcc_mnc_account": ["405_12_b"]}})
+    assert got.columns == df.columns
+    assert rows(got, "account_sid", "block") == [("a", "No"), ("b", "No"), ("c", "Yes")]

@@ -202,3 +202,43 @@ def test_response_log(spark, path):
     assert got[0].mnc == "['None', 'a']" and got[0].category == "15"
     assert got[0].reason == "it's, so" and got[0].result == "1" and got[0].country == "None"
     assert got[1].country == "['A', 'B']" and got[1].result is None and got[1].mcc is None
+
+
+def test_messages_without_text_or_role_stay(spark):
+    frame = spark.createDataFrame([(1, 0, "user", None), (1, 1, None, "x"), (1, 2, "user", "y")],
+                                  "conv_id long, turn long, role string, text string")
+    assert tickets.transcript(frame).first().transcript == "user: \n: x\nuser: y"
+    assert [r.line for r in tickets.transcript_lines(frame).collect()] == [
+        "user: ", ": x", "user: y"]
+
+
+def test_codes_inside_longer_numbers_are_no_category(spark):
+    frame = spark.createDataFrame([(1, "13045012 and AC1330450x"), (2, "code 30450, 60410.")],
+                                  "ticket_id long, text string")
+    got = {r.ticket_id: r for r in tickets.ticket_products(
+        tickets.ticket_categories(frame)).collect()}
+    assert (got[1].categories, got[1].products) == (["Others"], [])
+    assert got[2].categories == ["60410", "30450"]
+
+
+@pytest.mark.parametrize("label", X.CATEGORY_PHRASES)
+def test_the_summary_keeps_the_category(spark, label):
+    text = X.CATEGORY_PHRASES[label][0]
+    frame = spark.createDataFrame([(1, text)], "ticket_id long, text string")
+    row = reports.triage_report(frame).first()
+    assert row.summary_categories == row.categories and label in row.categories
+
+
+def test_answers_in_a_fence_or_after_a_sentence(spark):
+    good = '{"category": ["Refund"], "reason": "r"}'
+    answers = [f"```json\n{good}\n```", f"The answer is: {good} Bye.", f"<think>{{}}</think>\n{good}"]
+    frame = spark.createDataFrame(list(enumerate(answers)), "ticket_id long, response string")
+    got = tickets.parse_responses(frame, S.ISSUE_RECORD).collect()
+    assert all(r.is_valid and r.category == ["Refund"] for r in got)
+
+
+def test_log_records_without_an_account_stay(spark, path):
+    spark.createDataFrame([("a country='Iran' ,]",), (" \n",), ("account_sid='AC1' ,]",)],
+                          "value string").coalesce(1).write.text(path("log"))
+    got = tables.read_response_log(spark, path("log")).collect()
+    assert sorted((r.account_sid or "", r.country or "") for r in got) == [("", "Iran"), ("AC1", "")]

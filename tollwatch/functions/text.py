@@ -35,6 +35,10 @@ CATEGORY_PHRASES = {
     "30453": ["30453"],
 }
 
+# A summary names categories by their labels, so there these count as phrases too.
+SUMMARY_PHRASES = {label: [*dict.fromkeys([*words, label.lower()])]
+                   for label, words in CATEGORY_PHRASES.items()}
+
 # Keywords that decode a product answer, first match wins.
 PRODUCT_DECODING = [
     ("Fraud Guard", ["1", "fraud guard", "fg", "guard", "fraud", "fraudguard", "verify"]),
@@ -152,9 +156,18 @@ def countries(text, names=COUNTRIES):
     return sorted_set(every_match(text, country_pattern(names)))
 
 
+def names_any(lowered, words):
+    """Whether a text holds any of the words; a code counts only where it stands alone."""
+    codes = [w for w in words if w.isdigit()]
+    tests = [contains_any(lowered, plain)] if (plain := [w for w in words if w not in codes]) else []
+    if codes:
+        tests.append(lowered.rlike(r"\b(?:" + "|".join(codes) + r")\b"))
+    return reduce(lambda a, b: a | b, tests)
+
+
 def labels_found(lowered, words_by_label):
     """Labels with any of their words in a lower-case text, in the order of the table."""
-    hits = [F.when(contains_any(col(lowered), words), F.lit(label))
+    hits = [F.when(names_any(col(lowered), words), F.lit(label))
             for label, words in words_by_label.items()]
     return F.array_compact(F.array(*hits))
 
@@ -186,6 +199,12 @@ def account_id_strict(account):
     return account_id_loose(account) & (F.length(col(account)) == 34)
 
 
+def braced(body):
+    """From the first opening to the last closing brace; the whole text without them."""
+    found = F.regexp_substr(body, F.lit(r"(?s)\{.*\}"))
+    return F.coalesce(found, body)
+
+
 def after_thinking(response, tag="</think>"):
     """What follows the think block; the whole response when there is none."""
     return F.coalesce(F.try_element_at(F.split(col(response), tag), F.lit(2)), col(response))

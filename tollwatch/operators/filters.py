@@ -1,5 +1,6 @@
 """Row filters. An argument left as None filters nothing."""
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollwatch.functions.columns import all_of, as_date, as_timestamp, joined_key
@@ -56,9 +57,12 @@ def exclusion_override(df, config):
     """Set ``block`` to ``No`` on excluded rows; other rows are left as they are.
 
     ``config["do_not_include"]`` holds up to three lists: ``mcc``, ``mcc_mnc``
-    and ``mcc_mnc_account``, parts joined by ``_``.
+    and ``mcc_mnc_account``, parts joined by ``_``. A list may also be a frame
+    whose first column holds the entries; long lists should be, since they are
+    joined and not written into the plan.
     """
     lists = config.get("do_not_include") or {}
+    columns = df.columns
     keys = {
         "mcc": F.col("mcc"),
         "mcc_mnc": joined_key("mcc", "mnc"),
@@ -66,9 +70,17 @@ def exclusion_override(df, config):
     }
     hit = None
     for name, key in keys.items():
-        if lists.get(name):
-            listed = key.isin(list(lists[name]))
-            hit = listed if hit is None else hit | listed
+        listed = lists.get(name)
+        if isinstance(listed, DataFrame):
+            entries = listed.select(listed[listed.columns[0]].alias(f"_{name}")).distinct()
+            df = df.join(entries, key == F.col(f"_{name}"), "left")
+            found = F.col(f"_{name}").isNotNull()
+        elif listed:
+            found = key.isin(list(listed))
+        else:
+            continue
+        hit = found if hit is None else hit | found
     if hit is None:
         return df
-    return df.withColumn("block", F.when(hit, "No").otherwise(F.col("block")))
+    return df.select(*[F.when(hit, "No").otherwise(F.col("block")).alias("block")
+                       if c == "block" else c for c in columns])

@@ -1,5 +1,9 @@
 """Hooks for models the caller brings: the only operators that run Python in tasks."""
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -16,14 +20,14 @@ def model_compare(prompts, scorers, prompt="user_prompt"):
     """Answers of several models side by side, one column per model.
 
     All models see a batch while it is in memory: no copy of the table per
-    model and no pivot.
+    model and no pivot. Only the prompt goes to Python.
     """
-    schema = T.StructType([*prompts.schema.fields,
-                           *[T.StructField(name, T.StringType()) for name in scorers]])
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in scorers])
 
-    def answer(batches):
-        for batch in batches:
-            asked = batch[prompt]
-            yield batch.assign(**{name: scorer(asked) for name, scorer in scorers.items()})
+    @F.pandas_udf(schema)
+    def answers(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for asked in batches:
+            yield pd.DataFrame({name: scorer(asked) for name, scorer in scorers.items()})
 
-    return prompts.mapInPandas(answer, schema)
+    scored = prompts.withColumn("_answers", answers(prompt))
+    return scored.select(*prompts.columns, "_answers.*")

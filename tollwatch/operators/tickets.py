@@ -120,10 +120,11 @@ def issue_details(df, account="account_sid", products="products", category="cate
 def parse_responses(df, record, response="response"):
     """Fields of a JSON response, and whether it holds all of them with the right types.
 
-    Text before a closing think tag is dropped, and field names are taken in
-    any letter case.
+    Text before a closing think tag is dropped, and so is what stands around
+    the outermost braces, such as a lead-in sentence or a code fence. Field
+    names are taken in any letter case.
     """
-    body = X.after_thinking(response)
+    body = X.braced(X.after_thinking(response))
     for name in record.fieldNames():
         body = F.regexp_replace(body, rf'(?i)"{name}"\s*:', f'"{name}":')
     fields = record.fieldNames()
@@ -169,22 +170,28 @@ def route_messages(messages, first_turn=0):
 def transcript(messages, turns_per_page=100):
     """Messages as ``role: text`` in turn order, in pages of a fixed number of turns.
 
-    A page holds at most ``turns_per_page`` messages, however long its
-    conversation is.
+    A page holds the messages of ``turns_per_page`` turn numbers, however long
+    its conversation is. Where turn numbers may repeat without bound, use
+    ``transcript_lines``, which collects nothing.
     """
     page = F.floor(F.col("turn") / turns_per_page).cast("long")
     lines = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    written = F.transform(lines, lambda m: F.concat(m["role"], F.lit(": "), m["text"]))
+    written = F.transform(lines, lambda m: _line(m["role"], m["text"]))
     return messages.groupBy("conv_id", page.alias("page")).agg(
         F.array_join(written, "\n").alias("transcript"))
 
 
 def transcript_lines(messages):
     """One line per message in conversation order."""
-    line = F.concat(F.col("role"), F.lit(": "), F.col("text"))
+    line = _line(F.col("role"), F.col("text"))
     return messages.select("conv_id", "turn", line.alias("line")).orderBy("conv_id", "turn")
 
 
+def _line(role, text):
+    """A message without role or text keeps its line."""
+    return F.concat(F.coalesce(role, F.lit("")), F.lit(": "), F.coalesce(text, F.lit("")))
+
+
 def render_prompts(tickets, system_text, text="text"):
     """System and user text of each ticket for a model call."""
     return (tickets.withColumn("system_prompt", F.lit(system_text))

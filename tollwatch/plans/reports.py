@@ -1,5 +1,6 @@
 """Reports composed of several operators."""
 
+from tollwatch.functions import text as X
 from tollwatch.operators import accounts, blocks, tickets, traffic
 
 
@@ -33,6 +34,7 @@ def triage_report(rows):
     found = tickets.ticket_products(found)
     found = tickets.ticket_categories(found)
     found = tickets.ticket_summary(found)
-    found = tickets.ticket_categories(found, "summary", "summary_categories")
+    found = tickets.ticket_categories(
+        found, "summary", "summary_categories", X.SUMMARY_PHRASES)
     found = tickets.account_id_check(found)
     return tickets.ticket_reply(found)

@@ -59,10 +59,10 @@ def read_response_log(spark, path):
     """Records of a triage log; a log of one single line still splits into many tasks.
 
     A value is a bracketed list, a quoted text or a bare word, kept as it
-    stands apart from its quotes.
+    stands apart from its quotes. Every record that is not blank is kept;
+    fields that it lacks are null.
     """
-    records = spark.read.text(path, lineSep=RECORD_END).where(
-        F.col("value").contains("account_sid="))
+    records = spark.read.text(path, lineSep=RECORD_END).where(F.col("value").rlike(r"\S"))
     return records.select(*[_log_field(name) for name in LOG_FIELDS])
 
 
