@@ -435,9 +435,21 @@ def categories(text, table=X.CATEGORY_PHRASES):
     return f"case when len({found}) > 0 then {found} else ['{X.OTHERS}'] end"
 
 
+_COUNTRY_TABLE = "map {" + ", ".join(
+    f"{quoted(k)}: {quoted(v)}" for k, v in X.country_names().items()) + "}"
+
+
+def _plain(found):
+    """The same matches over text whose letters beyond ASCII bound no word, as in Java."""
+    return found.replace("(text,", "(regexp_replace(text, '[^\\x00-\\x7F]', 'z', 'g'),", 1)
+
+
+_COUNTRIES = (f"[{_COUNTRY_TABLE}[x] for x in list_concat("
+              f"[lower(y) for y in {_plain(matches(X.country_pattern()))}],"
+              f" {_plain(matches(X.SHORT_COUNTRY))})]")
 FOUND = f"""select ticket_id, turn, role, text, pairs as mcc_mnc,
  nullif(regexp_extract(text, {quoted(X.ACCOUNT_ID[1])}), '') as account_sid,
- {sorted_set(matches(X.country_pattern()))} as country,
+ {sorted_set(_COUNTRIES)} as country,
  {sorted_set(f"list_concat([split_part(x, '-', 1) for x in pairs], {matches(X.NAMED_MCC, 1)})")}
   as mcc,
  {sorted_set(f"list_concat([split_part(x, '-', 2) for x in pairs], {matches(X.NAMED_MNC, 1)})")}

@@ -112,8 +112,13 @@ select conv_id * 1000 + turn as ticket_id, conv_id, turn, role,
   text || case when conv_id % 5 = 4 then ''
     else ' Account AC' || lpad(cast(conv_id as string), 32, '0') end
   || ' on 310-260 and 405-12'
-  || case conv_id % 3 when 0 then ' in Canada since January 2024'
-    when 1 then ' in the United States on 2024-01-15, mcc 222' else '' end || ' got '
+  || case conv_id % 12 when 0 then ' in Canada' when 1 then ' in the United States'
+    when 2 then ' in italy' when 3 then ' in China' when 4 then ' in Pakistan'
+    when 5 then ' in kenya' when 6 then ' in the UK' when 7 then ' in nigeria'
+    when 8 then ' in the UAE' when 9 then ' in South Korea and Guinea-Bissau'
+    when 10 then ' in PERU' else ' nowhere, tell us' end
+  || case conv_id % 3 when 0 then ' since January 2024'
+    when 1 then ' on 2024-01-15, mcc 222' else '' end || ' got '
   || case turn % 4 when 0 then 'error 60410 in Fraud Guard max mode'
     when 1 then '30450 on SMS PP, please refund'
     when 2 then '30453 shadow mode, genuine messages blocked'

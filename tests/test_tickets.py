@@ -242,3 +242,10 @@ def test_log_records_without_an_account_stay(spark, path):
                           "value string").coalesce(1).write.text(path("log"))
     got = tables.read_response_log(spark, path("log")).collect()
     assert sorted((r.account_sid or "", r.country or "") for r in got) == [("", "Iran"), ("AC1", "")]
+
+
+def test_countries_in_any_case_and_short(spark):
+    text = "from italy, NIGERIA and Niger, the UK and USA; tell us of Guinea-Bissau or chadwick"
+    assert tickets.ticket_fields(one(spark, text)).first().country == [
+        "Guinea-Bissau", "Italy", "Niger", "Nigeria", "United Kingdom", "United States"]
+    assert tickets.ticket_fields(one(spark, "in Foo"), ["Foo"]).first().country == ["Foo"]

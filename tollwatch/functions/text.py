@@ -70,12 +70,38 @@ ISSUE_DECODING = [
     ("High volume of 30453 detected", ["15", "high volume", "30453", "detected"]),
 ]
 
-# Country names looked for unless the caller names others.
+# Country names, looked for in any letter case unless the caller names others,
+# and short forms, looked for as they stand.
 COUNTRIES = [
-    "Australia", "Brazil", "Canada", "Ecuador", "France", "Germany", "India", "Indonesia",
-    "Iran", "Japan", "Mexico", "Nigeria", "Somalia", "Spain", "Tajikistan", "Ukraine",
-    "United Kingdom", "United States",
+    "Afghanistan", "Albania", "Algeria", "Andorra", "Angola", "Antigua and Barbuda", "Argentina",
+    "Armenia", "Australia", "Austria", "Azerbaijan", "Bahamas", "Bahrain", "Bangladesh",
+    "Barbados", "Belarus", "Belgium", "Belize", "Benin", "Bhutan", "Bolivia",
+    "Bosnia and Herzegovina", "Botswana", "Brazil", "Brunei", "Bulgaria", "Burkina Faso",
+    "Burundi", "Cambodia", "Cameroon", "Canada", "Cape Verde", "Central African Republic", "Chad",
+    "Chile", "China", "Colombia", "Comoros", "Congo", "Costa Rica", "Croatia", "Cuba", "Cyprus",
+    "Czechia", "Denmark", "Djibouti", "Dominica", "Dominican Republic", "Ecuador", "Egypt",
+    "El Salvador", "Equatorial Guinea", "Eritrea", "Estonia", "Eswatini", "Ethiopia", "Fiji",
+    "Finland", "France", "Gabon", "Gambia", "Georgia", "Germany", "Ghana", "Greece", "Grenada",
+    "Guatemala", "Guinea", "Guinea-Bissau", "Guyana", "Haiti", "Honduras", "Hungary", "Iceland",
+    "India", "Indonesia", "Iran", "Iraq", "Ireland", "Israel", "Italy", "Ivory Coast", "Jamaica",
+    "Japan", "Jordan", "Kazakhstan", "Kenya", "Kiribati", "Kuwait", "Kyrgyzstan", "Laos",
+    "Latvia", "Lebanon", "Lesotho", "Liberia", "Libya", "Liechtenstein", "Lithuania",
+    "Luxembourg", "Madagascar", "Malawi", "Malaysia", "Maldives", "Mali", "Malta",
+    "Marshall Islands", "Mauritania", "Mauritius", "Mexico", "Micronesia", "Moldova", "Monaco",
+    "Mongolia", "Montenegro", "Morocco", "Mozambique", "Myanmar", "Namibia", "Nauru", "Nepal",
+    "Netherlands", "New Zealand", "Nicaragua", "Niger", "Nigeria", "North Korea",
+    "North Macedonia", "Norway", "Oman", "Pakistan", "Palau", "Panama", "Papua New Guinea",
+    "Paraguay", "Peru", "Philippines", "Poland", "Portugal", "Qatar", "Romania", "Russia",
+    "Rwanda", "Saint Lucia", "Samoa", "San Marino", "Saudi Arabia", "Senegal", "Serbia",
+    "Seychelles", "Sierra Leone", "Singapore", "Slovakia", "Slovenia", "Solomon Islands",
+    "Somalia", "South Africa", "South Korea", "South Sudan", "Spain", "Sri Lanka", "Sudan",
+    "Suriname", "Sweden", "Switzerland", "Syria", "Taiwan", "Tajikistan", "Tanzania", "Thailand",
+    "Togo", "Tonga", "Tunisia", "Turkey", "Turkmenistan", "Tuvalu", "Uganda", "Ukraine",
+    "United Arab Emirates", "United Kingdom", "United States", "Uruguay", "Uzbekistan", "Vanuatu",
+    "Venezuela", "Vietnam", "Yemen", "Zambia", "Zimbabwe",
 ]
+SHORT_COUNTRIES = {"UK": "United Kingdom", "USA": "United States", "US": "United States",
+                   "UAE": "United Arab Emirates", "DRC": "Congo"}
 
 # Opening words that confirm the last message.
 CONFIRM_WORDS = ["yes", "correct", "confirm", "confirmed", "right", "agreed"]
@@ -96,7 +122,21 @@ CARRIER_PAIR = r"^[2-7][0-9]{2}-[0-9]{2,3}$"
 
 
 def country_pattern(names=COUNTRIES):
-    return "".join(sorted({n[0] for n in names})), r"\b(?:" + "|".join(names) + r")\b"
+    """Any of the names, grouped by first letter so that few are tried at a word."""
+    groups = {}
+    for name in sorted(names, key=len, reverse=True):
+        groups.setdefault(name[0].lower(), []).append(name[1:])
+    tries = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(groups.items()))
+    letters = "".join(sorted(groups))
+    return letters + letters.upper(), rf"\b(?i:{tries})\b"
+
+
+SHORT_COUNTRY = "UD", r"\b(?:" + "|".join(SHORT_COUNTRIES) + r")\b"
+
+
+def country_names(names=COUNTRIES):
+    """Name in lower case, or short form, to name."""
+    return {**{n.lower(): n for n in names}, **SHORT_COUNTRIES}
 
 
 def quick(pattern):
@@ -153,7 +193,11 @@ def dates(text):
 
 
 def countries(text, names=COUNTRIES):
-    return sorted_set(every_match(text, country_pattern(names)))
+    """Countries named, spelled as in ``names``."""
+    table = F.create_map(*[F.lit(x) for pair in country_names(names).items() for x in pair])
+    found = F.concat(F.transform(every_match(text, country_pattern(names)), F.lower),
+                     every_match(text, SHORT_COUNTRY))
+    return sorted_set(F.transform(found, lambda x: F.try_element_at(table, x)))
 
 
 def names_any(lowered, words):

@@ -70,13 +70,15 @@ def settings_rows(events):
         )
 
 
-def service_settings(events, account_pattern=None):
+def service_settings(events, account_pattern=None, by_service=False):
     """Distinct settings rows.
 
     Distinct goes over the service name too, so a renamed service may show the
-    same settings twice.
+    same settings twice. ``by_service`` shuffles by service, which a window over
+    services then needs no more; leave it off where one service may be hot.
     """
-    return settings_rows(keep(events, account_like(account_pattern))).distinct()
+    rows = settings_rows(keep(events, account_like(account_pattern)))
+    return (rows.repartition(*SERVICE) if by_service else rows).distinct()
 
 
 def mode_change(settings, hot=None):

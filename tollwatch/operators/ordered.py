@@ -26,9 +26,10 @@ def split_hot(df, keys, limit=HOT_GROUP_ROWS):
     """
     hot = df.groupBy(*keys).count().where(F.col("count") > limit).select(
         *[F.col(k).alias("_h_" + k) for k in keys])
+    hot = checkpointed(hot)
     if hot.isEmpty():
         return df, None
-    listed = F.broadcast(checkpointed(hot))
+    listed = F.broadcast(hot)
     match = _same(df, "_h_", keys)
     return df.join(listed, match, "left_anti"), df.join(listed, match, "left_semi")
 
