@@ -176,16 +176,18 @@ def _verified(pairs, texts, threshold):
     return joined.mapInArrow(_similar(threshold), "a binary, b binary")
 
 
-def near_duplicates(docs, threshold=0.8, bands=32, rows=4, rounds=2, doc_id="doc_id", text="text"):
+def near_duplicates(docs, threshold=0.8, bands=40, rows=6, rounds=5, text="text"):
     """(node, root) for distinct texts that have a near copy; a node is the digest of a text.
 
     Texts that agree in all ``rows`` coordinates of one of ``bands`` bands meet
     in a bucket, and pairs are held against ``threshold`` exactly. With the
-    defaults a pair at 0.8 fails to meet with a probability below 1e-7. In each
-    round every member of a bucket is compared with the member that meets the
-    most others, unless they are linked already; what is still apart in a bucket
-    after the rounds is compared in full, so no link between texts that meet is
-    lost, and a large group of copies costs one pair per member.
+    defaults a pair at 0.8 fails to meet with a probability below 1e-5. In each
+    round every member of a bucket is compared with one of them, unless they are
+    linked already: first with the one that meets the most others, which is the
+    origin of a group of copies, then with one drawn by a hash, the same for
+    all buckets that hold it. What is still apart in a bucket after the rounds
+    is compared in full, so no link between texts that meet is lost, and a large
+    group of copies costs a few pairs per member.
     """
     source = docs.select(F.unhex(F.md5(F.col(text))).alias("node"),
                          F.col(text).alias("text")).where(F.col(text).isNotNull())
@@ -209,16 +211,21 @@ def near_duplicates(docs, threshold=0.8, bands=32, rows=4, rounds=2, doc_id="doc
         apart = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
         now = now.join(apart.where("low <> high").select("band"), "band")
         if round_no < rounds:
+            drawn = F.xxhash64("node", F.lit(round_no))
+            first = F.col("degree") if round_no == 0 else drawn
             other = now.groupBy("band").agg(F.max(F.struct(
-                "degree", F.xxhash64("node", F.lit(round_no)), "node", "root")).alias("top"))
+                first.alias("first"), "node", "root")).alias("top"))
             other = other.select("band", F.col("top.node").alias("other"),
                                  F.col("top.root").alias("other_root"))
         else:
             other = now.select("band", F.col("node").alias("other"),
                                F.col("root").alias("other_root"))
-        pairs = now.join(other, "band").where("root <> other_root").select(
+        new = "root <> other_root" if round_no < rounds else "root < other_root"
+        pairs = now.join(other, "band").where(new).select(
             F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
         pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
         tried = tried.union(pairs)
         edges = edges.union(checkpointed(_verified(pairs, texts, threshold)))
         roots = _components(edges)
@@ -235,7 +242,7 @@ def classes(docs, threshold=0.8, doc_id="doc_id", text="text", **options):
     white space) is in a class with the rows of exactly the same text, nulls
     with nulls.
     """
-    roots = near_duplicates(docs, threshold, doc_id=doc_id, text=text, **options)
+    roots = near_duplicates(docs, threshold, text=text, **options)
     own = docs.select(F.col(doc_id).alias("id"), _node(F.col(text)).alias("node"))
     rooted = own.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("id").alias("class_id"),
@@ -250,13 +257,15 @@ def _node(text):
 def keep_one(docs, threshold=0.8, doc_id="doc_id", text="text", **options):
     """One row of each class, the one with the least id, with all columns of ``docs``.
 
-    Ties on the id go to the first row in the order of the other columns. Rows
+    Ties on the id go to the first row in the order of the other columns, and a
+    row without an id stays only where no row of its class has one. Rows
     without words are no copies of each other and all stay.
     """
-    roots = near_duplicates(docs, threshold, doc_id=doc_id, text=text, **options)
+    roots = near_duplicates(docs, threshold, text=text, **options)
     worded = F.col(text).rlike("[^\\x20\\x09-\\x0D]")
     columns = docs.columns
-    tagged = docs.select(F.struct(F.col(doc_id), F.struct(*columns).alias("row")).alias("__row"),
+    order = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.struct(*columns).alias("row"))
+    tagged = docs.select(order.alias("__row"),
                          _node(F.col(text)).alias("node"), F.coalesce(worded, F.lit(False)).alias("w"))
     plain = tagged.where(~F.col("w")).select("__row.row.*")
     distinct = tagged.where("w").groupBy("node").agg(F.min("__row").alias("__row"))
