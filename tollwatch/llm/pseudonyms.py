@@ -23,13 +23,20 @@ PHONE = (r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0
 CARD = r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])"
 KINDS = {"email": EMAIL, "address": ADDRESS, "date": f"{ISO_DATE}|{SLASH_DATE}",
          "social": SOCIAL, "phone": PHONE, "card": CARD}
-ANY = "|".join(KINDS.values())
+#: All kinds but the first start with one of a few characters, so most places fail at one look.
+NUMBERS = "(?=[0-9+(])(?:" + "|".join(p for k, p in KINDS.items() if k != "email") + ")"
+ANY = f"{NUMBERS}|{EMAIL}"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 #: Dates from 1900-01-01 on are numbered below 270 * 270; the last is 2099-08-05.
 DATE_SIDE = 270
 
 
+def _let(value, use):
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _digest(key, *parts):
     """Number of 60 bits from a keyed digest."""
     text = F.concat_ws("/", F.lit(key), *[p.cast("string") for p in parts])
@@ -63,9 +70,10 @@ def permuted_digits(key, kind, digits):
     def power(n):
         return F.pow(F.lit(10.0), n).cast("long")
 
-    s = feistel(key, kind, digits.substr(F.lit(1), low), digits.substr(low + 1, high),
-                power(low), power(high))
-    return F.when(size < 2, digits).otherwise(F.concat(_pad(s["l"], low), _pad(s["r"], high)))
+    network = feistel(key, kind, digits.substr(F.lit(1), low), digits.substr(low + 1, high),
+                      power(low), power(high))
+    return F.when(size < 2, digits).otherwise(_let(network, lambda s: F.concat(
+        _pad(s["l"], low), _pad(s["r"], high))))
 
 
 def _at(text, i):
@@ -77,15 +85,21 @@ def _luhn_sum(digits):
     size = F.length(digits)
 
     def add(total, i):
-        d = _at(digits, i).cast("int")
-        twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
-        return total + F.when((size - i) % 2 == 1, twice).otherwise(d)
+        def value(d):
+            twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
+            return F.when((size - i) % 2 == 1, twice).otherwise(d)
+
+        return total + _let(_at(digits, i).cast("int"), value)
 
     return F.aggregate(F.sequence(F.lit(1), size), F.lit(0), add)
 
 
 def _refill(shape, digits):
     """``shape`` with its digits replaced, from left to right, by ``digits``."""
+    return _let(digits, lambda d: _refilled(shape, d))
+
+
+def _refilled(shape, digits):
     places = F.sequence(F.lit(1), F.length(shape))
     filled = F.aggregate(places, F.struct(F.lit("").alias("t"), F.lit(0).alias("n")), lambda s, i: (
         F.when(_at(shape, i).rlike("[0-9]"), F.struct(
@@ -124,17 +138,17 @@ def _email(key, text):
 
     start = F.struct(name.substr(F.lit(1), low).alias("l"),
                      name.substr(low + 1, F.greatest(size - low, F.lit(0))).alias("r"))
-    s = F.aggregate(F.sequence(F.lit(0), F.lit(3)), start, step)
-    return F.concat(s["l"], s["r"], F.substr(text, size + 1))
+    network = F.aggregate(F.sequence(F.lit(0), F.lit(3)), start, step)
+    return _let(network, lambda s: F.concat(s["l"], s["r"], F.substr(text, size + 1)))
 
 
 def _address(key, text):
     part = F.split(text, "\\.")
     n = [part[i].cast("long") for i in range(4)]
-    s = feistel(key, F.lit("address"), n[0] * 256 + n[1], n[2] * 256 + n[3],
-                F.lit(65536), F.lit(65536))
-    new = F.concat_ws(".", *[x.cast("string") for x in (
-        F.floor(s["l"] / 256), s["l"] % 256, F.floor(s["r"] / 256), s["r"] % 256)])
+    network = feistel(key, F.lit("address"), n[0] * 256 + n[1], n[2] * 256 + n[3],
+                      F.lit(65536), F.lit(65536))
+    new = _let(network, lambda s: F.concat_ws(".", *[x.cast("string") for x in (
+        F.floor(s["l"] / 256), s["l"] % 256, F.floor(s["r"] / 256), s["r"] % 256)]))
     fits = F.greatest(*n) < 256
     return F.when(fits, new)
 
@@ -146,12 +160,15 @@ def _date(key, text):
     day = F.coalesce(day, F.when(slash, F.try_to_timestamp(text, F.lit("dd/MM/yyyy")))).cast("date")
     number = F.datediff(day, F.lit("1900-01-01").cast("date"))
     side = F.lit(DATE_SIDE)
-    s = feistel(key, F.lit("date"), F.floor(number / side), number % side, side, side)
-    new = F.date_add(F.lit("1900-01-01").cast("date"), (s["l"] * side + s["r"]).cast("int"))
+    network = feistel(key, F.lit("date"), F.floor(number / side), number % side, side, side)
     month_first = F.try_to_timestamp(text, F.lit("MM/dd/yyyy")).isNotNull()
-    shown = F.when(slash & month_first, F.date_format(new, "MM/dd/yyyy")).when(
-        slash, F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "yyyy-MM-dd"))
-    return F.when((number >= 0) & (number < DATE_SIDE * DATE_SIDE), shown)
+
+    def shown(s):
+        new = F.date_add(F.lit("1900-01-01").cast("date"), (s["l"] * side + s["r"]).cast("int"))
+        return F.when(slash & month_first, F.date_format(new, "MM/dd/yyyy")).when(
+            slash, F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "yyyy-MM-dd"))
+
+    return F.when((number >= 0) & (number < DATE_SIDE * DATE_SIDE), _let(network, shown))
 
 
 def _phone(key, text):
@@ -173,9 +190,12 @@ def _card(key, text):
     digits = _digits(text)
     size = F.length(digits)
     body = permuted_digits(key, F.lit("card"), digits.substr(F.lit(1), size - 1))
-    check = (10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    return F.when(_luhn_sum(digits) % 10 == 0, _refill(
-        text, F.concat(body, check.cast("string"))))
+
+    def checked(b):
+        check = (10 - _luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10
+        return F.concat(b, check.cast("string"))
+
+    return F.when(_let(digits, _luhn_sum) % 10 == 0, _refill(text, _let(body, checked)))
 
 
 def _replaced(key, value):
@@ -203,9 +223,10 @@ def pseudonymize(docs, key, text="text", out="text", counts="pii"):
         raise ValueError("a key is needed")
     source = F.col(text)
     # every kind holds a digit or an @, and most texts hold neither
-    values = F.when(source.rlike("[0-9@]"), F.regexp_extract_all(
-        source, F.lit(f"({ANY})"), F.lit(1)))
-    between = F.split(source, ANY, -1)
+    mail = source.contains("@")
+    values = F.when(mail, F.regexp_extract_all(source, F.lit(f"({ANY})"), F.lit(1))).when(
+        source.rlike("[0-9]"), F.regexp_extract_all(source, F.lit(f"({NUMBERS})"), F.lit(1)))
+    between = F.when(mail, F.split(source, ANY, -1)).otherwise(F.split(source, NUMBERS, -1))
     pairs = F.transform(F.col("__values"), lambda v: F.struct(
         v.alias("old"), _replaced(key, v).alias("new")))
     pieces = F.zip_with(F.col("__between"), F.col("__pairs"), lambda b, p: F.concat(
