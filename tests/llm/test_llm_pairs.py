@@ -206,6 +206,25 @@ def test_inconsistent_slots_are_no_match(spark):
     assert sorted(leaks(spark, [good, bad], [item])) == [(0, 0)]
 
 
+def test_copies_of_items_of_few_literals_are_caught(spark):
+    item = "Compute 12 + 35 * 4 - 7"
+    names = "Tell me whether Anna Schmidt, Bob Brown, Carl Cole, Dora Dunn, Emil Eck or Fay Fox won"
+    found = leaks(spark, ["so: Compute 12 + 35 * 4 - 7 = 145", "Compute 12 + 35 * 4 - 8",
+                          "we ask. " + names], [item, names])
+    assert sorted(found) == [(0, 0), (2, 1)]
+    assert found[0, 0].covered == 1 and found[2, 1].n_changed == 0
+
+
+def test_a_conflict_drops_only_its_windows(spark):
+    item = ("take 5 red apples from the old tree by the river and then walk slowly all the way back"
+            " home where your mother puts 5 more into the basket before you all sit down to eat")
+    other = item.replace("5", "3", 1)
+    found = leaks(spark, [item.replace("5 more", "7 more"), other.replace("3", "4").replace(
+        "5", "4")], [item, other])
+    assert sorted(found) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    assert found[0, 0].covered < 1 and found[0, 0].n_changed == 0
+
+
 def test_short_and_empty_items(spark):
     found = leaks(spark, ["say blue whale now", "other", "9 9 9 9"], ["blue whale", "", None, "1 2 3"])
     assert sorted(found) == [(0, 0)]

@@ -4,7 +4,9 @@ Numbers, units and names become typed placeholders, so that a question with
 other values in it has the same template. Windows of template tokens of the
 documents are looked up among those of the benchmark, and a match counts only
 if its slots are consistent: one value of the question stands for one value in
-the document, and the other way round, along the whole match.
+the document, and the other way round. Slots that break this are left out, with the
+windows over them. Windows of plain words are looked up beside the templates:
+what is copied word for word counts whatever its share of numbers and names.
 """
 
 import numpy as np
@@ -57,6 +59,7 @@ class Templates:
         folded = folded + (wide * 32).astype(np.uint8)
         texts = Texts(data, at, ALNUM)
         start, end, doc = texts.start, texts.end, texts.doc
+        self.words = texts
         table, base = _base(0)
         coded = table[folded]
         digits = np.concatenate([[0], np.cumsum(DIGIT[data])])
@@ -73,6 +76,7 @@ class Templates:
                           & (start[1:] - end[:-1] == 1) & JOIN[data[end[:-1] % len(data)]])
             heads, tails = spans(joined)
             start, end, doc, number = start[heads], end[tails], doc[heads], number[heads]
+        self.word = range_hashes(coded, texts.start, texts.end, base)
         word = range_hashes(coded, start, end, base)
         number |= np.isin(word, _known(NUMBER_WORDS))
         unit = np.zeros(len(start), bool)
@@ -96,6 +100,7 @@ class Templates:
         self.value = range_hashes(coded, start, end, base)
         self.token = np.where(self.kind == LITERAL, self.value, mix(self.kind.astype(np.uint64)))
         self.doc, self.first = doc, np.searchsorted(doc, np.arange(len(at)))
+        self.token_of = np.searchsorted(start, texts.start, side="right") - 1  # of each word
 
     @property
     def counts(self):
@@ -109,68 +114,112 @@ class Templates:
         place = place[2 * (literal[place + size] - literal[place]) >= size]
         return place, range_hashes(self.token, place, place + size, _base(200)[1])
 
+    def word_windows(self, size):
+        """Starts and hashes of windows of plain words, whatever they are."""
+        place = self.words.window_starts(size)
+        return place, self.words.window_hashes(self.word, place, size, 101)
+
 
 class Index:
-    """Template windows of a block of benchmark texts.
+    """Template and word windows of a block of benchmark texts.
 
-    A text of fewer tokens than a window is one window of its own size.
+    A text of fewer tokens or words than a window is one window of its own size.
     """
 
     def __init__(self, ids, texts):
         data, at = raw(pa.array(texts, pa.large_string()))
         self.ids, self.items = ids, Templates(data, at)
-        counts = self.items.counts
-        self.sizes = {}
+        items = self.items
+        self.sizes = self._sorted(items.counts, items.windows, items.doc)
+        self.word_sizes = self._sorted(items.words.counts, items.word_windows, items.words.doc)
+
+    @staticmethod
+    def _sorted(counts, windows, docs):
+        sizes = {}
         for size in sorted({min(WINDOW, int(n)) for n in counts if n}):
-            place, h = self.items.windows(size)
-            doc = self.items.doc[place]
-            own = np.minimum(counts[doc], WINDOW) == size
+            place, h = windows(size)
+            own = np.minimum(counts[docs[place]], WINDOW) == size
             order = np.argsort(h[own], kind="stable")
-            self.sizes[size] = h[own][order], place[own][order]
+            sizes[size] = h[own][order], place[own][order]
+        return sizes
 
-    def matches(self, docs):
-        """Consistently matched token pairs: text, item, document and item position, kinds, values."""
-        found = []
-        for size, (hashes, places) in self.sizes.items():
-            at, h = docs.windows(size)
+    @staticmethod
+    def _windows(sizes, windows):
+        """Document place, item place and size of each pair of equal windows."""
+        found = [np.zeros((3, 0), np.int64)]
+        for size, (hashes, places) in sizes.items():
+            at, h = windows(size)
             low = np.searchsorted(hashes, h)
             n = np.searchsorted(hashes, h, side="right") - low
             at, low, n = at[n > 0], low[n > 0], n[n > 0]
-            if len(at):
-                at, which = np.repeat(at, n), np.repeat(low, n)
-                which += np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                step = np.arange(size)
-                found.append(pd.DataFrame({
-                    "d": (at[:, None] + step).reshape(-1),
-                    "i": (places[which][:, None] + step).reshape(-1)}))
-        if not found:
-            return None
-        pairs = pd.concat(found).drop_duplicates()
-        d, i = pairs["d"].to_numpy(), pairs["i"].to_numpy()
-        pairs = pairs.assign(doc=docs.doc[d], item=self.items.doc[i], shift=d - i,
-                             slot=docs.kind[d] != LITERAL, there=docs.value[d],
-                             here=self.items.value[i])
-        return self._consistent(pairs)
+            at, which = np.repeat(at, n), np.repeat(low, n)
+            which += np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            found.append(np.stack([at, places[which], np.full(len(at), size)]))
+        return np.concatenate(found, axis=1)
 
     @staticmethod
-    def _consistent(pairs):
+    def _places(windows):
+        """Window number, document place and item place of each place of the windows."""
+        at, place, size = windows
+        number = np.repeat(np.arange(len(at)), size)
+        step = np.arange(len(number)) - np.repeat(np.cumsum(size) - size, size)
+        return number, at[number] + step, place[number] + step
+
+    def matches(self, docs):
+        """Matched token pairs: text, item, document and item position, slot, changed."""
+        number, d, i = self._places(self._windows(self.sizes, docs.windows))
+        kept = ~np.isin(number, number[self._conflicts(docs, d, i)])
+        _, dw, iw = self._places(self._windows(self.word_sizes, docs.word_windows))
+        same = pd.DataFrame({"d": docs.token_of[dw], "i": self.items.token_of[iw], "changed": False})
+        alike = pd.DataFrame({"d": d[kept], "i": i[kept]})
+        alike["changed"] = docs.value[alike["d"]] != self.items.value[alike["i"]]
+        pairs = pd.concat([same.drop_duplicates(), alike.drop_duplicates()])
+        pairs = pairs.sort_values(["d", "i", "changed"]).drop_duplicates(["d", "i"])
+        d, i = pairs["d"].to_numpy(), pairs["i"].to_numpy()
+        return pairs.assign(doc=docs.doc[d], item=self.items.doc[i],
+                            slot=self.items.kind[i] != LITERAL)
+
+    def _conflicts(self, docs, d, i):
+        """Which token pairs are slots that go against a better pair of values of their line.
+
+        A line is a text, an item and a shift. Its pairs of values are taken one to
+        one: the most frequent first, then equal values, then the first in the item.
+        """
+        slot = np.flatnonzero(self.items.kind[i] != LITERAL)
+        rows = pd.DataFrame({"d": d[slot], "i": i[slot]}).drop_duplicates()
         line = ["doc", "item", "shift"]
-        slots = pairs[pairs["slot"]].drop_duplicates([*line, "here", "there"])
-        twice = slots.duplicated([*line, "here"]) | slots.duplicated([*line, "there"])
-        bad = slots.loc[twice, line].drop_duplicates()
-        if not len(bad):
-            return pairs
-        marked = pairs.merge(bad.assign(bad=True), on=line, how="left")
-        return marked[marked["bad"].isna()].drop(columns="bad")
+        here, there = [*line, "here"], [*line, "there"]
+        ds, its = rows["d"].to_numpy(), rows["i"].to_numpy()
+        rows = rows.assign(doc=docs.doc[ds], item=self.items.doc[its], shift=ds - its,
+                           here=self.items.value[its], there=docs.value[ds])
+        values = rows.groupby([*line, "here", "there"], sort=False).agg(
+            n=("i", "size"), at=("i", "min")).reset_index()
+        twice = values.duplicated(here, keep=False) | values.duplicated(there, keep=False)
+        open_, bad = values[twice], []
+        open_ = open_.assign(differs=open_["here"] != open_["there"]).sort_values(
+            ["n", "differs", "at"], ascending=[False, True, True])
+        while len(open_):
+            best = ~open_.duplicated(here) & ~open_.duplicated(there)
+            taken, rest = open_[best], open_[~best]
+            beaten = np.zeros(len(rest), bool)
+            for key in (here, there):
+                beaten |= rest[key].merge(taken[key].assign(hit=True), on=key, how="left")[
+                    "hit"].notna().to_numpy()
+            bad.append(rest[beaten])
+            open_ = rest[~beaten]
+        out = np.zeros(len(d), bool)
+        if sum(map(len, bad)):
+            lost = rows.merge(pd.concat(bad)[[*line, "here", "there"]], on=[*line, "here", "there"])
+            n = np.int64(len(self.items.doc))
+            out[slot] = np.isin(d[slot] * n + i[slot], lost["d"].to_numpy() * n + lost["i"].to_numpy())
+        return out
 
     def leaks(self, data, at, covered):
         """Per text and item: tokens matched, share of the item, slots, and how many differ."""
         docs = Templates(data, at)
         pairs = self.matches(docs)
-        if pairs is None or not len(pairs):
+        if not len(pairs):
             return None
-        changed = pairs["slot"] & (pairs["here"] != pairs["there"])
-        pairs = pairs.assign(changed=changed, slot=pairs["slot"])
         pairs = pairs.sort_values(["doc", "item", "i", "changed", "d"]).drop_duplicates(
             ["doc", "item", "i"])
         out = pairs.groupby(["doc", "item"]).agg(
@@ -199,9 +248,8 @@ def leaks(docs, benchmark, covered=0.3, doc_id="doc_id", item_id="item_id", text
 
     One row per document row and item: doc_id, item_id, n_tokens matched, the
     share ``covered``, n_slots and n_changed (slots with another value than the
-    item's). Null and empty texts hold nothing and are not held; items without
-    a literal word in half of their tokens cannot be told apart and match
-    nothing. Repeated rows on either side give repeated results. The benchmark
+    item's). Null and empty texts hold nothing and are not held; windows without
+    a literal word in half of their tokens match only word for word. Repeated rows on either side give repeated results. The benchmark
     goes to tasks in blocks of bounded size, each against all documents; with
     no items the result is empty.
     """
