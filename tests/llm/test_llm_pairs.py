@@ -225,6 +225,17 @@ def test_a_conflict_drops_only_its_windows(spark):
     assert found[0, 0].covered < 1 and found[0, 0].n_changed == 0
 
 
+def test_a_run_of_a_long_item_is_a_leak(spark):
+    item = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)).split()
+    texts = [" ".join(["say", *item[50:50 + n], "end"]) for n in (12, 13, 60)]
+    texts.append(" ".join([*item[:9], "x", *item[20:29]]))  # 18 tokens, but not in a row
+    found = leaks(spark, texts, [" ".join(item)])
+    assert sorted(found) == [(1, 0), (2, 0)] and found[1, 0].n_tokens == 13
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    assert sorted(r.doc_id for r in templates.decontaminate(
+        frame(spark, list(enumerate(texts))), bench).collect()) == [0, 3]
+
+
 def test_short_and_empty_items(spark):
     found = leaks(spark, ["say blue whale now", "other", "9 9 9 9"], ["blue whale", "", None, "1 2 3"])
     assert sorted(found) == [(0, 0)]

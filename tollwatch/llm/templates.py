@@ -19,6 +19,8 @@ from tollwatch.llm.words import (
 )
 
 WINDOW = 8
+#: Tokens in a row that make a leak, however long the item is.
+RUN = 13
 #: Characters of benchmark text that are held in memory and sent to tasks at once.
 BLOCK_CHARS = 4 << 20
 LITERAL, NUMBER, UNIT, NAME = range(4)
@@ -214,19 +216,32 @@ class Index:
             out[slot] = np.isin(d[slot] * n + i[slot], lost["d"].to_numpy() * n + lost["i"].to_numpy())
         return out
 
+    @staticmethod
+    def _longest(pairs):
+        """Most item tokens matched in a row at one shift, per text and item."""
+        line = ["doc", "item", "shift"]
+        rows = pairs.assign(shift=pairs["d"] - pairs["i"]).sort_values([*line, "i"])
+        before = rows[[*line, "i"]].shift()
+        goes_on = (rows[line] == before[line]).all(axis=1) & (rows["i"] == before["i"] + 1)
+        sizes = rows.groupby((~goes_on).cumsum()).agg(
+            doc=("doc", "first"), item=("item", "first"), run=("i", "size"))
+        return sizes.groupby(["doc", "item"])["run"].max()
+
     def leaks(self, data, at, covered):
         """Per text and item: tokens matched, share of the item, slots, and how many differ."""
         docs = Templates(data, at)
         pairs = self.matches(docs)
         if not len(pairs):
             return None
+        longest = self._longest(pairs)
         pairs = pairs.sort_values(["doc", "item", "i", "changed", "d"]).drop_duplicates(
             ["doc", "item", "i"])
         out = pairs.groupby(["doc", "item"]).agg(
             n_tokens=("i", "size"), n_slots=("slot", "sum"),
             n_changed=("changed", "sum")).reset_index()
         out["covered"] = out["n_tokens"] / self.items.counts[out["item"]]
-        return out[out["covered"] >= covered]
+        run = longest.loc[pd.MultiIndex.from_frame(out[["doc", "item"]])].to_numpy()
+        return out[(out["covered"] >= covered) | (run >= RUN)]
 
 
 def _blocks(benchmark, item_id, text):
@@ -244,7 +259,7 @@ def _blocks(benchmark, item_id, text):
 
 def leaks(docs, benchmark, covered=0.3, doc_id="doc_id", item_id="item_id", text="text",
           item_text="text"):
-    """Documents and benchmark items of which they hold the share ``covered`` or more.
+    """Documents and benchmark items of which they hold the share ``covered`` or a run of ``RUN`` tokens.
 
     One row per document row and item: doc_id, item_id, n_tokens matched, the
     share ``covered``, n_slots and n_changed (slots with another value than the
@@ -282,7 +297,7 @@ def _leak_rows(shared, covered, doc_id, item_id):
 
 def decontaminate(docs, benchmark, covered=0.3, text="text", item_id="item_id",
                   item_text="text"):
-    """``docs`` without the rows that hold an item's share ``covered`` or more; columns unchanged."""
+    """``docs`` without the rows that ``leaks`` would report; columns unchanged."""
     names = docs.columns
     for index in _blocks(benchmark, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(index)
