@@ -312,6 +312,29 @@ def test_invalid_values_and_odd_texts_stay(spark):
         pseudonymized(spark, ["x"], "")
 
 
+def test_cards_beside_other_digits_and_wider_phones(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"card {card} 12/26", "4111111111111111 123", f"order 1234 {card}",
+             f"{card} 4190-6097-3268-7108 7", "call (555)123-4567", "call 5551234567.",
+             "call +33 1 23 45 67 89", "to 4190609732687109@mail.example.com", f"12 5551234567 {card}",
+             "1 4190609732687108@mail.example.com", f"{card} 2024-02-29", card]
+    got = pseudonymized(spark, texts)
+    kinds = [{"card": 1}] * 3 + [{"card": 2}] + [{"phone": 1}] * 3 + [{"email": 1}] + [
+        {"phone": 1, "card": 1}, {"email": 1}, {"card": 1, "date": 1}, {"card": 1}]
+    assert [got[i].pii for i in range(len(texts))] == kinds
+    new = got[11].text
+    assert luhn(new) and new != card
+    for i in (0, 2, 8, 10):
+        assert new in got[i].text and card not in got[i].text
+    assert got[0].text == f"card {new} 12/26" and got[2].text == f"order 1234 {new}"
+    assert got[1].text == new.replace(" ", "") + " 123" and got[3].text.endswith(" 7")
+    assert got[6].text.startswith("call +33 ") and got[6].text != texts[6]
+    for text, row in zip(texts, (got[i] for i in range(len(texts)))):
+        assert re.sub("[0-9]", "9", row.text) == re.sub("[0-9]", "9", text)
+    hidden = ["sha 0ab5551234567cd", "t 1700000000", "0.5551234567"]
+    assert [pseudonymized(spark, hidden)[i].text for i in range(3)] == hidden
+
+
 def test_the_network_is_a_permutation(spark):
     made = spark.range(10_000).select(
         pseudonyms.permuted_digits("k", F.lit("t"), F.lpad("id", 4, "0")).alias("a"),

@@ -19,13 +19,22 @@ ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 SLASH_DATE = r"(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = (r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
-         r"|(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
-CARD = r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])"
+         r"|(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,3}\)?(?:[ .-]?[0-9]{2}){4}(?![0-9])"
+         r"|(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
+         r"|(?<![0-9+])(?:\([0-9]{3}\)[ .-]?|\(?[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9])")
+#: Ten digits that stand alone; after cards, which may be written in such groups.
+BARE = r"(?<![A-Za-z0-9+.])[2-9][0-9]{9}(?![A-Za-z0-9]|\.[0-9])"
+#: Groups of digits up to where something else begins; the cards are looked for inside.
+GROUPS = (r"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++"
+          rf"(?:[ -](?!{EMAIL}|{ADDRESS}|{ISO_DATE}|{SLASH_DATE}|{SOCIAL}|{PHONE})[0-9]++)*+")
 KINDS = {"email": EMAIL, "address": ADDRESS, "date": f"{ISO_DATE}|{SLASH_DATE}",
-         "social": SOCIAL, "phone": PHONE, "card": CARD}
+         "social": SOCIAL, "phone": PHONE, "card": GROUPS, "bare": BARE}
+#: First digits and lengths that card issuers use; such a number goes before other valid ones.
+ISSUED = (r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|5[0-9]{15}|2[2-7][0-9]{14}|3[47][0-9]{13}"
+          r"|3[068][0-9]{12}|35[0-9]{14}|6[0-9]{15,18})$")
 #: All kinds but the first start with one of a few characters, so most places fail at one look.
 NUMBERS = "(?=[0-9+(])(?:" + "|".join(p for k, p in KINDS.items() if k != "email") + ")"
-ANY = f"{NUMBERS}|{EMAIL}"
+ANY = f"{EMAIL}|{NUMBERS}"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 #: Dates from 1900-01-01 on are numbered below 270 * 270; the last is 2099-08-05.
@@ -198,13 +207,78 @@ def _card(key, text):
     return F.when(_let(digits, _luhn_sum) % 10 == 0, _refill(text, _let(body, checked)))
 
 
+def _best(groups, k, issued):
+    """How many groups from the ``k``-th on are a valid card, of 16 digits if one is; 0 if none."""
+    def card(m):
+        digits = F.array_join(F.slice(groups, k, m), "")
+        size = F.length(digits)
+        fits = size.between(13, 19)
+        if issued:
+            fits = fits & digits.rlike(ISSUED)
+        return F.when(fits, F.when(_let(digits, _luhn_sum) % 10 == 0, F.struct(
+            (size == 16).alias("usual"), size.alias("size"), m.alias("m"))))
+
+    most = F.least(F.lit(19), F.size(groups) - k + 1)
+    found = F.array_max(F.transform(F.sequence(F.lit(1), most), card))
+    return F.coalesce(found["m"], F.lit(0))
+
+
+def _cards(key, text):
+    """Kinds and text of digit groups with all cards, and what then is left as a phone, replaced.
+
+    From left to right; a valid number with no issuer's form gives way to one
+    with it that begins inside.
+    """
+    def in_groups(groups):
+        places = F.sequence(F.lit(1), F.size(groups))
+        issued = F.transform(places, lambda k: _best(groups, k, True))
+        return _let(issued, lambda own: F.aggregate(places, start, lambda s, k: step(
+            groups, own, s, k), lambda s: F.struct(
+            s["kinds"].alias("kinds"), s["value"].alias("value"))))
+
+    def taken(groups, issued, k):
+        def other(m):
+            inside = F.exists(F.slice(issued, k + 1, F.greatest(m - 1, F.lit(0))), lambda x: x > 0)
+            return F.when(inside, F.lit(0)).otherwise(m)
+
+        own = F.element_at(issued, k)
+        return F.when(own > 0, own).otherwise(_let(_best(groups, k, False), other))
+
+    def step(groups, issued, s, k):
+        def put(m):
+            n = F.greatest(m, F.lit(1))
+            size = F.length(F.array_join(F.slice(groups, k, n), "")) + n - 1
+            old = text.substr(s["at"], size)
+            phone = (m == 0) & old.rlike("^[2-9][0-9]{9}$")
+            new = F.when(m > 0, _card(key, old)).when(phone, _phone(key, old)).otherwise(old)
+            kind = F.when(m > 0, F.array(F.lit("card"))).when(phone, F.array(F.lit("phone")))
+            return F.struct(
+                (k + n).alias("next"), (s["at"] + size + 1).alias("at"),
+                F.when(kind.isNull(), s["kinds"]).otherwise(F.concat(s["kinds"], kind)).alias("kinds"),
+                F.concat(s["value"], new, text.substr(s["at"] + size, F.lit(1))).alias("value"))
+
+        return F.when(k < s["next"], s).otherwise(_let(taken(groups, issued, k), put))
+
+    start = F.struct(F.lit(1).alias("next"), F.lit(1).alias("at"),
+                     F.array().cast("array<string>").alias("kinds"), F.lit("").alias("value"))
+    return _let(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), in_groups)
+
+
 def _replaced(key, value):
-    """Kind and pseudonym of one match; null where it is no valid number or date."""
+    """Kinds and new text of one match; no kinds where it holds no valid number or date."""
     makers = {"email": _email, "address": _address, "date": _date, "social": _social,
-              "phone": _phone, "card": _card}
-    found = F.lit(None).cast("struct<kind:string,value:string>")
+              "phone": _phone, "bare": _phone}
+
+    def named(kind):
+        return lambda new: F.struct(F.when(new.isNotNull(), F.array(F.lit(kind))).alias("kinds"),
+                                    new.alias("value"))
+
+    found = F.lit(None).cast("struct<kinds:array<string>,value:string>")
     for kind, pattern in reversed(KINDS.items()):
-        made = F.struct(F.lit(kind).alias("kind"), makers[kind](key, value).alias("value"))
+        if kind == "card":
+            made = _cards(key, value)
+        else:
+            made = _let(makers[kind](key, value), named("phone" if kind == "bare" else kind))
         found = F.when(value.rlike(f"^(?:{pattern})$"), made).otherwise(found)
     return found
 
@@ -216,7 +290,9 @@ def pseudonymize(docs, key, text="text", out="text", counts="pii"):
     replaced values; columns of those names are replaced, all others stay as
     they are. What looks like a number but is not valid (a card whose check
     digit is wrong, an address above 255, a date that does not exist or lies
-    before 1900 or after 2099-08-05) stays. A null text stays null with an
+    before 1900 or after 2099-08-05) stays. In a row of digit groups every
+    sub-row of 13 to 19 digits is tried as a card. Phones are numbers with a
+    country code and ten digits with or without area brackets and separators. A null text stays null with an
     empty map; an empty text stays empty. Rows are independent of each other.
     """
     if not key:
@@ -231,8 +307,8 @@ def pseudonymize(docs, key, text="text", out="text", counts="pii"):
         v.alias("old"), _replaced(key, v).alias("new")))
     pieces = F.zip_with(F.col("__between"), F.col("__pairs"), lambda b, p: F.concat(
         b, F.coalesce(p["new"]["value"], p["old"], F.lit(""))))
-    kinds = F.filter(F.transform(F.col("__pairs"), lambda p: F.when(
-        p["new"]["value"].isNotNull(), p["new"]["kind"])), lambda k: k.isNotNull())
+    kinds = F.flatten(F.transform(F.col("__pairs"), lambda p: F.coalesce(
+        p["new"]["kinds"], F.array().cast("array<string>"))))
     counted = F.map_from_arrays(F.array_distinct(kinds), F.transform(
         F.array_distinct(kinds), lambda k: F.size(F.filter(kinds, lambda x: x == k))))
     has = F.size("__values") > 0
