@@ -412,3 +412,16 @@ def test_chains_bridge_changed_words(spark):
     assert label in got[0].labels.split(",") and spans[label].covered > 0.9
     assert spans[label].first_word == 2
     assert got[1].labels == "" and got[1].score == 0
+
+
+def test_each_occurrence_of_a_license_has_a_span(spark):
+    label, template = licenses.TEMPLATES[0]
+    n = len(re.findall("[A-Za-z0-9]+", template))
+    for between in ("", "code " * 100):
+        text = f" {between} ".join(["intro", *[template] * 5])
+        got = licenses.scan_licenses(frame(spark, [(1, text)])).first()
+        spans = sorted((s.first_word, s.end_word) for s in got.spans if s.label == label)
+        step = n + len(between.split())
+        first = 1 + len(between.split())
+        assert spans == [(first + k * step, first + k * step + n) for k in range(5)]
+        assert got.score == 1 and got.labels.split(",").count(label) == 1

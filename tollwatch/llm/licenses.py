@@ -7,6 +7,7 @@ spans that keep the template's order, and a template is reported if the chain
 covers enough of it.
 """
 
+import bisect
 import functools
 
 import numpy as np
@@ -173,31 +174,68 @@ class Scanner:
                 found.setdefault(doc, []).append((base + end - length + 1, length, state))
         return found
 
-    def chains(self, matches):
-        """Best chain per template: (label, covered share, first word, end word)."""
+    def chains(self, matches, covered):
+        """Chains per template, best first: (label, covered share, first word, end word).
+
+        The runs that the best chains use or overlap are left out and the rest is
+        chained anew, as long as a chain reaches the share ``covered``. The best one
+        of a template is listed in any case.
+        """
         spans = {}
         for start, length, state in matches:
             for template, end in self.automaton.ends[state]:
                 spans.setdefault(template, set()).add((start, end - length + 1, length))
         out = []
         for template, own in sorted(spans.items()):
-            own, best = sorted(own), []
-            open_from = 0
-            for i, (start, place, length) in enumerate(own):
-                while own[open_from][0] + max(self.sizes[template], own[open_from][2]) + self.gap < start:
-                    open_from += 1
-                top = (length, start, start + length)
-                for j in range(open_from, i):
-                    s, p, n = own[j]
-                    skip = max(0, s + n - start, p + n - place)
-                    if s < start and p < place and skip < length and start - (s + n) <= self.gap:
-                        gain = best[j][0] + length - skip
-                        top = max(top, (gain, best[j][1], start + length))
-                best.append(top)
-            covered, low, high = max(best, key=lambda b: (b[0], -b[1]))
-            out.append((self.labels[template], min(1.0, covered / int(self.sizes[template])), low, high))
+            size = int(self.sizes[template])
+            own, found = sorted(own), []
+            while own:
+                chains = self._best_chains(template, own)
+                free = [c for c in chains if c[0] >= covered * size] or chains[:not found]
+                found += [(self.labels[template], min(1.0, n / size), *at) for n, *at in free]
+                if free[:1] and free[0][0] >= covered * size:
+                    taken = Spans([[*c[1:]] for c in free])
+                    own = [r for r in own if taken.free(r[0], r[0] + r[2])]
+                else:
+                    own = []
+            out += sorted(found, key=lambda c: (-c[1], c[2]))
         return out
 
+    def _best_chains(self, template, own):
+        """Words, first word and end word of chains of sorted runs, best first, none over another."""
+        best, open_from = [], 0
+        for i, (start, place, length) in enumerate(own):
+            while own[open_from][0] + max(self.sizes[template], own[open_from][2]) + self.gap < start:
+                open_from += 1
+            top = (length, start, start + length)
+            for j in range(open_from, i):
+                s, p, n = own[j]
+                skip = max(0, s + n - start, p + n - place)
+                if s < start and p < place and skip < length and start - (s + n) <= self.gap:
+                    gain = best[j][0] + length - skip
+                    top = max(top, (gain, best[j][1], start + length))
+            best.append(top)
+        taken = Spans([])
+        return [b for b in sorted(best, key=lambda b: (-b[0], b[1])) if taken.take(*b[1:])]
+
+
+class Spans:
+    """Spans of words none of which lies over another."""
+
+    def __init__(self, spans):
+        self.spans = sorted(spans)
+
+    def free(self, low, high):
+        i = bisect.bisect_left(self.spans, [high]) if self.spans else 0
+        return i == 0 or self.spans[i - 1][1] <= low
+
+    def take(self, low, high):
+        """Whether the span was free; then it is taken."""
+        free = self.free(low, high)
+        if free:
+            bisect.insort(self.spans, [low, high])
+        return free
+
 
 @functools.lru_cache(4)
 def scanner(templates, phrases, least, gap):
@@ -215,8 +253,8 @@ def scan_licenses(docs, templates=None, phrases=None, least=5, gap=40, covered=0
                   doc_id="doc_id", text="text"):
     """Base phrases and covered license templates of each row's whole text.
 
-    ``spans`` has, for every template of which a chain of runs of at least
-    ``least`` words covers the share ``covered``, the label, that share and the
+    ``spans`` has, for every place where a chain of runs of at least ``least``
+    words covers the share ``covered`` of a template, the label, that share and the
     words from ``first_word`` to before ``end_word``; ``labels`` joins their
     labels with those of the base phrases, ``score`` is the best share over all
     templates. A null or empty text has no words, no labels and score 0. Rows
@@ -244,7 +282,7 @@ def scan_licenses(docs, templates=None, phrases=None, least=5, gap=40, covered=0
                 base[d].add(scan.phrases[k][1])
             spans, score = [[] for _ in base], np.zeros(len(texts))
             for d, found in scan.matches(texts, hashes).items():
-                chained = scan.chains(found)
+                chained = scan.chains(found, covered)
                 score[d] = max(c[1] for c in chained)
                 spans[d] = [dict(zip(("label", "covered", "first_word", "end_word"), c, strict=True))
                             for c in chained if c[1] >= covered]
