@@ -1,10 +1,12 @@
 """A corpus run: reject, dedupe, decontaminate, mix, tokenize.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept.
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. What a
+stage keeps is written as Parquet below ``spark.checkpoint.dir`` and read by the next one.
 """
 
 from tollwatch.llm import attention, darts, mixing, templates, tokens
 from tollwatch.llm.queries import OTHER, TARGETS, tokenizer_path
+from tollwatch.session import written
 
 
 def quality(spark, docs, sf_dir):
@@ -45,6 +47,6 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

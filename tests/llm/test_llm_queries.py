@@ -65,3 +65,26 @@ def test_stages_of_empty_documents(spark):
 
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SMALL).columns == tokens.ROWS.replace(" long", "").split(", ")
+
+
+def test_run_writes_every_stage_but_the_last(spark, monkeypatch):
+    read = []
+
+    def stage(name):
+        def keep(spark, docs, sf_dir):
+            read.append(docs.inputFiles())
+            return docs.where("ran(doc_id)")
+        return name, keep
+
+    total = spark.sparkContext.accumulator(0)
+
+    def count(_):
+        total.add(1)
+        return True
+
+    spark.udf.register("ran", count, "boolean")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage(n) for n in ("a b", "c", "d")])
+    n = spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    out = corpus_pipeline.run(spark, SMALL)
+    assert total.value == 2 * n and out.count() == n
+    assert "/a-b-" in read[1][0] and "/c-" in read[2][0]
