@@ -249,3 +249,54 @@ def test_countries_in_any_case_and_short(spark):
     assert tickets.ticket_fields(one(spark, text)).first().country == [
         "Guinea-Bissau", "Italy", "Niger", "Nigeria", "United Kingdom", "United States"]
     assert tickets.ticket_fields(one(spark, "in Foo"), ["Foo"]).first().country == ["Foo"]
+
+
+#: ISO 3166 and Kosovo, written out here so that a gap in the table shows.
+ISO_NAMES = """
+    Afghanistan| Åland Islands| Albania| Algeria| American Samoa| Andorra| Angola| Anguilla|
+    Antarctica| Antigua and Barbuda| Argentina| Armenia| Aruba| Australia| Austria| Azerbaijan|
+    Bahamas| Bahrain| Bangladesh| Barbados| Belarus| Belgium| Belize| Benin| Bermuda| Bhutan|
+    Bolivia| Bonaire, Sint Eustatius and Saba| Bosnia and Herzegovina| Botswana| Bouvet Island|
+    Brazil| British Indian Ocean Territory| British Virgin Islands| Brunei Darussalam| Bulgaria|
+    Burkina Faso| Burundi| Cabo Verde| Cambodia| Cameroon| Canada| Cayman Islands| Central
+    African Republic| Chad| Chile| China| Christmas Island| Cocos (Keeling) Islands| Colombia|
+    Comoros| Congo| Democratic Republic of the Congo| Cook Islands| Costa Rica| Côte d'Ivoire|
+    Croatia| Cuba| Curaçao| Cyprus| Czechia| Denmark| Djibouti| Dominica| Dominican Republic|
+    Ecuador| Egypt| El Salvador| Equatorial Guinea| Eritrea| Estonia| Eswatini| Ethiopia|
+    Falkland Islands| Faroe Islands| Fiji| Finland| France| French Guiana| French Polynesia|
+    French Southern Territories| Gabon| Gambia| Georgia| Germany| Ghana| Gibraltar| Greece|
+    Greenland| Grenada| Guadeloupe| Guam| Guatemala| Guernsey| Guinea| Guinea-Bissau| Guyana|
+    Haiti| Heard Island and McDonald Islands| Holy See| Honduras| Hong Kong| Hungary| Iceland|
+    India| Indonesia| Iran| Iraq| Ireland| Isle of Man| Israel| Italy| Jamaica| Japan| Jersey|
+    Jordan| Kazakhstan| Kenya| Kiribati| North Korea| South Korea| Kosovo| Kuwait| Kyrgyzstan|
+    Laos| Latvia| Lebanon| Lesotho| Liberia| Libya| Liechtenstein| Lithuania| Luxembourg| Macao|
+    Madagascar| Malawi| Malaysia| Maldives| Mali| Malta| Marshall Islands| Martinique|
+    Mauritania| Mauritius| Mayotte| Mexico| Micronesia| Moldova| Monaco| Mongolia| Montenegro|
+    Montserrat| Morocco| Mozambique| Myanmar| Namibia| Nauru| Nepal| Netherlands| New Caledonia|
+    New Zealand| Nicaragua| Niger| Nigeria| Niue| Norfolk Island| North Macedonia| Northern
+    Mariana Islands| Norway| Oman| Pakistan| Palau| Palestine| Panama| Papua New Guinea|
+    Paraguay| Peru| Philippines| Pitcairn| Poland| Portugal| Puerto Rico| Qatar| Réunion|
+    Romania| Russian Federation| Rwanda| Saint Barthélemy| Saint Helena| Saint Kitts and Nevis|
+    Saint Lucia| Saint Martin| Saint Pierre and Miquelon| Saint Vincent and the Grenadines|
+    Samoa| San Marino| Sao Tome and Principe| Saudi Arabia| Senegal| Serbia| Seychelles| Sierra
+    Leone| Singapore| Sint Maarten| Slovakia| Slovenia| Solomon Islands| Somalia| South Africa|
+    South Georgia and the South Sandwich Islands| South Sudan| Spain| Sri Lanka| Sudan|
+    Suriname| Svalbard and Jan Mayen| Sweden| Switzerland| Syrian Arab Republic| Taiwan|
+    Tajikistan| Tanzania| Thailand| Timor-Leste| Togo| Tokelau| Tonga| Trinidad and Tobago|
+    Tunisia| Türkiye| Turkmenistan| Turks and Caicos Islands| Tuvalu| Uganda| Ukraine| United
+    Arab Emirates| United Kingdom| United States Minor Outlying Islands| United States of
+    America| Uruguay| Uzbekistan| Vanuatu| Venezuela| Viet Nam| US Virgin Islands| Wallis and
+    Futuna| Western Sahara| Yemen| Zambia| Zimbabwe
+"""
+
+
+def test_all_iso_countries_are_found(spark):
+    names = [" ".join(n.split()) for n in ISO_NAMES.split("|")]
+    assert len(names) == 250
+    rows = [(i, f"traffic to {n}, blocked", n) for i, n in enumerate([*names, *map(str.upper, names)])]
+    got = {r.ticket_id: r.country for r in tickets.ticket_fields(spark.createDataFrame(
+        rows, "ticket_id long, text string, n string")).collect()}
+    short = [n for i, t, n in rows if not n.upper().startswith("US ") and len(got[i]) != 1]
+    assert short == []
+    assert len({c for found in got.values() for c in found}) == 250
+    assert all(got[i] == got[i + 250] for i in range(250))

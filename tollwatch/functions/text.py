@@ -73,35 +73,97 @@ ISSUE_DECODING = [
 # Country names, looked for in any letter case unless the caller names others,
 # and short forms, looked for as they stand.
 COUNTRIES = [
-    "Afghanistan", "Albania", "Algeria", "Andorra", "Angola", "Antigua and Barbuda", "Argentina",
-    "Armenia", "Australia", "Austria", "Azerbaijan", "Bahamas", "Bahrain", "Bangladesh",
-    "Barbados", "Belarus", "Belgium", "Belize", "Benin", "Bhutan", "Bolivia",
-    "Bosnia and Herzegovina", "Botswana", "Brazil", "Brunei", "Bulgaria", "Burkina Faso",
-    "Burundi", "Cambodia", "Cameroon", "Canada", "Cape Verde", "Central African Republic", "Chad",
-    "Chile", "China", "Colombia", "Comoros", "Congo", "Costa Rica", "Croatia", "Cuba", "Cyprus",
-    "Czechia", "Denmark", "Djibouti", "Dominica", "Dominican Republic", "Ecuador", "Egypt",
-    "El Salvador", "Equatorial Guinea", "Eritrea", "Estonia", "Eswatini", "Ethiopia", "Fiji",
-    "Finland", "France", "Gabon", "Gambia", "Georgia", "Germany", "Ghana", "Greece", "Grenada",
-    "Guatemala", "Guinea", "Guinea-Bissau", "Guyana", "Haiti", "Honduras", "Hungary", "Iceland",
-    "India", "Indonesia", "Iran", "Iraq", "Ireland", "Israel", "Italy", "Ivory Coast", "Jamaica",
-    "Japan", "Jordan", "Kazakhstan", "Kenya", "Kiribati", "Kuwait", "Kyrgyzstan", "Laos",
-    "Latvia", "Lebanon", "Lesotho", "Liberia", "Libya", "Liechtenstein", "Lithuania",
-    "Luxembourg", "Madagascar", "Malawi", "Malaysia", "Maldives", "Mali", "Malta",
-    "Marshall Islands", "Mauritania", "Mauritius", "Mexico", "Micronesia", "Moldova", "Monaco",
-    "Mongolia", "Montenegro", "Morocco", "Mozambique", "Myanmar", "Namibia", "Nauru", "Nepal",
-    "Netherlands", "New Zealand", "Nicaragua", "Niger", "Nigeria", "North Korea",
-    "North Macedonia", "Norway", "Oman", "Pakistan", "Palau", "Panama", "Papua New Guinea",
-    "Paraguay", "Peru", "Philippines", "Poland", "Portugal", "Qatar", "Romania", "Russia",
-    "Rwanda", "Saint Lucia", "Samoa", "San Marino", "Saudi Arabia", "Senegal", "Serbia",
-    "Seychelles", "Sierra Leone", "Singapore", "Slovakia", "Slovenia", "Solomon Islands",
-    "Somalia", "South Africa", "South Korea", "South Sudan", "Spain", "Sri Lanka", "Sudan",
-    "Suriname", "Sweden", "Switzerland", "Syria", "Taiwan", "Tajikistan", "Tanzania", "Thailand",
-    "Togo", "Tonga", "Tunisia", "Turkey", "Turkmenistan", "Tuvalu", "Uganda", "Ukraine",
-    "United Arab Emirates", "United Kingdom", "United States", "Uruguay", "Uzbekistan", "Vanuatu",
-    "Venezuela", "Vietnam", "Yemen", "Zambia", "Zimbabwe",
+    "Afghanistan", "Åland Islands", "Albania", "Algeria", "American Samoa", "Andorra", "Angola",
+    "Anguilla", "Antarctica", "Antigua and Barbuda", "Argentina", "Armenia", "Aruba", "Australia",
+    "Austria", "Azerbaijan", "Bahamas", "Bahrain", "Bangladesh", "Barbados", "Belarus", "Belgium",
+    "Belize", "Benin", "Bermuda", "Bhutan", "Bolivia", "Bonaire, Sint Eustatius and Saba",
+    "Bosnia and Herzegovina", "Botswana", "Bouvet Island", "Brazil",
+    "British Indian Ocean Territory", "British Virgin Islands", "Brunei", "Bulgaria",
+    "Burkina Faso", "Burundi", "Cambodia", "Cameroon", "Canada", "Cape Verde", "Cayman Islands",
+    "Central African Republic", "Chad", "Chile", "China", "Christmas Island", "Cocos Islands",
+    "Colombia", "Comoros", "Congo", "Cook Islands", "Costa Rica", "Croatia", "Cuba", "Curaçao",
+    "Cyprus", "Czechia", "Democratic Republic of the Congo", "Denmark", "Djibouti", "Dominica",
+    "Dominican Republic", "Ecuador", "Egypt", "El Salvador", "Equatorial Guinea", "Eritrea",
+    "Estonia", "Eswatini", "Ethiopia", "Falkland Islands", "Faroe Islands", "Fiji", "Finland",
+    "France", "French Guiana", "French Polynesia", "French Southern Territories", "Gabon",
+    "Gambia", "Georgia", "Germany", "Ghana", "Gibraltar", "Greece", "Greenland", "Grenada",
+    "Guadeloupe", "Guam", "Guatemala", "Guernsey", "Guinea", "Guinea-Bissau", "Guyana", "Haiti",
+    "Heard Island and McDonald Islands", "Honduras", "Hong Kong", "Hungary", "Iceland", "India",
+    "Indonesia", "Iran", "Iraq", "Ireland", "Isle of Man", "Israel", "Italy", "Ivory Coast",
+    "Jamaica", "Japan", "Jersey", "Jordan", "Kazakhstan", "Kenya", "Kiribati", "Kosovo", "Kuwait",
+    "Kyrgyzstan", "Laos", "Latvia", "Lebanon", "Lesotho", "Liberia", "Libya", "Liechtenstein",
+    "Lithuania", "Luxembourg", "Macau", "Madagascar", "Malawi", "Malaysia", "Maldives", "Mali",
+    "Malta", "Marshall Islands", "Martinique", "Mauritania", "Mauritius", "Mayotte", "Mexico",
+    "Micronesia", "Moldova", "Monaco", "Mongolia", "Montenegro", "Montserrat", "Morocco",
+    "Mozambique", "Myanmar", "Namibia", "Nauru", "Nepal", "Netherlands", "New Caledonia",
+    "New Zealand", "Nicaragua", "Niger", "Nigeria", "Niue", "Norfolk Island", "North Korea",
+    "North Macedonia", "Northern Mariana Islands", "Norway", "Oman", "Pakistan", "Palau",
+    "Palestine", "Panama", "Papua New Guinea", "Paraguay", "Peru", "Philippines", "Pitcairn",
+    "Poland", "Portugal", "Puerto Rico", "Qatar", "Romania", "Russia", "Rwanda", "Réunion",
+    "Saint Barthélemy", "Saint Helena", "Saint Kitts and Nevis", "Saint Lucia", "Saint Martin",
+    "Saint Pierre and Miquelon", "Saint Vincent and the Grenadines", "Samoa", "San Marino",
+    "Sao Tome and Principe", "Saudi Arabia", "Senegal", "Serbia", "Seychelles", "Sierra Leone",
+    "Singapore", "Sint Maarten", "Slovakia", "Slovenia", "Solomon Islands", "Somalia",
+    "South Africa", "South Georgia and the South Sandwich Islands", "South Korea", "South Sudan",
+    "Spain", "Sri Lanka", "Sudan", "Suriname", "Svalbard and Jan Mayen", "Sweden", "Switzerland",
+    "Syria", "Taiwan", "Tajikistan", "Tanzania", "Thailand", "Timor-Leste", "Togo", "Tokelau",
+    "Tonga", "Trinidad and Tobago", "Tunisia", "Turkey", "Turkmenistan",
+    "Turks and Caicos Islands", "Tuvalu", "US Virgin Islands", "Uganda", "Ukraine",
+    "United Arab Emirates", "United Kingdom", "United States",
+    "United States Minor Outlying Islands", "Uruguay", "Uzbekistan", "Vanuatu", "Vatican City",
+    "Venezuela", "Vietnam", "Wallis and Futuna", "Western Sahara", "Yemen", "Zambia", "Zimbabwe",
 ]
+# Other spellings and former names, looked for unless the caller names countries.
+OTHER_NAMES = {
+    "Aland Islands": "Åland Islands", "Antigua & Barbuda": "Antigua and Barbuda",
+    "Barbuda": "Antigua and Barbuda", "Bonaire": "Bonaire, Sint Eustatius and Saba",
+    "Bosnia": "Bosnia and Herzegovina", "Bosnia & Herzegovina": "Bosnia and Herzegovina",
+    "Brunei Darussalam": "Brunei", "Burma": "Myanmar", "Cabo Verde": "Cape Verde",
+    "Cocos (Keeling) Islands": "Cocos Islands", "Congo-Brazzaville": "Congo",
+    "Congo-Kinshasa": "Democratic Republic of the Congo", "Cote d'Ivoire": "Ivory Coast",
+    "Curacao": "Curaçao", "Czech Republic": "Czechia", "Côte d'Ivoire": "Ivory Coast",
+    "Côte d’Ivoire": "Ivory Coast", "DR Congo": "Democratic Republic of the Congo",
+    "Democratic People's Republic of Korea": "North Korea",
+    "Democratic Republic of Congo": "Democratic Republic of the Congo",
+    "East Timor": "Timor-Leste", "Faeroe Islands": "Faroe Islands",
+    "Federated States of Micronesia": "Micronesia", "Great Britain": "United Kingdom",
+    "Holy See": "Vatican City", "Hongkong": "Hong Kong", "Jan Mayen": "Svalbard and Jan Mayen",
+    "Keeling Islands": "Cocos Islands", "La Réunion": "Réunion",
+    "Lao People's Democratic Republic": "Laos", "Macao": "Macau", "Macedonia": "North Macedonia",
+    "Malvinas": "Falkland Islands", "Northern Ireland": "United Kingdom",
+    "Palestinian Territories": "Palestine", "Palestinian Territory": "Palestine",
+    "Pitcairn Islands": "Pitcairn", "Republic of Korea": "South Korea",
+    "Republic of Moldova": "Moldova", "Republic of the Congo": "Congo", "Reunion": "Réunion",
+    "Russian Federation": "Russia", "Saint Barthelemy": "Saint Barthélemy",
+    "Saint Kitts": "Saint Kitts and Nevis", "Sao Tome": "Sao Tome and Principe",
+    "Sint Eustatius": "Bonaire, Sint Eustatius and Saba",
+    "South Georgia": "South Georgia and the South Sandwich Islands",
+    "South Sandwich Islands": "South Georgia and the South Sandwich Islands",
+    "St Barthelemy": "Saint Barthélemy", "St Helena": "Saint Helena",
+    "St Kitts and Nevis": "Saint Kitts and Nevis", "St Lucia": "Saint Lucia",
+    "St Maarten": "Sint Maarten", "St Martin": "Saint Martin",
+    "St Pierre and Miquelon": "Saint Pierre and Miquelon",
+    "St Vincent and the Grenadines": "Saint Vincent and the Grenadines",
+    "St. Barthelemy": "Saint Barthélemy", "St. Barts": "Saint Barthélemy",
+    "St. Helena": "Saint Helena", "St. Kitts": "Saint Kitts and Nevis",
+    "St. Kitts and Nevis": "Saint Kitts and Nevis", "St. Lucia": "Saint Lucia",
+    "St. Maarten": "Sint Maarten", "St. Martin": "Saint Martin",
+    "St. Pierre and Miquelon": "Saint Pierre and Miquelon",
+    "St. Vincent and the Grenadines": "Saint Vincent and the Grenadines",
+    "Svalbard": "Svalbard and Jan Mayen", "Swaziland": "Eswatini",
+    "Syrian Arab Republic": "Syria", "São Tomé": "Sao Tome and Principe",
+    "São Tomé and Príncipe": "Sao Tome and Principe", "The Gambia": "Gambia",
+    "Timor Leste": "Timor-Leste", "Tobago": "Trinidad and Tobago",
+    "Trinidad": "Trinidad and Tobago", "Trinidad & Tobago": "Trinidad and Tobago",
+    "Turkiye": "Turkey", "Turks and Caicos": "Turks and Caicos Islands", "Türkiye": "Turkey",
+    "U.S. Virgin Islands": "US Virgin Islands",
+    "United States Virgin Islands": "US Virgin Islands",
+    "United States of America": "United States", "Vatican": "Vatican City", "Viet Nam": "Vietnam",
+    "Virgin Islands, British": "British Virgin Islands",
+    
+}
 SHORT_COUNTRIES = {"UK": "United Kingdom", "USA": "United States", "US": "United States",
-                   "UAE": "United Arab Emirates", "DRC": "Congo"}
+                   "UAE": "United Arab Emirates", "DRC": "Democratic Republic of the Congo"}
 
 # Opening words that confirm the last message.
 CONFIRM_WORDS = ["yes", "correct", "confirm", "confirmed", "right", "agreed"]
@@ -121,22 +183,33 @@ DATE_TEXT = "ADFJMNOS0-9", (
 CARRIER_PAIR = r"^[2-7][0-9]{2}-[0-9]{2,3}$"
 
 
+def _any_case(text):
+    """Pattern of a text inside ``(?i:)``, which folds ASCII letters only in Java."""
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() and not c.isascii() else
+                   f"[{c}]" if c in ".()" else c for c in text)
+
+
 def country_pattern(names=COUNTRIES):
     """Any of the names, grouped by first letter so that few are tried at a word."""
     groups = {}
-    for name in sorted(names, key=len, reverse=True):
-        groups.setdefault(name[0].lower(), []).append(name[1:])
-    tries = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(groups.items()))
+    for name in sorted(_with_other_names(names), key=len, reverse=True):
+        groups.setdefault(name[0].lower(), []).append(_any_case(name[1:]))
+    tries = "|".join(
+        f"{_any_case(first)}(?:{'|'.join(rest)})" for first, rest in sorted(groups.items()))
     letters = "".join(sorted(groups))
     return letters + letters.upper(), rf"\b(?i:{tries})\b"
 
 
+def _with_other_names(names):
+    return {**{n: n for n in names}, **(OTHER_NAMES if names is COUNTRIES else {})}
+
+
 SHORT_COUNTRY = "UD", r"\b(?:" + "|".join(SHORT_COUNTRIES) + r")\b"
 
 
 def country_names(names=COUNTRIES):
-    """Name in lower case, or short form, to name."""
-    return {**{n.lower(): n for n in names}, **SHORT_COUNTRIES}
+    """Name or other name in lower case, or short form, to name."""
+    return {**{k.lower(): n for k, n in _with_other_names(names).items()}, **SHORT_COUNTRIES}
 
 
 def quick(pattern):
