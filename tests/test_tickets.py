@@ -170,6 +170,20 @@ def test_transcript_pages(spark):
     assert lines == [f"user: {i}" for i in range(250)]
 
 
+def test_transcript_pages_are_bounded_for_repeated_turns(spark):
+    frame = spark.range(0, 1250).selectExpr(
+        "if(id < 250, 1L, if(id < 1249, 2L, null)) as conv_id", "if(id < 250, 0L, id % 3) as turn",
+        "'user' as role", "lpad(cast(id as string), 4, '0') as text")
+    got = {(r.conv_id, r.page): r.transcript.split("\n")
+           for r in tickets.transcript(frame).collect()}
+    assert {k: len(v) for k, v in got.items()} == {
+        (1, 0): 100, (1, 1): 100, (1, 2): 50, **{(2, k): 100 for k in range(9)}, (2, 9): 99,
+        (None, 0): 1}
+    assert [x for k in range(3) for x in got[1, k]] == [f"user: {i:04}" for i in range(250)]
+    assert [x for k in range(10) for x in got[2, k]] == [
+        f"user: {i:04}" for i in sorted(range(250, 1249), key=lambda i: (i % 3, i))]
+
+
 def test_triage_needs_no_shuffle_and_no_python(spark):
     plan = reports.triage_report(one(spark, "x"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Pandas" not in plan

@@ -111,5 +111,24 @@ def dense_rank_within(df, keys, column, name, hot=None):
     return _joined(plain(df), hot, by_range)
 
 
+def position_within(df, keys, order, name):
+    """Add ``name``: how many rows of the group come before, by ``order`` columns, ascending.
+
+    All rows are cut into ranges, so no task holds a group of any size. Only the
+    first group of a range can go on from the one before, so the carry has fewer
+    rows than there are ranges. Rows that are equal in ``order`` may be cut too.
+    """
+    order = [*order, "_tie"]
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    cut = _ranged(tied, keys, [F.col(c) for c in order])
+    before = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = cut.groupBy(*keys, RANGE).agg(F.count("*").alias("_n")).withColumn(
+        "_offset", F.sum("_n").over(before)).where("_offset > 0").drop("_n")
+    inside = F.row_number().over(Window.partitionBy(RANGE, *keys).orderBy(*order)) - 1
+    joined = _with_carry(cut.withColumn("_nth", inside), carry, keys)
+    place = F.coalesce("_offset", F.lit(0)) + F.col("_nth")
+    return joined.withColumn(name, place.cast("long")).drop(RANGE, "_tie", "_nth", "_offset")
+
+
 def _joined(cold_result, hot, by_range):
     return cold_result if hot is None else cold_result.unionByName(by_range(hot))

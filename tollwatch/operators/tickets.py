@@ -1,6 +1,6 @@
 """Triage of help tickets in batch; all rules are exact and repeatable.
 
-Every operator is a projection over ``(ticket_id, text, …)``: no shuffle, and
+Every operator but the transcripts is a projection over ``(ticket_id, text, …)``: no shuffle, and
 the rule tables are part of the plan rather than something to join.
 """
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tollwatch.functions import text as X
 from tollwatch.functions.columns import col
+from tollwatch.operators.ordered import position_within
 
 # Answers per category; one text may serve several categories.
 _UNDER_REVIEW = "We are looking into the issue; the fraud data team will follow up."
@@ -168,16 +169,18 @@ def route_messages(messages, first_turn=0):
 
 
 def transcript(messages, turns_per_page=100):
-    """Messages as ``role: text`` in turn order, in pages of a fixed number of turns.
+    """Messages as ``role: text`` in turn order, in pages of ``turns_per_page`` messages.
 
-    A page holds the messages of ``turns_per_page`` turn numbers, however long
-    its conversation is. Where turn numbers may repeat without bound, use
-    ``transcript_lines``, which collects nothing.
+    Pages go by the place of a message in its conversation, so that no page
+    has more messages, whatever their turn numbers are; messages of one turn
+    come by role and text.
     """
-    page = F.floor(F.col("turn") / turns_per_page).cast("long")
-    lines = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    placed = position_within(messages.select("conv_id", "turn", "role", "text"), ["conv_id"],
+                             ["turn", "role", "text"], "_place")
+    page = F.floor(F.col("_place") / turns_per_page).cast("long")
+    lines = F.array_sort(F.collect_list(F.struct("_place", "role", "text")))
     written = F.transform(lines, lambda m: _line(m["role"], m["text"]))
-    return messages.groupBy("conv_id", page.alias("page")).agg(
+    return placed.groupBy("conv_id", page.alias("page")).agg(
         F.array_join(written, "\n").alias("transcript"))
 
 
