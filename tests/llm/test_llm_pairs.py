@@ -258,3 +258,22 @@ def test_benchmark_blocks_give_the_same(spark, monkeypatch):
     whole = leaks(spark, texts, items)
     monkeypatch.setattr(templates, "BLOCK_CHARS", 60)
     assert leaks(spark, texts, items) == whole and len(whole) >= 3
+
+
+def test_parts_of_hot_windows_are_bounded_and_give_the_same(spark, monkeypatch):
+    words = "red green blue".split()
+    items = [QUESTION.replace("120", str(k)).replace("town", words[k % 3]) for k in range(300)]
+    texts = [QUESTION, "x " + items[7], "none of it", "", items[8] + " and " + items[9], None]
+    whole = leaks(spark, texts, items)
+    assert len(whole) == 900
+    index = templates.Index(list(range(300)), items)
+    docs = templates.Templates(*templates.raw(templates.pa.array(texts, templates.pa.large_string())))
+    monkeypatch.setattr(templates, "PLACES", 2000)
+    parts = list(index.parts(docs))
+    assert len(parts) > 10
+    assert all(sum(int(w[2].sum()) for w in part) <= 2000 for part in parts)
+    found = templates.pd.concat(index.leaks(*templates.raw(
+        templates.pa.array(texts, templates.pa.large_string())), 0.3))
+    assert {(r.doc, r.item): (r.n_tokens, r.covered, r.n_slots, r.n_changed)
+            for r in found.itertuples()} == {
+        k: (r.n_tokens, r.covered, r.n_slots, r.n_changed) for k, r in whole.items()}

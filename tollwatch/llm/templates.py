@@ -19,6 +19,8 @@ from tollwatch.llm.words import (
 )
 
 WINDOW = 8
+#: Matched places that are held at once; more are gone through in parts of texts and items.
+PLACES = 1 << 20
 #: Tokens in a row that make a leak, however long the item is.
 RUN = 13
 #: Characters of benchmark text that are held in memory and sent to tasks at once.
@@ -142,23 +144,71 @@ class Index:
             place, h = windows(size)
             own = np.minimum(counts[docs[place]], WINDOW) == size
             order = np.argsort(h[own], kind="stable")
-            sizes[size] = h[own][order], place[own][order]
+            hashes, rank = np.unique(h[own][order], return_inverse=True)
+            places = place[own][order]
+            sizes[size] = hashes, places, rank * np.int64(len(docs) + 1) + places
         return sizes
 
     @staticmethod
-    def _windows(sizes, windows):
+    def _hits(sizes, windows):
+        """Per size: document places whose window the block has, and the window's rank."""
+        out = []
+        for size, (hashes, *_) in sizes.items():
+            at, h = windows(size)
+            if len(at) and len(hashes):
+                rank = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                own = hashes[rank] == h
+                out.append((size, at[own], rank[own]))
+        return out
+
+    @staticmethod
+    def _windows(sizes, hits, n, docs, items):
+        """Hits of a range of document places, with where those of item places lie and how many."""
+        out = []
+        for size, at, rank in hits:
+            a, b = np.searchsorted(at, docs)
+            _, places, keys = sizes[size]
+            base = rank[a:b] * np.int64(n + 1)
+            low = np.searchsorted(keys, base + items[0])
+            out.append((size, at[a:b], places, low, np.searchsorted(keys, base + items[1]) - low))
+        return out
+
+    @staticmethod
+    def _pairs(windows):
         """Document place, item place and size of each pair of equal windows."""
         found = [np.zeros((3, 0), np.int64)]
-        for size, (hashes, places) in sizes.items():
-            at, h = windows(size)
-            low = np.searchsorted(hashes, h)
-            n = np.searchsorted(hashes, h, side="right") - low
-            at, low, n = at[n > 0], low[n > 0], n[n > 0]
+        for size, at, places, low, n in windows:
             at, which = np.repeat(at, n), np.repeat(low, n)
             which += np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
             found.append(np.stack([at, places[which], np.full(len(at), size)]))
         return np.concatenate(found, axis=1)
 
+    def parts(self, docs):
+        """Pairs of equal template and word windows, part after part of at most ``PLACES`` places.
+
+        No text and item are in two parts; a single text and item are not cut.
+        """
+        own, plain = docs.words, self.items.words
+        hits = self._hits(self.sizes, docs.windows)
+        word_hits = self._hits(self.word_sizes, docs.word_windows)
+        todo = [(0, len(own), 0, len(plain))]
+        while todo:
+            d0, d1, i0, i1 = todo.pop()
+            both = [self._windows(sizes, found, count, (d.first[d0], d.first[d1]),
+                                  (i.first[i0], i.first[i1]))
+                    for sizes, found, count, d, i in (
+                        (self.sizes, hits, len(self.items.doc), docs, self.items),
+                        (self.word_sizes, word_hits, len(plain.doc), own, plain))]
+            places = sum(int(w[-1].sum()) * w[0] for windows in both for w in windows)
+            if not places:
+                continue
+            if places <= PLACES or (d1 - d0 == 1 and i1 - i0 == 1):
+                yield [self._pairs(w) for w in both]
+            elif d1 - d0 > 1:
+                todo += [(d0, (d0 + d1) // 2, i0, i1), ((d0 + d1) // 2, d1, i0, i1)]
+            else:
+                todo += [(d0, d1, i0, (i0 + i1) // 2), (d0, d1, (i0 + i1) // 2, i1)]
+
     @staticmethod
     def _places(windows):
         """Window number, document place and item place of each place of the windows."""
@@ -167,11 +217,11 @@ class Index:
         step = np.arange(len(number)) - np.repeat(np.cumsum(size) - size, size)
         return number, at[number] + step, place[number] + step
 
-    def matches(self, docs):
+    def matches(self, docs, windows, word_windows):
         """Matched token pairs: text, item, document and item position, slot, changed."""
-        number, d, i = self._places(self._windows(self.sizes, docs.windows))
+        number, d, i = self._places(windows)
         kept = ~np.isin(number, number[self._conflicts(docs, d, i)])
-        _, dw, iw = self._places(self._windows(self.word_sizes, docs.word_windows))
+        _, dw, iw = self._places(word_windows)
         same = pd.DataFrame({"d": docs.token_of[dw], "i": self.items.token_of[iw], "changed": False})
         alike = pd.DataFrame({"d": d[kept], "i": i[kept]})
         alike["changed"] = docs.value[alike["d"]] != self.items.value[alike["i"]]
@@ -228,11 +278,19 @@ class Index:
         return sizes.groupby(["doc", "item"])["run"].max()
 
     def leaks(self, data, at, covered):
-        """Per text and item: tokens matched, share of the item, slots, and how many differ."""
+        """Per text and item: tokens matched, share of the item, slots, and how many differ.
+
+        Frames of bounded size, none with a text and item of another.
+        """
         docs = Templates(data, at)
-        pairs = self.matches(docs)
+        for part in self.parts(docs):
+            found = self._leaks(self.matches(docs, *part), covered)
+            if len(found):
+                yield found
+
+    def _leaks(self, pairs, covered):
         if not len(pairs):
-            return None
+            return pairs
         longest = self._longest(pairs)
         pairs = pairs.sort_values(["doc", "item", "i", "changed", "d"]).drop_duplicates(
             ["doc", "item", "i"])
@@ -284,14 +342,12 @@ def _leak_rows(shared, covered, doc_id, item_id):
     def run(batches):
         index = shared.value
         for batch, data, at in chunks(batches, 1):
-            found = index.leaks(data, at, covered)
-            if found is None or not len(found):
-                continue
-            ids = batch.column(0).take(pa.array(found["doc"].to_numpy()))
-            yield pa.RecordBatch.from_pydict({
-                doc_id: ids, item_id: [index.ids[i] for i in found["item"]],
-                **{c: pa.array(found[c].to_numpy()) for c in (
-                    "n_tokens", "covered", "n_slots", "n_changed")}})
+            for found in index.leaks(data, at, covered):
+                ids = batch.column(0).take(pa.array(found["doc"].to_numpy()))
+                yield pa.RecordBatch.from_pydict({
+                    doc_id: ids, item_id: [index.ids[i] for i in found["item"]],
+                    **{c: pa.array(found[c].to_numpy()) for c in (
+                        "n_tokens", "covered", "n_slots", "n_changed")}})
     return run
 
 
@@ -304,9 +360,8 @@ def decontaminate(docs, benchmark, covered=0.3, text="text", item_id="item_id",
 
         def run(batches, shared=shared):
             for batch, data, at in chunks(batches, names.index(text)):
-                found = shared.value.leaks(data, at, covered)
                 clean = np.ones(len(batch), bool)
-                if found is not None:
+                for found in shared.value.leaks(data, at, covered):
                     clean[found["doc"].to_numpy()] = False
                 yield batch.filter(pa.array(clean))
 
