@@ -3,8 +3,8 @@
 import pyspark.sql.functions as F
 
 from tollwatch.llm import (
-    attention, darts, licenses, mixing, pseudonyms, rules, samples, substrings, templates, tokens,
-    urls,
+    attention, darts, licenses, mixing, periods, pseudonyms, rules, samples, substrings, templates,
+    tokens, urls,
 )
 
 #: Shares of characters by source; the first source holds a third of all rows.
@@ -74,6 +74,34 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def periodic_rows(docs):
+    """``docs`` where every tenth, by a hash of its id, repeats its words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    g, n = F.floor(h / 10), F.size(words)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    again = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(
+        F.get(words, (a + (i - a) % p).cast("int"))))
+    changed = (h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return docs.select("doc_id", F.when(changed, F.concat_ws(" ", again)).otherwise(
+        F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark, sf_dir):
+    found = periods.periodic_runs(periodic_rows(_table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    spans = F.array_join(F.transform("runs", lambda r: F.concat_ws(
+        ",", r.start, r.length, r.period)), "\n")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        "best.length", (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(spans, F.lit("\n"))).otherwise(""), 256)
+        .alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_near_duplicates, op3_decontamination, op4_url_filter, op5_quality_rules,
     op6_token_files, op7_pseudonyms, op8_substring_dedup, op9_quality_classifier,

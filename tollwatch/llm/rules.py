@@ -6,7 +6,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 
 from tollwatch.llm import samples, trees
-from tollwatch.llm.words import Texts, byte_set, chunks, covered, mix, range_hashes, _base
+from tollwatch.llm.words import Texts, byte_set, chunks, covered, mix, range_hashes, _table
 
 SYMBOLS = byte_set(lambda b: b in b"#*$%&|<>")
 FIRST_BYTE = byte_set(lambda b: not 0x80 <= b < 0xC0)
@@ -42,10 +42,10 @@ def statistics(data, at, window=8):
     """Base counts and features of some whole texts, as two arrays of one row per text."""
     texts = Texts(data, at)
     n = texts.counts
-    tables, base = _base(1)
+    tables = _table(1)
     hashes = texts.words()
     start, end, doc = _lines(data, at, texts)
-    own = range_hashes(tables[data], start, end, base) if len(start) else np.zeros(0, np.uint64)
+    own = range_hashes(tables[data], start, end) if len(start) else np.zeros(0, np.uint64)
     key = mix(own + mix(doc.astype(np.uint64)))
     later = np.ones(len(key), bool)
     later[np.unique(key, return_index=True)[1]] = False

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 
 from tollwatch.llm.words import (
-    ALNUM, LOWER, Texts, _base, byte_set, chunks, mix, of_strings, range_hashes, raw,
+    ALNUM, LOWER, Texts, _table, byte_set, chunks, mix, of_strings, range_hashes, raw,
 )
 
 WINDOW = 8
@@ -64,8 +64,7 @@ class Templates:
         texts = Texts(data, at, ALNUM)
         start, end, doc = texts.start, texts.end, texts.doc
         self.words = texts
-        table, base = _base(0)
-        coded = table[folded]
+        coded = _table(0)[folded]
         digits = np.concatenate([[0], np.cumsum(DIGIT[data])])
         number = digits[end] - digits[start] == end - start
 
@@ -80,8 +79,8 @@ class Templates:
                           & (start[1:] - end[:-1] == 1) & JOIN[data[end[:-1] % len(data)]])
             heads, tails = spans(joined)
             start, end, doc, number = start[heads], end[tails], doc[heads], number[heads]
-        self.word = range_hashes(coded, texts.start, texts.end, base)
-        word = range_hashes(coded, start, end, base)
+        self.word = range_hashes(coded, texts.start, texts.end)
+        word = range_hashes(coded, start, end)
         number |= np.isin(word, _known(NUMBER_WORDS))
         unit = np.zeros(len(start), bool)
         opens = np.ones(len(start), bool)
@@ -101,7 +100,7 @@ class Templates:
             start, end, doc = start[heads], end[tails], doc[heads]
             number, unit, name = number[heads], unit[heads], name[heads]
         self.kind = np.select([number, unit, name], [NUMBER, UNIT, NAME], LITERAL)
-        self.value = range_hashes(coded, start, end, base)
+        self.value = range_hashes(coded, start, end)
         self.token = np.where(self.kind == LITERAL, self.value, mix(self.kind.astype(np.uint64)))
         self.doc, self.first = doc, np.searchsorted(doc, np.arange(len(at)))
         self.token_of = np.searchsorted(start, texts.start, side="right") - 1  # of each word
@@ -116,12 +115,12 @@ class Templates:
         place = place[place + size <= self.first[1:][self.doc]] if len(place) else place
         literal = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
         place = place[2 * (literal[place + size] - literal[place]) >= size]
-        return place, range_hashes(self.token, place, place + size, _base(200)[1])
+        return place, range_hashes(self.token, place, place + size)
 
     def word_windows(self, size):
         """Starts and hashes of windows of plain words, whatever they are."""
         place = self.words.window_starts(size)
-        return place, self.words.window_hashes(self.word, place, size, 101)
+        return place, self.words.window_hashes(self.word, place, size)
 
 
 class Index:

@@ -25,38 +25,49 @@ def mix(x):
     return x ^ (x >> np.uint64(31))
 
 
+#: The one base of all polynomials, so that a worker holds its powers once.
+BASE = 0x5851F42D4C957F2D
+
+
 @functools.lru_cache(16)
-def _base(seed):
+def _table(seed):
     rng = np.random.default_rng(1000 + seed)
-    table = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return table, int(rng.integers(1, 2**60)) * 8 + 5
+    return rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-_POWERS = {}
+_POWERS = []
 
 
-def _powers(base, size):
-    """Powers of an odd number and of its inverse, kept for later chunks."""
-    held = _POWERS.get(base)
-    if held is None or len(held[0]) < size:
-        size = max(size, CHUNK_BYTES + 1)
-        both = []
-        for number in (base, pow(base, -1, 2**64)):
-            steps = np.full(size, np.uint64(number), np.uint64)
-            steps[0] = 1
-            both.append(np.cumprod(steps, dtype=np.uint64))
-        if size > 4 * CHUNK_BYTES:
-            return both
-        _POWERS[base] = held = both
-    return held
+def _powers(size):
+    """Powers of the base and of its inverse; 32 MB at most are kept for later chunks."""
+    if _POWERS and len(_POWERS[0]) >= size:
+        return _POWERS
+    most = CHUNK_BYTES + 1
+    both = []
+    for number in (BASE, pow(BASE, -1, 2**64)):
+        steps = np.full(max(size, most), np.uint64(number), np.uint64)
+        steps[0] = 1
+        both.append(np.cumprod(steps, dtype=np.uint64))
+    if size <= most:
+        _POWERS[:] = both
+    return both
 
 
-def range_hashes(values, start, end, base):
-    """Hash of ``values[start:end]`` for each pair of bounds."""
-    power, inverse = _powers(base, len(values) + 1)
+def prefix_hashes(values):
+    """Function from pairs of bounds to hashes of ``values[start:end]``."""
+    power, inverse = _powers(len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * power[:len(values)], dtype=np.uint64, out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+    def of(start, end):
+        return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+    return of
+
+
+def range_hashes(values, start, end):
+    """Hash of ``values[start:end]`` for each pair of bounds."""
+    return prefix_hashes(values)(start, end)
 
 
 def byte_set(pattern):
@@ -107,16 +118,15 @@ class Texts:
 
     def words(self, seed=0):
         """Hash of each word."""
-        table, base = _base(seed)
-        return range_hashes(table[self.data], self.start, self.end, base)
+        return range_hashes(_table(seed)[self.data], self.start, self.end)
 
     def window_starts(self, size):
         """Words at which ``size`` words of one text begin."""
         place = np.arange(len(self.start))
         return place[place + size <= self.first[1:][self.doc]] if len(place) else place
 
-    def window_hashes(self, hashes, starts, size, seed=0):
-        return range_hashes(hashes, starts, starts + size, _base(seed + 100)[1])
+    def window_hashes(self, hashes, starts, size):
+        return range_hashes(hashes, starts, starts + size)
 
     def text_sums(self, values):
         """Sum per text of a number per byte."""
