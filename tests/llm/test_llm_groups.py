@@ -1,0 +1,170 @@
+"""Groups of texts that meet, compared in blocks, against brute force."""
+
+import collections
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tollwatch.llm import darts, groups, trees_of_sets
+from tollwatch.llm.words import raw
+
+
+def families(rng, n=12, sizes=(1, 3, 5, 8, 9, 12, 20, 40, 100, 300), copies=8):
+    """Texts of random words, with copies that are changed a little."""
+    texts = []
+    for _ in range(n):
+        base = [str(rng.randrange(10**6)) for _ in range(rng.choice(sizes))]
+        for _ in range(rng.randrange(1, copies)):
+            words = list(base)
+            for _ in range(rng.randrange(2 + len(words) // 20)):
+                k = rng.randrange(len(words))
+                words[k:k + rng.choice((0, 1, 1))] = [str(rng.randrange(10**6))] * rng.choice((0, 1))
+                words = words or ["x"]
+            texts.append(" ".join(words))
+    return texts
+
+
+def sets_of(texts, n):
+    out = []
+    for t in texts:
+        w = (t or "").lower().split()
+        out.append({tuple(w[i:i + n]) for i in range(max(len(w) - n + 1, 1))} if w else set())
+    return out
+
+
+def linked_pairs(sets, percent=85):
+    return [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
+            if sets[i] & sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+
+
+def classes_of(n, pairs):
+    return groups.labels_of(n, *np.array(pairs, np.int64).reshape(-1, 2).T)
+
+
+@pytest.mark.parametrize("size", [1, 4])
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_links_share_a_key_and_trees_find_them(size, percent):
+    rng = random.Random(size * percent)
+    for _ in range(8):
+        texts = families(rng)
+        data, at = raw(pa.array(texts, pa.large_string()))
+        want = linked_pairs(sets_of(texts, size), percent)
+        owner, key = trees_of_sets.part_keys(size, percent)(data, at)
+        keys = [set(key[owner == i].tolist()) for i in range(len(texts))]
+        assert all(keys[i] & keys[j] for i, j in want)
+        sets = trees_of_sets.encoded(size)(data, at)
+        compare = trees_of_sets.compared(percent)
+        assert (compare(sets, 0) == classes_of(len(texts), want)).all()
+        left = len(texts) // 2
+        across = [(i, j) for i, j in want if i < left <= j]
+        assert (compare(sets, left) == classes_of(len(texts), across)).all()
+
+
+def test_low_thresholds_are_refused():
+    with pytest.raises(ValueError):
+        trees_of_sets.part_keys(4, 79)
+
+
+def test_walk_leaves_most_pairs_of_strangers():
+    rng = random.Random(2)
+    texts = families(rng, 60, (100,), 4)
+    data, at = raw(pa.array(texts, pa.large_string()))
+    sets = trees_of_sets.encoded(4)(data, at)
+    tree = trees_of_sets.Tree(sets, 32)
+    i, j = trees_of_sets.walk(tree, tree)
+    found = {(min(p), max(p)) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    want = set(linked_pairs(sets_of(texts, 4)))
+    assert want <= found and len(found) < 2 * len(want) + 20 < len(texts) ** 2 / 8
+
+
+def test_overlap_matrix_equals_pairs():
+    rng = random.Random(4)
+    sets = [np.unique(np.array([rng.randrange(80) for _ in range(rng.randrange(1, 90))], np.uint64))
+            for _ in range(40)]
+    i, j = np.triu_indices(len(sets), 1)
+    want = [len(set(sets[a]) & set(sets[b])) for a, b in zip(i, j, strict=True)]
+    assert darts._overlap_matrix(sets)[i, j].tolist() == want
+    assert groups.overlaps(sets, i, j).tolist() == want
+
+
+ROWS = [
+    (1, "a b c d e f g h", "x"), (2, "A b  c\nd e f g h", "x"), (3, None, "x"), (4, "", "x"),
+    (5, " \n ", "x"), (6, "a b", "x"), (7, "B a", "x"), (8, "A\tB", "x"), (None, "a b", "x"),
+    (9, "a b c d e f g z", "x"), (1, "a b c d e f g h", "x"), (10, "", "x"),
+]
+
+
+def test_join_of_all_kinds_of_rows(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, node string")
+    out = [tuple(r) for r in trees_of_sets.jaccard_components(docs).collect()]
+    assert sorted(out, key=repr) == sorted([
+        (1, 5, 1), (1, 5, 1), (2, 5, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 1, 6), (7, 1, 7),
+        (8, 1, 6), (None, 1, 6), (9, 5, 9), (10, 0, 10)], key=repr)
+    assert trees_of_sets.jaccard_components(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_long_groups_are_cut_into_blocks(spark, monkeypatch, block):
+    """Chains and groups of near copies over many blocks and tasks give the same components."""
+    monkeypatch.setattr(groups, "BLOCK_TEXTS", block)
+    rng = random.Random(11)
+    texts = families(rng, 10, (60, 90), 24)
+    chain = [str(rng.randrange(10**6)) for _ in range(80)]
+    for _ in range(30):  # each a near copy of the one before, the ends are strangers
+        chain = chain[3:] + [str(rng.randrange(10**6)) for _ in range(3)]
+        texts.append(" ".join(chain))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    want = classes_of(len(texts), linked_pairs(sets_of(texts, 4)))
+    ours = {r[0]: r[2] for r in trees_of_sets.jaccard_components(docs).collect()}
+    assert [ours[i] for i in range(len(texts))] == want.tolist()
+    dart_want = classes_of(len(texts), linked_pairs(sets_of(texts, 5), 80))
+    ours = {r[0]: r[1] for r in darts.classes(docs).collect()}
+    assert [ours[i] for i in range(len(texts))] == dart_want.tolist()
+
+
+@pytest.mark.parametrize("similarity", ["below", "above"])
+def test_a_large_group_near_the_threshold(spark, similarity):
+    """800 copies of one text, each with its own words at 4 or 2 places."""
+    rng = random.Random(9)
+    base = [str(rng.randrange(10**6)) for _ in range(150)]
+    texts = []
+    for _ in range(800):
+        words = list(base)
+        for k in rng.sample(range(0, 150, 5), 4 if similarity == "below" else 2):
+            words[k] = str(rng.randrange(10**6))
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    sets = sets_of(texts, 5)
+    want = classes_of(len(texts), linked_pairs(sets, 80))
+    ours = {r[0]: r[1] for r in darts.classes(docs).collect()}
+    same = sum(ours[i] == want[i] for i in range(len(texts)))
+    assert same == len(texts)  # recall 1.0 here; 0.9 is asked for
+
+
+def test_hot_keys_go_on_once():
+    """Rows of a key that many texts share are folded before the shuffle, without losing a link."""
+    rng = random.Random(1)
+    key = np.array([7] * 500 + [rng.randrange(10**9) for _ in range(500)], np.int64)
+    node = np.arange(1, 1001)
+    hot = {}
+    out, links = collections.Counter(), []
+    for low in (0, 250, 500, 750):
+        k, n, (a, b) = groups._fold(key[low:low + 250], node[low:low + 250], hot)
+        out.update(k.tolist())
+        links += list(zip(a.tolist(), b.tolist(), strict=True))
+    assert out[7] == 1
+    reached = {1}
+    for a, b in sorted(links):
+        reached |= {a, b}
+    assert set(range(1, 501)) <= reached
+
+
+def test_long_texts_and_one_word_texts(spark):
+    long = " ".join(str(i) for i in range(60_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " x"), (3, "x"), (4, "X")],
+                                 "doc_id long, text string")
+    out = {r[0]: tuple(r)[1:] for r in trees_of_sets.jaccard_components(docs).collect()}
+    assert out == {1: (59_997, 1), 2: (59_998, 1), 3: (1, 3), 4: (1, 3)}
+    assert {r[0]: r[1] for r in darts.classes(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}

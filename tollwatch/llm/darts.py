@@ -9,17 +9,22 @@ weighted Jaccard similarity.
 """
 
 import functools
+import itertools
 
 import numpy as np
-import pyarrow as pa
 import pyspark.sql.functions as F
 
-from tollwatch.llm.words import Texts, chunks, mix, of_strings
-from tollwatch.session import checkpointed, written
+from tollwatch.llm.groups import labels_of, linked, node_of, overlaps
+from tollwatch.llm.words import Texts, mix
 
 SHINGLE = 5
 #: Rank below which the first darts fall; each following layer of darts is as deep as all before.
 FIRST_RANK = 2.0 ** -6
+#: Texts up to which pairs are compared one by one.
+FEW = 8
+#: Sets up to which an element is counted pair by pair; others are counted by products of columns.
+RARE = 12
+COLUMNS = 4096
 
 
 def shingles(texts, size=SHINGLE):
@@ -103,133 +108,81 @@ def signatures(n, doc, h, weight, k):
     return out.reshape(n, k)
 
 
-def _band_rows(bands, rows):
-    def run(batches):
-        for batch, data, at in chunks(batches, 1, 1 << 20):
-            texts = Texts(data, at)
-            doc, h, weight = shingles(texts)
-            sig = signatures(len(texts), doc, h, weight, bands * rows)
-            some = np.flatnonzero(texts.counts > 0)
-            key = np.repeat(mix(np.arange(1, bands + 1, dtype=np.uint64))[None, :], len(some), 0)
-            for r in range(rows):
-                key = mix(key + sig[some][:, r::rows])
-            yield pa.RecordBatch.from_pydict({
-                "band": pa.array(key.reshape(-1).view(np.int64)),
-                "node": batch.column(0).take(pa.array(np.repeat(some, bands)))})
-    return run
-
-
-def _similar(threshold):
-    """Pairs whose weighted Jaccard similarity reaches the threshold."""
-    def run(batches):
-        for batch in batches:
-            # texts of one side follow those of the other, so that pair i is (i, i + n)
-            for low in range(0, len(batch), 64):
-                part = batch.slice(low, 64)
-                n = len(part)
-                texts = of_strings([*part.column(2).to_pylist(), *part.column(3).to_pylist()])
-                doc, h, weight = shingles(texts)
-                order = np.lexsort((doc >= n, h, doc % n))
-                pair, h = (doc % n)[order], h[order]
-                total = np.bincount(pair, weight[order], n)
-                both = np.flatnonzero((h[1:] == h[:-1]) & (pair[1:] == pair[:-1]))
-                w = weight[order]
-                shared = np.bincount(pair[both], np.minimum(w[both], w[both + 1]), n)
-                good = shared >= threshold * (total - shared) * (1 - 1e-12)
-                yield part.select([0, 1]).filter(pa.array(good & (shared > 0)))
-    return run
-
-
-def _components(edges):
-    """(node, root) for every node of ``edges``: the least node it is linked to.
-
-    Every round links each node to the least root next to it and then halves
-    the paths, so the rounds grow with the logarithm of a chain's length. State
-    is one row per node, cut from its lineage in each round.
-    """
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    both = checkpointed(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    state = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("root"))
-    state = checkpointed(state.select(F.col("u").alias("node"), "root"))
-    while True:
-        roots = state.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-        seen = both.join(roots, "v").groupBy("u").agg(F.min("rv").alias("near"))
-        near = state.join(seen.select(F.col("u").alias("node"), "near"), "node").select(
-            "node", "root", F.least("root", "near").alias("near"))
-        # the root of a node hears of the least root that any of its nodes has met
-        told = near.groupBy("root").agg(F.min("near").alias("told"))
-        hooked = near.join(told, "root").select(
-            "node", "root", F.least("near", "told").alias("new"))
-        hops = hooked.select(F.col("node").alias("new"), F.col("new").alias("hop"))
-        following = checkpointed(hooked.join(hops, "new", "left").select(
-            "node", F.col("root").alias("old"), F.least("new", "hop").alias("root")))
-        state = following.select("node", "root")
-        if following.where("old <> root").isEmpty():
-            return state
-
-
-def _verified(pairs, texts, threshold):
-    """Pairs (a, b) of nodes whose texts are similar."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(_similar(threshold), "a binary, b binary")
-
-
-def near_duplicates(docs, threshold=0.8, bands=40, rows=6, rounds=5, text="text"):
+def band_keys(bands=40, rows=6):
+    """Function that gives the keys of texts: one for each band of ``rows`` coordinates."""
+    def keys(data, at):
+        texts = Texts(data, at)
+        doc, h, weight = shingles(texts)
+        sig = signatures(len(texts), doc, h, weight, bands * rows)
+        some = np.flatnonzero(texts.counts > 0)
+        key = np.repeat(mix(np.arange(1, bands + 1, dtype=np.uint64))[None, :], len(some), 0)
+        for r in range(rows):
+            key = mix(key + sig[some][:, r::rows])
+        return np.repeat(some, bands), key.reshape(-1)
+    return keys
+
+
+def occurrences(data, at):
+    """Sorted hashes of each text, one for each occurrence of a shingle, so that weights are sizes."""
+    doc, h, weight = shingles(Texts(data, at))
+    n = weight.astype(np.int64)
+    number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    doc, h = np.repeat(doc, n), mix(np.repeat(h, n) + number.astype(np.uint64))
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    return np.split(h, np.searchsorted(doc, np.arange(1, len(at) - 1)))
+
+
+def _overlap_matrix(sets):
+    """Elements in common of all pairs of the sets of a block."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(which, kind="stable")
+    owner, first = owner[order], np.cumsum(count) - count
+    common = np.zeros((n, n), np.float32)
+    for size in range(2, RARE + 1):
+        own = owner[first[count == size][:, None] + np.arange(size)]
+        for i, j in itertools.combinations(range(size), 2):
+            np.add.at(common, (own[:, i], own[:, j]), 1)
+    often = np.flatnonzero(count > RARE)
+    for low in range(0, len(often), COLUMNS):
+        some = often[low:low + COLUMNS]
+        member = np.zeros((n, len(some)), np.float32)
+        column = np.repeat(np.arange(len(some)), count[some])
+        row = np.repeat(first[some] - (np.cumsum(count[some]) - count[some]), count[some])
+        member[owner[row + np.arange(len(row))], column] = 1
+        common += np.triu(member @ member.T, 1)
+    return np.maximum(common, common.T)
+
+
+def compared(threshold=0.8):
+    """Function that labels the sets of a block linked by a similarity of ``threshold``."""
+    def compare(sets, left):
+        n = len(sets)
+        sizes = np.array([len(s) for s in sets])
+        i, j = np.triu_indices(n, 1)
+        if left:
+            across = (i < left) & (j >= left)
+            i, j = i[across], j[across]
+        shared = overlaps(sets, i, j) if n <= FEW else _overlap_matrix(sets)[i, j].astype(np.int64)
+        good = shared >= threshold * (sizes[i] + sizes[j] - shared) * (1 - 1e-12)
+        good &= shared > 0
+        return labels_of(n, i[good], j[good])
+    return compare
+
+
+def near_duplicates(docs, threshold=0.8, bands=40, rows=6, text="text"):
     """(node, root) for distinct texts that have a near copy; a node is the digest of a text.
 
-    Texts that agree in all ``rows`` coordinates of one of ``bands`` bands meet
-    in a bucket, and pairs are held against ``threshold`` exactly. With the
-    defaults a pair at 0.8 fails to meet with a probability below 1e-5. In each
-    round every member of a bucket is compared with one of them, unless they are
-    linked already: first with the one that meets the most others, which is the
-    origin of a group of copies, then with one drawn by a hash, the same for
-    all buckets that hold it. What is still apart in a bucket after the rounds
-    is compared in full, so no link between texts that meet is lost, and a large
-    group of copies costs a few pairs per member.
+    Texts that agree in all ``rows`` coordinates of one of ``bands`` bands are
+    in one group, and with the defaults a pair at 0.8 is so with all but a
+    probability below 1e-5. The texts of a group are held against ``threshold``
+    exactly, in blocks of bounded size: all of a block with each other, and two
+    blocks where texts of both share a band. Texts meet only inside tasks; a
+    task gives the links that join two parts, at most one for each of its texts.
     """
-    source = docs.select(F.unhex(F.md5(F.col(text))).alias("node"),
-                         F.col(text).alias("text")).where(F.col(text).isNotNull())
-    met = written(source.mapInArrow(_band_rows(bands, rows), "band long, node binary"), "bands")
-    buckets = met.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    buckets = buckets.where("low <> high").select("band")
-    met = written(met.join(buckets, "band").distinct(), "shared-bands")
-    size = met.groupBy("band").agg(F.count("*").alias("n"))
-    degree = met.join(size, "band").groupBy("node").agg(F.sum("n").alias("degree"))
-    met = written(met.join(degree, "node"), "ranked-bands")
-    texts = source.join(degree.select("node"), "node", "left_semi").groupBy("node").agg(
-        F.min("text").alias("text"))
-    texts = written(texts, "near-texts")
-    spark = docs.sparkSession
-    edges = spark.createDataFrame([], "a binary, b binary")
-    tried = spark.createDataFrame([], "a binary, b binary")
-    roots = spark.createDataFrame([], "node binary, root binary")
-    for round_no in range(rounds + 1):
-        now = met.join(roots, "node", "left").select(
-            "band", "node", "degree", F.coalesce("root", "node").alias("root"))
-        apart = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        now = now.join(apart.where("low <> high").select("band"), "band")
-        if round_no < rounds:
-            drawn = F.xxhash64("node", F.lit(round_no))
-            first = F.col("degree") if round_no == 0 else drawn
-            other = now.groupBy("band").agg(F.max(F.struct(
-                first.alias("first"), "node", "root")).alias("top"))
-            other = other.select("band", F.col("top.node").alias("other"),
-                                 F.col("top.root").alias("other_root"))
-        else:
-            other = now.select("band", F.col("node").alias("other"),
-                               F.col("root").alias("other_root"))
-        new = "root <> other_root" if round_no < rounds else "root < other_root"
-        pairs = now.join(other, "band").where(new).select(
-            F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        tried = tried.union(pairs)
-        edges = edges.union(checkpointed(_verified(pairs, texts, threshold)))
-        roots = _components(edges)
-    return roots
+    return linked(docs, band_keys(bands, rows), occurrences, compared(threshold), text)
 
 
 def classes(docs, threshold=0.8, doc_id="doc_id", text="text", **options):
@@ -251,7 +204,7 @@ def classes(docs, threshold=0.8, doc_id="doc_id", text="text", **options):
 
 
 def _node(text):
-    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
+    return F.coalesce(node_of(text), F.lit(b""))
 
 
 def keep_one(docs, threshold=0.8, doc_id="doc_id", text="text", **options):

@@ -4,7 +4,7 @@ import pyspark.sql.functions as F
 
 from tollwatch.llm import (
     attention, darts, licenses, mixing, periods, pseudonyms, rules, samples, substrings, templates,
-    tokens, urls,
+    tokens, trees_of_sets, urls,
 )
 
 #: Shares of characters by source; the first source holds a third of all rows.
@@ -102,10 +102,14 @@ def op11_periodic_runs(spark, sf_dir):
         .alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_ngram_join(spark, sf_dir):
+    return trees_of_sets.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_near_duplicates, op3_decontamination, op4_url_filter, op5_quality_rules,
     op6_token_files, op7_pseudonyms, op8_substring_dedup, op9_quality_classifier,
-    op10_license_scan)}
+    op10_license_scan, op11_periodic_runs, op13_ngram_join)}
 
 OP1_SQL = """
 with recursive target(source, weight) as (
@@ -155,4 +159,29 @@ select doc_id, cast(len(w) as bigint) as n_words,
 from doc left join lost using (r)
 """
 
-ORACLES = {"op1_mix_sources": OP1_SQL, "op8_substring_dedup": OP8_SQL}
+OP13_SQL = r"""
+with recursive doc as (
+  select doc_id, row_number() over () as r, list_filter(regexp_split_to_array(
+    regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda w: w <> '') as w
+  from documents),
+shingle as (
+  select distinct r, array_to_string(w[i:i + 3], ' ') as s
+  from doc, lateral (select unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i)
+  where len(w) > 0),
+size as (select r, count(*) as n from shingle group by r),
+both as (
+  select a.r as a, b.r as b, count(*) as c from shingle a join shingle b on a.s = b.s and a.r <> b.r
+  group by all),
+link as (
+  select a, b from both join size x on x.r = a join size y on y.r = b
+  where 100 * c >= 85 * (x.n + y.n - c)),
+reach as (
+  select r as a, r as b from doc union select reach.a, link.b from reach join link on reach.b = link.a)
+select d.doc_id, coalesce(any_value(size.n), 0) as n_shingles, min(e.doc_id) as component_id
+from doc d join reach on d.r = reach.a join doc e on e.r = reach.b left join size on size.r = d.r
+group by d.r, d.doc_id
+"""
+
+ORACLES = {"op1_mix_sources": OP1_SQL, "op8_substring_dedup": OP8_SQL,
+           "op13_ngram_join": OP13_SQL}
