@@ -170,11 +170,11 @@ shingle as (
   from doc, lateral (select unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i)
   where len(w) > 0),
 size as (select r, count(*) as n from shingle group by r),
-both as (
+meet as (
   select a.r as a, b.r as b, count(*) as c from shingle a join shingle b on a.s = b.s and a.r <> b.r
   group by all),
 link as (
-  select a, b from both join size x on x.r = a join size y on y.r = b
+  select a, b from meet join size x on x.r = a join size y on y.r = b
   where 100 * c >= 85 * (x.n + y.n - c)),
 reach as (
   select r as a, r as b from doc union select reach.a, link.b from reach join link on reach.b = link.a)
