@@ -1,10 +1,12 @@
 """One query per operator, with production parameters over whole tables, and SQL where it can say it."""
 
+import hashlib
+
 import pyspark.sql.functions as F
 
 from tollwatch.llm import (
-    attention, darts, licenses, mixing, periods, pseudonyms, rules, samples, substrings, templates,
-    tokens, trees_of_sets, urls,
+    attention, conversations, darts, licenses, mixing, periods, pseudonyms, rules, samples,
+    substrings, templates, tokens, trees_of_sets, urls,
 )
 
 #: Shares of characters by source; the first source holds a third of all rows.
@@ -102,6 +104,31 @@ def op11_periodic_runs(spark, sf_dir):
         .alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def damaged_rows(rows):
+    """``rows`` of conversations without nulls, some of them damaged by a hash of their place."""
+    def known(name):
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    hit = F.crc32(F.concat_ws(":", known("conv_id"), known("turn")).cast("binary")) % 20
+    text = F.when(hit == 1, "").when(hit == 2, F.regexp_replace(known("text"), "[.!?]", "")).otherwise(
+        known("text"))
+    times = F.array_repeat(F.lit(0), F.when(hit == 0, 0).when(hit == 3, 2).otherwise(1))
+    return rows.select("conv_id", "turn", F.when(hit == 4, "user").otherwise(known("role")).alias("role"),
+                       text.alias("text"), F.explode(times).alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations")
+    found = conversations.summarize_repairs(damaged_rows(rows)).withColumnRenamed("conv_id", "own")
+    every = rows.select("conv_id").distinct().join(
+        found, F.col("conv_id").eqNullSafe(F.col("own")), "left")
+    nothing = hashlib.sha256(b"").hexdigest()
+    return every.select("conv_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in (
+        "gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.lit(nothing)).alias("repaired_sha256"))
+
+
 def op13_ngram_join(spark, sf_dir):
     return trees_of_sets.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -109,7 +136,8 @@ def op13_ngram_join(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_near_duplicates, op3_decontamination, op4_url_filter, op5_quality_rules,
     op6_token_files, op7_pseudonyms, op8_substring_dedup, op9_quality_classifier,
-    op10_license_scan, op11_periodic_runs, op13_ngram_join)}
+    op10_license_scan, op11_periodic_runs, op12_conversation_repair,
+    op13_ngram_join)}
 
 OP1_SQL = """
 with recursive target(source, weight) as (
