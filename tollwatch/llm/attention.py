@@ -6,15 +6,19 @@ scored. Only documents carry labels; the weights of the passages are learned.
 The fit runs on the driver on a bounded sample, scoring on whole texts in tasks.
 """
 
+import itertools
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyspark.sql.functions as F
+from pyspark.sql import Window
 
 from tollwatch.llm import samples
 from tollwatch.llm.words import Texts, chunks, mix
 
 PASSAGE_WORDS = 64
+#: Bytes of text whose passages are held at once; features take some ten times as much.
+CHUNK = 1 << 19
 WORD_BUCKETS = 128
 
 
@@ -161,34 +165,48 @@ def fit(x, first, y, width=16, steps=200, rate=0.02, decay=1e-3, seed=7):
     return model
 
 
-def _bags(most):
-    def run(batches):
-        for batch, data, at in chunks(batches, 2):
-            x, first = passages(data, at)
-            kept = []
-            for low, high in zip(first[:-1], first[1:], strict=True):
-                order = np.argsort(mix(np.arange(high - low, dtype=np.uint64)))
-                kept.append(x[low + np.sort(order[:most])])
-            yield pa.RecordBatch.from_pydict({
-                "id": batch.column(0), "label": batch.column(1),
-                "bag": [k.astype("<f4").tobytes() for k in kept]})
-    return run
-
-
-def fit_quality(docs, labels, label="quality", bound=3000, passages_per_text=48,
+def _bags(batches):
+    for batch, data, at in chunks(batches, 2, CHUNK):
+        x, first = passages(data, at)
+        yield pa.RecordBatch.from_pydict({
+            "id": batch.column(0), "label": batch.column(1),
+            "bag": [x[a:b].astype("<f4").tobytes() for a, b in itertools.pairwise(first.tolist())]})
+
+
+def fit_sample(docs, labels, label="quality", bound=3000, passages_bound=40_000, doc_id="doc_id",
+               text="text"):
+    """Labelled whole documents for a fit: at most ``bound``, and at most ``passages_bound`` passages.
+
+    Documents are taken in the order of a hash of their ids, as long as the sum
+    of their passages allows; a document is taken whole or not at all.
+    """
+    sample = samples.labelled(docs, labels, label, bound, doc_id, text)
+    words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    number = F.greatest(F.ceil(words / PASSAGE_WORDS), F.lit(1))
+    # one task, of at most ``bound`` ids and numbers
+    before = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    taken = sample.select("id", number.alias("n")).withColumn("total", F.sum("n").over(before))
+    taken = taken.where(F.col("total") <= passages_bound).select("id")
+    return sample.join(F.broadcast(taken), "id")
+
+
+def fit_quality(docs, labels, label="quality", bound=3000, passages_bound=40_000,
                 doc_id="doc_id", text="text", **options):
-    """Model fitted on at most ``bound`` labelled documents, none of the held-out fold.
+    """Model fitted on a bounded sample of labelled documents, none of the held-out fold.
 
-    For the fit alone a text gives at most ``passages_per_text`` passages, spread
-    over the whole text. Inputs are the texts; no other column is looked at.
+    The bounds are on documents and on their passages in all, see ``fit_sample``;
+    every passage of a sampled document takes part. Inputs are the texts; no
+    other column is looked at.
     """
-    sample = samples.labelled(docs, labels, label, bound, doc_id, text).select(
+    sample = fit_sample(docs, labels, label, bound, passages_bound, doc_id, text).select(
         F.col("id").cast("string").alias("id"), "label", "text")
-    rows = sample.mapInArrow(_bags(passages_per_text), "id string, label int, bag binary")
+    rows = sample.mapInArrow(_bags, "id string, label int, bag binary")
     rows = rows.toPandas().sort_values("id")
-    bags = [np.frombuffer(b, "<f4").reshape(-1, WIDTH) for b in rows["bag"]]
+    bags = [np.frombuffer(b, "<f4").reshape(-1, WIDTH) for b in rows.pop("bag")]
+    sizes, y = [len(b) for b in bags], rows["label"].to_numpy()
     x = np.concatenate(bags) if bags else np.zeros((0, WIDTH), np.float32)
-    return fit(x, np.cumsum([0, *map(len, bags)]), rows["label"].to_numpy(), **options)
+    del bags
+    return fit(x, np.cumsum([0, *sizes]), y, **options)
 
 
 def score_quality(docs, model, threshold=0.7, doc_id="doc_id", text="text", keep=()):
@@ -200,7 +218,7 @@ def score_quality(docs, model, threshold=0.7, doc_id="doc_id", text="text", keep
     kept = [doc_id, *keep]
 
     def run(batches):
-        for batch, data, at in chunks(batches, len(kept)):
+        for batch, data, at in chunks(batches, len(kept), CHUNK):
             score = model.score(*passages(data, at))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(kept)], pa.array(score),
@@ -213,10 +231,14 @@ def score_quality(docs, model, threshold=0.7, doc_id="doc_id", text="text", keep
 
 
 def reject_low_quality(docs, model, threshold=0.7, text="text"):
-    """``docs`` without the rows that the classifier rejects, columns unchanged."""
+    """``docs`` without the rows that the classifier rejects, columns unchanged.
+
+    Null and empty texts are scored as one passage without words; repeated rows
+    share their fate; an empty table stays empty.
+    """
     def run(batches):
         place = names.index(text)
-        for batch, data, at in chunks(batches, place):
+        for batch, data, at in chunks(batches, place, CHUNK):
             passed = model.score(*passages(data, at)) >= threshold
             yield batch.filter(pa.array(passed))
 

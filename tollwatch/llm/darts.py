@@ -178,11 +178,11 @@ def near_duplicates(docs, threshold=0.8, bands=40, rows=6, text="text"):
     Texts that agree in all ``rows`` coordinates of one of ``bands`` bands are
     in one group, and with the defaults a pair at 0.8 is so with all but a
     probability below 1e-5. The texts of a group are held against ``threshold``
-    exactly, in blocks of bounded size: all of a block with each other, and two
-    blocks where texts of both share a band. Texts meet only inside tasks; a
-    task gives the links that join two parts, at most one for each of its texts.
+    exactly, in blocks of bounded size, each with itself and with those whose
+    sizes allow it. Texts meet only inside tasks; a task gives the links that
+    join two parts, at most one for each of its texts.
     """
-    return linked(docs, band_keys(bands, rows), occurrences, compared(threshold), text)
+    return linked(docs, band_keys(bands, rows), occurrences, compared(threshold), threshold, text)
 
 
 def classes(docs, threshold=0.8, doc_id="doc_id", text="text", **options):

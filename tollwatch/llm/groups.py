@@ -3,16 +3,16 @@
 Texts are nodes, by a digest. ``meetings`` finds which nodes share a key, as
 edges of a forest: keys that many texts of a task have are folded there, so a
 hot key sends a few rows to the shuffle, not one for each text. ``linked`` lays
-out the texts of each group of meeting nodes side by side, cuts long groups
-into blocks, compares the texts of a block with each other and then those of
-blocks that share a key. Only links that join two parts come out, so a group of
-any size costs a row for each of its texts.
+out the texts of each group of meeting nodes side by side and compares them in
+blocks inside tasks. Only links that join two parts come out, so a group of any
+size gives a row for each of its texts and pair of blocks at most.
 """
 
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark import TaskContext
+from pyspark.sql import Window
 
 from tollwatch.llm.words import chunks
 from tollwatch.session import checkpointed, written
@@ -169,51 +169,62 @@ def labels_of(n, i, j):
         label = new[new]
 
 
-ROWS = "a binary, b binary, root long, block long, node binary, text string"
+ROWS = ("a binary, b binary, root long, part long, node binary, text string, items long")
 
 
-def _record(links, root=None, block=None, nodes=(), texts=()):
+def _record(links, root=None, part=None, nodes=(), texts=(), items=()):
     gap, n = [None] * len(links), len(nodes)
     return pa.RecordBatch.from_arrays(
         [pa.array([*(x[0] for x in links), *[None] * n], pa.binary()),
          pa.array([*(x[1] for x in links), *[None] * n], pa.binary()),
-         pa.array([*gap, *[root] * n], pa.int64()), pa.array([*gap, *[block] * n], pa.int64()),
-         pa.array([*gap, *nodes], pa.binary()), pa.array([*gap, *texts], pa.string())],
-        names=["a", "b", "root", "block", "node", "text"])
+         pa.array([*gap, *[root] * n], pa.int64()), pa.array([*gap, *[part] * n], pa.int64()),
+         pa.array([*gap, *nodes], pa.binary()), pa.array([*gap, *texts], pa.string()),
+         pa.array([*gap, *items], pa.int64())],
+        names=["a", "b", "root", "part", "node", "text", "items"])
 
 
-class _Group:
-    """Texts of one group as they come; ``flush`` compares what is held as a block."""
+class _Held:
+    """Texts of one group as they come, up to the size of a block."""
 
-    def __init__(self, encode, compare):
-        self.encode, self.compare = encode, compare
-        self.root, self.cut = None, False
+    def __init__(self, compare):
+        self.compare, self.of = compare, None
         self.empty()
 
     def empty(self):
-        self.nodes, self.texts, self.sets, self.items = [], [], [], 0
+        self.nodes, self.texts, self.sets, self.left = [], [], [], 0
+        self.items = 0
+
+    def add(self, node, own, text=None):
+        self.nodes.append(node)
+        self.texts.append(text)
+        self.sets.append(own)
+        self.items += len(own)
 
     def full(self):
         return len(self.nodes) >= BLOCK_TEXTS or self.items >= BLOCK_ITEMS
 
-    def links(self, left=0):
-        label = self.compare(self.sets, left)
+    def links(self):
+        if len(self.nodes) < 2:
+            return []
+        label = self.compare(self.sets, self.left)
         return [(self.nodes[k], self.nodes[i]) for i, k in enumerate(label.tolist()) if i != k]
 
 
-def _block_rows(encode, compare):
+def _group_rows(encode, compare):
+    """Links of groups that lie in this task as one block, and the texts of all others in parts."""
     def run(batches):
-        block = TaskContext.get().partitionId() << 32
-        held = _Group(encode, compare)
-        first = True
-
-        def flush(cut):
-            nonlocal block
-            links = held.links() if len(held.nodes) > 1 else []
-            n = len(held.nodes) if cut else 0
-            if links or n:
-                yield _record(links, held.root, block, held.nodes[:n], held.texts[:n])
-            block += 1
+        part = TaskContext.get().partitionId() << 32
+        held, cut, first = _Held(compare), False, True
+
+        def flush(whole):
+            nonlocal part
+            if whole:
+                links = held.links()
+                if links:
+                    yield _record(links)
+            elif held.nodes:
+                yield _record([], held.of, part, held.nodes, held.texts, map(len, held.sets))
+                part += 1
             held.empty()
 
         for batch, data, at in chunks(batches, 2):
@@ -221,47 +232,42 @@ def _block_rows(encode, compare):
             roots, nodes = (batch.column(k).to_pylist() for k in (0, 1))
             texts = batch.column(2)
             for i, root in enumerate(roots):
-                if root != held.root:
+                if root != held.of:
                     # the first group of a task may have begun in the one before
-                    yield from flush(held.cut or first)
-                    first = first and held.root is None
-                    held.root, held.cut = root, False
-                held.nodes.append(nodes[i])
-                held.texts.append(texts[i].as_py())
-                held.sets.append(sets[i])
-                held.items += len(sets[i])
-                if held.full():
-                    yield from flush(True)
-                    held.cut = True
-        yield from flush(True)
+                    yield from flush(not (cut or first))
+                    first = first and held.of is None
+                    held.of, cut = root, False
+                elif held.full():
+                    yield from flush(False)
+                    cut = True
+                held.add(nodes[i], sets[i], texts[i].as_py())
+        yield from flush(False)
     return run
 
 
-def _cross_rows(encode, compare):
+def _pair_rows(encode, compare):
+    """Links between the texts of a block, or of two blocks, as they come sorted."""
     def run(batches):
-        held, pair, left = _Group(encode, compare), None, 0
-
-        def flush():
-            links = held.links(left) if 0 < left < len(held.nodes) else []
-            if links:
-                yield _record(links).select([0, 1])
-
-        for batch, data, at in chunks(batches, 4):
+        held = _Held(compare)
+        for batch, data, at in chunks(batches, 5):
             sets = encode(data, at)
-            rows = zip(*(batch.column(k).to_pylist() for k in range(4)), sets, strict=True)
-            for low, high, side, node, own in rows:
-                if (low, high) != pair:
-                    yield from flush()
+            rows = zip(*(batch.column(k).to_pylist() for k in range(5)), sets, strict=True)
+            for root, low, high, side, node, own in rows:
+                if (root, low, high) != held.of:
+                    links = held.links()
+                    if links:
+                        yield _record(links).select([0, 1])
                     held.empty()
-                    pair, left = (low, high), 0
-                held.nodes.append(node)
-                held.sets.append(own)
-                left += side == 0
-        yield from flush()
+                    held.of = root, low, high
+                held.add(node, own)
+                held.left += low != high and side == 0
+        links = held.links()
+        if links:
+            yield _record(links).select([0, 1])
     return run
 
 
-def linked(docs, keys, encode, compare, text="text"):
+def linked(docs, keys, encode, compare, least_ratio, text="text"):
     """(node, root) of texts linked by ``compare`` to another text, nodes as in ``node_of``.
 
     ``keys(data, at)`` gives the keys of some texts as text numbers and unsigned
@@ -269,6 +275,12 @@ def linked(docs, keys, encode, compare, text="text"):
     at)`` gives the set of each text, and ``compare(sets, left)`` the label of
     each set: the least number among the sets that it is linked to, among all
     of them or, for ``left`` over 0, between the first ``left`` and the others.
+    Sets whose sizes have a ratio below ``least_ratio`` are never linked.
+
+    Groups that a task holds as one block are compared there. Of the others,
+    those longer than a block or cut by the border of a task, the parts are
+    gathered into blocks by their sizes, and blocks are compared two by two
+    where their sizes allow links.
     """
     met = meetings(docs, keys, text)
     source = docs.select(_short(F.col(text)).alias("short"), F.col(text).alias("text")).where(
@@ -276,31 +288,36 @@ def linked(docs, keys, encode, compare, text="text"):
     # copies of a text are one before the shuffle
     texts = source.join(met.withColumnRenamed("node", "short"), "short").groupBy(
         "root", node_of(F.col("text")).alias("node")).agg(F.min("text").alias("text"))
-    order = ["root", "node"]
+    order = [F.col("root"), F.length("text"), F.col("node")]
     found = written(
         texts.repartitionByRange(*order).sortWithinPartitions(*order).select("root", "node", "text")
-        .mapInArrow(_block_rows(encode, compare), ROWS), "groups")
+        .mapInArrow(_group_rows(encode, compare), ROWS), "groups")
     members = found.where("node is not null")
-    long = members.groupBy("root").agg(F.min("block").alias("low"), F.max("block").alias("high"))
-    members = written(members.join(long.where("low < high"), "root", "left_semi").select(
-        "block", "node", "text"), "blocks")
-    met = members.select("block", "text").mapInArrow(_block_keys(keys), "key long, block long")
-    met = met.distinct()
-    pairs = met.withColumnRenamed("block", "low").join(
-        met.withColumnRenamed("block", "high"), "key").where("low < high").select("low", "high")
-    pairs = pairs.distinct()
-    sides = [pairs.join(members, F.col(side) == F.col("block")).select(
-        "low", "high", F.lit(k).alias("side"), "node", "text") for k, side in enumerate(("low", "high"))]
-    across = sides[0].union(sides[1]).repartition("low", "high").sortWithinPartitions(
-        "low", "high", "side").mapInArrow(_cross_rows(encode, compare), "a binary, b binary")
+    parts = members.groupBy("root", "part").agg(
+        F.count("*").alias("n"), F.sum("items").alias("m"), F.min("items").alias("least"),
+        F.max("items").alias("most"))
+    before = Window.partitionBy("root").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    filled = F.greatest(F.coalesce(F.sum("n").over(before), F.lit(0)) / BLOCK_TEXTS,
+                        F.coalesce(F.sum("m").over(before), F.lit(0)) / BLOCK_ITEMS)
+    parts = parts.withColumn("block", F.floor(filled).cast("int"))
+    members = members.join(parts.select("part", "block"), "part").select(
+        "root", "block", "node", "text")
+    blocks = parts.groupBy("root", "block").agg(
+        F.min("least").alias("least"), F.max("most").alias("most"))
+    low, high = (blocks.select("root", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "least", "most")))
+                 for k in ("low", "high"))
+    pairs = low.join(high, "root").where(
+        (F.col("block_low") <= F.col("block_high"))
+        & (F.col("most_low") >= least_ratio * F.col("least_high"))
+        & (F.col("most_high") >= least_ratio * F.col("least_low"))).select(
+        "root", F.col("block_low").alias("low"), F.col("block_high").alias("high"))
+    sides = F.explode(F.array_distinct(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("low").alias("block")),
+        F.struct((F.col("low") < F.col("high")).cast("int").alias("side"), F.col("high").alias("block")))))
+    sent = pairs.select("root", "low", "high", sides.alias("s")).select(
+        "root", "low", "high", "s.side", "s.block")
+    order = ["root", "low", "high", "side"]
+    across = sent.join(members, ["root", "block"]).select(*order, "node", "text").repartition(
+        "root", "low", "high").sortWithinPartitions(*order).mapInArrow(
+        _pair_rows(encode, compare), "a binary, b binary")
     return components(found.where("a is not null").select("a", "b").union(across))
-
-
-def _block_keys(keys):
-    def run(batches):
-        for batch, data, at in chunks(batches, 1):
-            owner, key = keys(data, at)
-            block = batch.column(0).to_numpy()[owner]
-            rows = np.unique(np.stack([key.view(np.int64), block]), axis=1)
-            yield pa.RecordBatch.from_pydict({"key": rows[0], "block": rows[1]})
-    return run

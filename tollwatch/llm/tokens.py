@@ -27,8 +27,12 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from tollwatch.session import fresh_path
 
-#: Words that a worker keeps with their ids; the memory is emptied beyond it.
-KEPT_WORDS = 1 << 20
+#: Words and characters that a worker keeps with their ids, twice: those met since the last turn
+#: and those of before. Beyond it the older ones go. Some 80 MB each at most, and let go of by
+#: the tasks that read the files.
+KEPT_WORDS = 3 << 17
+KEPT_CHARS = 3 << 21
+MET = 1 << 21
 #: Words of characters before this one take the short way.
 PLAIN_END = "\u0250"
 # Fixed value: the split pattern of byte-level tokenizers.
@@ -61,7 +65,24 @@ class Words(dict):
         self.library, self.code, self.tokens = library, code, library.model.tokenize
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(ord(PLAIN_END))}
-        self.parts = {}
+        self.parts, self.chars = {}, 0
+        self.old, self.old_parts = {}, {}
+        self.met = bytearray(MET)
+
+    def held(self, piece):
+        """Count a piece that is kept, and let the older ones go where there is no room."""
+        if len(self) + len(self.parts) >= KEPT_WORDS or self.chars >= KEPT_CHARS:
+            self.old, self.old_parts = dict(self), self.parts
+            self.met = bytearray(MET)
+            self.clear()
+            self.parts, self.chars = {}, 0
+        self.chars += len(piece)
+
+    def known(self, word):
+        """Whether the word, or one of its hash, has been met before; most are met only once."""
+        place = hash(word) & (len(self.met) - 1)
+        met, self.met[place] = self.met[place], 1
+        return met
 
     def whole(self, piece):
         """Ids of a piece that the split pattern leaves whole."""
@@ -73,27 +94,29 @@ class Words(dict):
             return self[piece[1:]]
         found = self.parts.get(piece)
         if found is None:
-            if len(self.parts) > KEPT_WORDS:
-                self.parts.clear()
-            found = self.parts[piece] = self.whole(piece)
+            found = self.old_parts.get(piece) or self.whole(piece)
+            self.held(piece)
+            self.parts[piece] = found
         return found
 
     def __missing__(self, word):
-        if len(self) > KEPT_WORDS:
-            self.clear()
+        found = self.old[word] if word in self.old else self.ids(word)
+        if word in self.old or self.known(word):
+            self.held(word)
+            self[word] = found
+        return found
+
+    def ids(self, word):
         if not word or word[0].isspace() or word[-1].isspace():
-            found = None
-        elif not word.isascii() and max(word) >= PLAIN_END or "<|" in word:
+            return None
+        if not word.isascii() and max(word) >= PLAIN_END or "<|" in word:
             ids = self.library.encode(" " + word, add_special_tokens=False).ids
-            found = array(self.code, ids).tobytes()
-        elif word.isalpha():
-            found = self.whole(" " + word)
-        elif word[-1] in ".," and word[:-1].isalpha():
-            found = self[word[:-1]] + self.part(word[-1])
-        else:
-            found = b"".join(map(self.part, SPLIT.findall(" " + word)))
-        self[word] = found
-        return found
+            return array(self.code, ids).tobytes()
+        if word.isalpha():
+            return self.whole(" " + word)
+        if word[-1] in ".," and word[:-1].isalpha():
+            return self[word[:-1]] + self.part(word[-1])
+        return b"".join(map(self.part, SPLIT.findall(" " + word)))
 
 
 class Encoder:
@@ -237,6 +260,7 @@ def read_tokens(spark, path):
     dtype = index["dtype"]
 
     def read(batches):
+        encoder.cache_clear()  # workers that wrote before hold words no longer needed
         for batch in batches:
             for part, base in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
                 ids, at, docs = open_part(folder, part, dtype)

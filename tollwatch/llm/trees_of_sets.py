@@ -234,7 +234,8 @@ def jaccard_components(docs, percent=PERCENT, size=SHINGLE, doc_id="doc_id", tex
     columns are not looked at. Shingles are compared by 64-bit hashes.
     """
     kind = dict(docs.dtypes)[doc_id]
-    roots = linked(docs, part_keys(size, percent), encoded(size), compared(percent), text)
+    roots = linked(docs, part_keys(size, percent), encoded(size), compared(percent), percent / 100,
+                   text)
     own = docs.select(F.col(doc_id), node_of(F.col(text)).alias("node"), F.col(text).alias("text"))
     own = own.mapInArrow(_sizes(size, doc_id), f"`{doc_id}` {kind}, node binary, n_shingles long")
     own = own.select(F.col(doc_id).alias("id"), "node", "n_shingles")
