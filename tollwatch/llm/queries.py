@@ -83,8 +83,11 @@ def periodic_rows(docs):
     g, n = F.floor(h / 10), F.size(words)
     a = g % n
     p = 1 + F.floor((n - a) / (3 + g % 8))
-    again = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(
-        F.get(words, (a + (i - a) % p).cast("int"))))
+    # the words up to a, then those of one period again and again
+    repeats = F.array_repeat(F.slice(words, (a + 1).cast("int"), p.cast("int")),
+                             F.ceil((n - a) / p).cast("int"))
+    again = F.concat(F.slice(words, F.lit(1), a.cast("int")),
+                     F.slice(F.flatten(repeats), F.lit(1), (n - a).cast("int")))
     changed = (h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return docs.select("doc_id", F.when(changed, F.concat_ws(" ", again)).otherwise(
         F.col("text")).alias("text"))
