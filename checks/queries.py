@@ -475,7 +475,7 @@ def master_merge_new(d):
 
 @query
 def merge_and_publish(d):
-    paths = [fresh_path(d.spark, name) for name in ("delta", "master", "snapshots")]
+    paths = [fresh_path(d.spark, name) for name in ("store", "snapshots")]
     publish.merge_and_publish(d.master_old, d.master_old, *paths, "account_sid",
                               reset=True, run_at=MID)
     master, delta = publish.merge_and_publish(

@@ -1,7 +1,9 @@
+import os
 import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import rows
 from pyspark.errors import AnalysisException
 
@@ -115,7 +117,7 @@ def test_dedupe_of_key_only_rows(spark):
 def test_publish_twice(spark, path):
     first = spark.createDataFrame([("k", 1, "x"), ("m", 1, "x")], PAIRS)
     second = spark.createDataFrame([("k", 0, "y"), ("n", 1, "y"), ("m", 1, "x")], PAIRS)
-    paths = path("delta"), path("master"), path("runs")
+    paths = path("store"), path("runs")
     master, delta = publish.merge_and_publish(first, first, *paths, "account_sid")
     assert rows(master) == rows(delta) == [("k", 1, "x"), ("m", 1, "x")]
     master, delta = publish.merge_and_publish(second, second, *paths, "account_sid", run_at=T0)
@@ -156,6 +158,61 @@ def test_uncommitted_version_is_not_seen(spark, path):
     assert versions.read_version(spark, path("nothing")) is None
 
 
+def test_markers_are_whole_and_exclusive(spark, path, monkeypatch):
+    store = path("state")
+    versions.overwrite_state(state_frame(spark, ("a", 0, 50)), store)
+    monkeypatch.setattr(versions, "_numbers", lambda *a: [])  # a writer that looked too early
+    with pytest.raises(Exception, match="exist"):
+        versions.overwrite_state(state_frame(spark, ("b", 0, 50)), store)
+    monkeypatch.undo()
+    assert expiries(versions.read_version(spark, store)) == {"a": 50}
+    assert versions.committed_versions(spark, store) == [1]
+    assert len(versions.sweep(spark, store, -1)) == 2  # its data and its marker
+    assert expiries(versions.read_version(spark, store)) == {"a": 50}
+
+
+def test_only_touched_buckets_are_written(spark, path):
+    store = path("state")
+
+    def files():
+        return {os.path.join(d, f) for d, _, names in os.walk(store) for f in names
+                if f.endswith(".parquet")}
+
+    def merge(old, batch):
+        return old.union(batch).groupBy("k").agg(F.max("v").alias("v"))
+
+    first = spark.range(4000).selectExpr("id as k", "0 as v")
+    versions.upsert_buckets(first, store, merge, ["k"], n=16)
+    before = files()
+    assert len(before) == 16
+    batch = spark.createDataFrame([(7, 1), (4001, 1)], "k long, v int")
+    versions.upsert_buckets(batch, store, merge, ["k"], n=16)
+    assert 1 <= len(files() - before) <= 2
+    got = versions.read_version(spark, store)
+    assert got.count() == 4001 and rows(got.where("v = 1"), "k") == [(7,), (4001,)]
+    # old folders go only when no kept version names them
+    assert versions.drop_old_versions(spark, store, 1) == [1]
+    assert versions.read_version(spark, store).count() == 4001
+    # another number of buckets deals all rows out anew
+    versions.upsert_buckets(batch, store, merge, ["k"], n=3)
+    versions.drop_old_versions(spark, store, 1)
+    assert versions.read_version(spark, store).count() == 4001 and len(files()) == 3
+
+
+def test_cleared_keys_empty_their_buckets(spark, path):
+    store = path("state")
+
+    def merge(old, batch):
+        return old.limit(0)
+
+    rows_ = spark.range(8).selectExpr("id as k")
+    versions.upsert_buckets(rows_, store, lambda old, batch: batch, ["k"], n=4)
+    versions.upsert_buckets(rows_.limit(0), store, merge, ["k"], [rows_], n=4)
+    assert versions.read_version(spark, store).count() == 0
+    versions.upsert_buckets(rows_.limit(2), store, lambda old, batch: batch, ["k"], n=4)
+    assert versions.read_version(spark, store).count() == 2
+
+
 def test_second_writer_from_one_version_fails(spark, path):
     store = path("state")
     base = versions.overwrite_state(state_frame(spark, ("a", 0, 50)), store)
@@ -165,17 +222,26 @@ def test_second_writer_from_one_version_fails(spark, path):
     assert expiries(versions.read_version(spark, store)) == {"b": 50}
 
 
-def test_a_rerun_makes_the_same_delta(spark, path, monkeypatch):
+@pytest.mark.parametrize("step", ["commit", "_names"])
+def test_a_rerun_makes_the_same_delta(spark, path, monkeypatch, step):
+    """A run that dies before its marker changes neither master nor delta."""
     old, new = (spark.createDataFrame(r, "account_sid string, n int")
                 for r in ([("a", 1)], [("a", 1), ("b", 2)]))
-    paths = [path(n) for n in ("delta", "master", "snapshots")]
+    paths = [path(n) for n in ("store", "snapshots")]
     publish.merge_and_publish(old, old, *paths, "account_sid", reset=True, run_at=at(1))
-    write = publish.overwrite_state
-    monkeypatch.setattr(publish, "overwrite_state", lambda df, to, **more: (
-        write(df, to, **more) if to == paths[0] else 1 / 0))
-    with pytest.raises(ZeroDivisionError):
-        publish.merge_and_publish(new, new, *paths, "account_sid", run_at=at(2))
-    monkeypatch.setattr(publish, "overwrite_state", write)
+    if step == "commit":
+        monkeypatch.setattr(versions, "commit", lambda *a: 1 / 0)
+    else:
+        new.write.parquet(f"{paths[0]}/data-half")  # died while it wrote
+    if step == "commit":
+        with pytest.raises(ZeroDivisionError):
+            publish.merge_and_publish(new, new, *paths, "account_sid", run_at=at(2))
+        monkeypatch.undo()
+    for name in ("master", "delta"):
+        assert versions.read_version(spark, paths[0], name=name).count() == 1
+    assert versions.sweep(spark, paths[0]) == []  # too young, a writer may still be at it
+    assert len(versions.sweep(spark, paths[0], -1)) == (2 if step == "commit" else 1)
+    assert versions.sweep(spark, paths[0], -1) == []
     master, delta = publish.merge_and_publish(new, new, *paths, "account_sid", run_at=at(3))
     assert [r.account_sid for r in delta.collect()] == ["b"]
     assert master.count() == 2

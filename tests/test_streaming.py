@@ -1,6 +1,7 @@
 import os
 from datetime import datetime, timedelta
 
+import pytest
 from conftest import rows
 
 from tollwatch import schemas as S
@@ -95,7 +96,64 @@ def test_many_batches_equal_one(spark, path):
 
 
 def test_a_batch_is_applied_once(spark, path):
-    apply = once_per_batch(path("out"), "check", lambda old, batch: batch)
-    for _ in range(2):
-        apply(state_rows(spark, ("a", 0, 10)), 0)
-    assert versions.committed_versions(spark, path("out")) == [1]
+    def apply(batch, stream):
+        old = versions.read_version(spark, path("out"))
+        both = batch if old is None else old.union(batch)
+        versions.overwrite_state(both, path("out"), stream=stream)
+
+    first, second = (once_per_batch(path("out"), name, apply, keep=2) for name in "ab")
+    for run in (first, second, second, first):  # the first stream's batch is played again last
+        run(state_rows(spark, ("a", 0, 10)), 0)
+    assert versions.read_version(spark, path("out")).count() == 2
+    first(state_rows(spark, ("a", 0, 10)), 1)
+    second(state_rows(spark, ("a", 0, 10)), 0)
+    assert versions.read_version(spark, path("out")).count() == 3
+    with pytest.raises(ValueError):
+        once_per_batch(path("out"), "c", apply, keep=1)
+
+
+def test_final_days_leave_the_state_and_late_rows_are_counted(spark, path):
+    days = [events(spark, *((24 * d + h, r) for h, r in ((1, ""), (2, "FraudGuardPrefixBlock"))))
+            for d in (0, 2, 9)]
+    late = events(spark, (3, ""), (24 * 9 + 5, ""))
+    os.mkdir(path("in"))
+    stream = spark.readStream.schema(S.RAW_EVENTS).parquet(path("in"))
+    dropped = 0
+    for part in (*days, late):
+        part.coalesce(1).write.mode("append").parquet(path("in"))
+        query = daily.start_daily_metrics(stream, path("out"), path("check"), keep=2)
+        query.awaitTermination()
+        dropped += daily.late_rows(query)
+    got = versions.read_version(spark, path("out"))
+    whole = days[0].union(days[1]).union(days[2]).union(late.where("event_ts > '2024-01-05'"))
+    batch = blocks.daily_metrics(whole, S.DAILY_VERIFY, None)
+    assert rows(got, *batch.columns) == rows(batch)
+    assert dropped == 1
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # only the newest day
+
+
+def test_a_new_stream_keeps_the_days_of_the_table(spark, path):
+    for name, day in (("one", 0), ("two", 24)):
+        os.mkdir(path(name))
+        events(spark, (day + 1, "")).write.mode("append").parquet(path(name))
+        stream = spark.readStream.schema(S.RAW_EVENTS).parquet(path(name))
+        daily.start_daily_metrics(stream, path("out"), path("check-" + name)).awaitTermination()
+    assert versions.read_version(spark, path("out")).count() == 2
+
+
+def test_a_small_batch_writes_few_buckets(spark, path):
+    none = spark.createDataFrame([], "account_sid string, mcc string, mnc string")
+    os.mkdir(path("in"))
+    merge = upsert.upserting(lambda batch: none, at(1))
+    stream = spark.readStream.schema(S.STATE).parquet(path("in"))
+    written = []
+    for part in ([(str(k), 0, 10) for k in range(500)], [("7", 2, 20)]):
+        state_rows(spark, *part).write.mode("append").parquet(path("in"))
+        before = {d for d, _, f in os.walk(path("out")) if f}
+        upsert.start_upsert(stream, path("out"), path("check"), merge, S.STATE,
+                            buckets=32).awaitTermination()
+        written.append(sum("_bucket" in d for d, _, f in os.walk(path("out"))
+                           if f and d not in before))
+    assert written == [32, 1]
+    got = versions.read_version(spark, path("out"))
+    assert got.count() == 500 and rows(got.where("account_sid = '7'"), "expiry_time") == [(at(20),)]

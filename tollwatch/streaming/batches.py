@@ -3,22 +3,26 @@
 from tollwatch.sources import versions
 
 
-def once_per_batch(path, checkpoint, merge, schema=None, keep=None):
-    """Function for ``foreachBatch`` that commits ``merge(old, batch)`` as the next version.
+def once_per_batch(path, checkpoint, apply, keep=None):
+    """Function for ``foreachBatch`` that commits ``apply(batch, stream)`` once.
 
-    The marker names the stream, by its checkpoint folder, and the batch. A
-    batch that runs again after its commit is skipped, so versions do not
-    depend on batch numbers and a new stream may start over an existing table.
+    ``apply`` writes the next version with the given stream and batch number.
+    Every version carries the last batch of each stream, by its checkpoint
+    folder. A batch that runs again after its commit is skipped, also when other
+    streams have written since, and a new stream may start over an existing
+    table. ``keep`` is two or more: a batch reads one version while it writes
+    the next.
     """
-    def apply(batch, batch_id):
+    if keep is not None and keep < 2:
+        raise ValueError("a stream needs two versions")
+
+    def once(batch, batch_id):
         spark = batch.sparkSession
-        tag = f"{checkpoint}#{batch_id}"
-        if versions.last_tag(spark, path) == tag:
+        last = versions.last_batch(spark, path, checkpoint)
+        if last is not None and batch_id <= last:
             return
-        base = versions.latest_version(spark, path) or 0
-        old = versions.read_version(spark, path, schema)
-        versions.overwrite_state(merge(old, batch), path, tag, base)
+        apply(batch, (checkpoint, batch_id))
         if keep:
             versions.drop_old_versions(spark, path, keep)
 
-    return apply
+    return once
