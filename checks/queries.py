@@ -369,9 +369,7 @@ def traffic_by_code(d):
 
 @query
 def mode_change(d):
-    rows, hot = accounts.split_hot(d.service_events, accounts.SERVICE)
-    hot = None if hot is None else accounts.service_settings(hot)
-    return accounts.mode_change(accounts.service_settings(rows), hot)
+    return accounts.mode_change(accounts.service_settings(d.service_events))
 
 
 @query

@@ -5,10 +5,11 @@ from datetime import date, datetime, timedelta
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from tollwatch import schemas as S
 from tollwatch.operators import accounts
-from tollwatch.operators.ordered import dense_rank_within, lag_within, split_hot
+from tollwatch.operators.ordered import dense_rank_within, lag_within
 
 T0 = datetime(2024, 1, 1)
 
@@ -65,39 +66,66 @@ def skewed(seed=1):
     return data
 
 
-@pytest.mark.parametrize("limit", [0, 20, 150])
-def test_hot_services_give_the_same_history(spark, limit):
-    data = skewed()
-    frame = spark.createDataFrame(data, S.SERVICE_EVENTS)
-    assert split_hot(frame, accounts.SERVICE, limit)[1] is not None
-    plain = history(spark, data, hot_rows=10**9)
-    assert rows(history(spark, data, hot_rows=limit)) == rows(plain)
-
-
-@pytest.mark.parametrize("limit", [0, 150])
-def test_hot_accounts_give_the_same_rank(spark, limit):
+def by_hand_history(data):
+    """Services' distinct settings in order, each with whether its mode changed."""
+    out = {}
+    for account, service, mode, enabled, name, moment in sorted(
+            set(data), key=lambda r: tuple((x is not None, x) for x in (r[5], r[2], r[3], r[4]))):
+        out.setdefault((account, service), []).append((moment, mode))
+    changed = []
+    for key, own in out.items():
+        before = None
+        for moment, mode in own:
+            new = before is not None and mode is not None and mode != before
+            changed.append((*key, mode, moment, "Change" if new else "No-Change"))
+            before = mode
+    return sorted(changed, key=repr)
+
+
+@pytest.mark.parametrize("segment", ["year", "day", "minute"])
+def test_segments_give_the_same_history(spark, segment):
+    frame = spark.createDataFrame(skewed(), S.SERVICE_EVENTS)
+    settings = accounts.service_settings(frame)
+    data = [(r.account_sid, r.service_sid, r.fraud_guard_mode, r.fraud_guard, r.friendly_name,
+             r.updated_at) for r in settings.collect()]
+    got = accounts.service_history(frame, segment=segment)
+    assert rows(got, *accounts.SERVICE, "fraud_guard_mode", "updated_at", "mode_change") \
+        == by_hand_history(data)
+
+
+def test_building_a_history_starts_no_job(spark):
+    frame = spark.createDataFrame(skewed(), S.SERVICE_EVENTS)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    accounts.service_history(frame)
+    accounts.rank_by_update(frame)
+    assert tracker.getJobIdsForGroup("building") == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("segment", ["year", "minute"])
+def test_segments_give_the_same_rank(spark, segment):
     data = [("AC1" if i % 3 else None, T0 + timedelta(minutes=m) if m else None, i)
             for i, m in enumerate(random.Random(2).choices(range(40), k=900))]
     frame = spark.createDataFrame(data, "account_sid string, updated_at timestamp, n int")
-    plain = dense_rank_within(frame, ["account_sid"], "updated_at", "r")
-    cold, hot = split_hot(frame, ["account_sid"], limit)
-    assert hot is not None
-    ranged = dense_rank_within(cold, ["account_sid"], "updated_at", "r", hot)
-    assert rows(ranged) == rows(plain)
+    ranked = dense_rank_within(frame, ["account_sid"], "updated_at", "r", segment)
     by_hand = {}
     for account, moment, _ in data:
         by_hand.setdefault(account, set()).add(moment)
-    for account, moment, _, rank in rows(ranged):
+    for account, moment, _, rank in rows(ranked):
         order = sorted(by_hand[account], key=lambda m: (m is None, -(m or T0).timestamp()))
         assert rank == order.index(moment) + 1
 
 
-def test_hot_lag_spreads_over_ranges(spark):
-    frame = spark.range(4000).selectExpr("'k' as key", "id as moment", "id % 7 as value")
-    cold, hot = split_hot(frame, ["key"], 10)
-    got = lag_within(cold, ["key"], ["moment", "value"], "value", "before", hot)
-    assert got.where("before <=> case when moment = 0 then null else (moment - 1) % 7 end") \
-        .count() == 4000
+def test_a_hot_group_is_split_over_tasks(spark):
+    """One key for all rows: windows see a segment of it each."""
+    frame = spark.range(4000).selectExpr(
+        "'k' as key", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, cast(id as int)) as moment",
+        "id % 7 as value", "id")
+    got = lag_within(frame, ["key"], ["moment", "value"], "value", "before", "day")
+    assert got.where("before <=> case when id = 0 then null else (id - 1) % 7 end").count() == 4000
+    parts = got.select("id", F.spark_partition_id().alias("p")).groupBy("p").count()
+    assert parts.count() > 2 and parts.agg(F.max("count")).first()[0] < 3000
 
 
 def flags(*values):
@@ -132,9 +160,3 @@ def test_latest_service_and_counts(spark):
         [("VA1", "disable", "b"), ("VA2", "enable", "max"), (None, "enable", "max")], key=repr)
     assert accounts.service_count(settings).first().service_sid_count == 2
     assert accounts.by_status(latest, "disable").count() == 1
-
-
-def test_history_is_one_shuffle_without_hot_services(spark):
-    plan = history(spark, skewed(), hot_rows=10**9)._jdf.queryExecution() \
-        .executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1

@@ -5,9 +5,7 @@ from pyspark.sql import functions as F
 from tollwatch import schemas as S
 from tollwatch.functions.columns import flag, json_fields
 from tollwatch.operators.filters import account_is, account_like, keep, loaded_since
-from tollwatch.operators.ordered import (
-    HOT_GROUP_ROWS, dense_rank_within, lag_within, split_hot,
-)
+from tollwatch.operators.ordered import dense_rank_within, lag_within
 
 SERVICE = ["account_sid", "service_sid"]
 CHANGE, NO_CHANGE = "Change", "No-Change"
@@ -70,42 +68,36 @@ def settings_rows(events):
         )
 
 
-def service_settings(events, account_pattern=None, by_service=False):
+def service_settings(events, account_pattern=None):
     """Distinct settings rows.
 
     Distinct goes over the service name too, so a renamed service may show the
-    same settings twice. ``by_service`` shuffles by service, which a window over
-    services then needs no more; leave it off where one service may be hot.
+    same settings twice. Copies are combined before the shuffle.
     """
-    rows = settings_rows(keep(events, account_like(account_pattern)))
-    return (rows.repartition(*SERVICE) if by_service else rows).distinct()
+    return settings_rows(keep(events, account_like(account_pattern))).distinct()
 
 
-def mode_change(settings, hot=None):
+def mode_change(settings, segment="month"):
     """Flag rows whose mode differs from the row before of the same service.
 
-    A null mode on either side is no change. ``hot`` holds the settings of
-    services with very many rows, split off by ``split_hot``.
+    A null mode on either side is no change. A service may have any number of
+    rows; ``segment`` bounds those that a task sorts at once.
     """
     order = ["updated_at", "fraud_guard_mode", "fraud_guard", "friendly_name"]
-    marked = lag_within(settings, SERVICE, order, "fraud_guard_mode", "_previous", hot)
+    marked = lag_within(settings, SERVICE, order, "fraud_guard_mode", "_previous", segment)
     changed = F.col("_previous") != F.col("fraud_guard_mode")
     return marked.withColumn(
         "mode_change", F.when(changed, CHANGE).otherwise(NO_CHANGE)).drop("_previous")
 
 
-def rank_by_update(updates, hot_rows=HOT_GROUP_ROWS):
+def rank_by_update(updates, segment="month"):
     """Dense rank of updates per account, newest first."""
-    rows, hot = split_hot(updates, ["account_sid"], hot_rows)
-    return dense_rank_within(rows, ["account_sid"], "updated_at", "rank_desc", hot)
+    return dense_rank_within(updates, ["account_sid"], "updated_at", "rank_desc", segment)
 
 
-def service_history(events, account_pattern=None, hot_rows=HOT_GROUP_ROWS):
+def service_history(events, account_pattern=None, segment="month"):
     """Settings history of every service with its mode changes."""
-    rows, hot = split_hot(keep(events, account_like(account_pattern)), SERVICE, hot_rows)
-    # One shuffle by service serves both the distinct and the window.
-    settings = settings_rows(rows).repartition(*SERVICE).distinct()
-    history = mode_change(settings, None if hot is None else service_settings(hot))
+    history = mode_change(service_settings(events, account_pattern), segment)
     return history.select(*SERVICE, "fraud_guard", "fraud_guard_mode", "updated_at",
                           "mode_change")
 

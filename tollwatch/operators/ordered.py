@@ -1,37 +1,22 @@
 """Previous value and dense rank inside groups of any size.
 
 A window puts each group into one task, which a group holding a third of the
-table would not survive. Groups above a size limit are therefore cut into
-ranges of their own order, the window runs inside each range, and a small
-per-range table carries the state over the cuts. Results are the same either
-way; tables without such a group take the single-shuffle window.
+table would not survive. So every group is cut into segments of its own order,
+by the calendar, a window runs inside each segment, and a table with one row
+for each group and segment carries the state over the cuts. Segments follow
+from the rows alone, so the plan is one for tables of any size, nothing is
+counted or written while it is built, and a task that runs again sees the same
+segments. ``position_within`` cuts by ranges instead.
 """
 
 from functools import reduce
 
 from pyspark.sql import Window, functions as F
 
-from tollwatch.session import checkpointed, written
+from tollwatch.session import written
 
-HOT_GROUP_ROWS = 5_000_000
 RANGE = "_range"
-
-
-def split_hot(df, keys, limit=HOT_GROUP_ROWS):
-    """Rows of groups up to ``limit`` rows, and those of larger groups or None.
-
-    Counting reads the key columns only. Fewer than ``rows / limit`` keys are
-    hot, so that list may be broadcast. Split before costly projections: each
-    part computes its own rows only.
-    """
-    hot = df.groupBy(*keys).count().where(F.col("count") > limit).select(
-        *[F.col(k).alias("_h_" + k) for k in keys])
-    hot = checkpointed(hot)
-    if hot.isEmpty():
-        return df, None
-    listed = F.broadcast(hot)
-    match = _same(df, "_h_", keys)
-    return df.join(listed, match, "left_anti"), df.join(listed, match, "left_semi")
+SEGMENT = "_segment"
 
 
 def _same(df, prefix, keys):
@@ -45,70 +30,54 @@ def _ranged(df, keys, order):
     return written(cut.withColumn(RANGE, F.spark_partition_id()), "ranges")
 
 
-def _with_carry(df, carry, keys):
-    """Attach one row per (group, range); those are few: ranges plus hot groups."""
-    on = [*keys, RANGE]
+def _with_carry(df, carry, keys, segment, broadcast=False):
+    """Attach one row per (group, segment)."""
+    on = [*keys, segment]
     carried = carry.select(*[F.col(k).alias("_c_" + k) for k in on],
                            *[c for c in carry.columns if c not in on])
-    joined = df.join(F.broadcast(carried), _same(df, "_c_", on), "left")
+    carried = F.broadcast(carried) if broadcast else carried
+    joined = df.join(carried, _same(df, "_c_", on), "left")
     return joined.drop(*["_c_" + k for k in on])
 
 
-def lag_within(df, keys, order, value, name, hot=None):
+def lag_within(df, keys, order, value, name, segment="month"):
     """Add ``name``: ``value`` of the row before, by ``order`` columns, ascending.
 
-    ``df`` and ``hot`` are the two parts of ``split_hot``. ``order`` must tell
-    any two rows of a group apart, or they must be equal.
+    The first of ``order`` is a timestamp or date, and ``segment`` a calendar
+    unit that bounds the rows of a group and unit to what a task can sort.
+    ``order`` must tell any two rows of a group apart, or they must be equal.
     """
-    def plain(rows):
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return rows.withColumn(name, F.lag(value).over(window))
-
-    def by_range(rows):
-        cut = _ranged(rows, keys, [F.col(c) for c in order])
-        window = Window.partitionBy(RANGE, *keys).orderBy(*order)
-        inside = (cut.withColumn("_before", F.lag(value).over(window))
-                  .withColumn("_nth", F.row_number().over(window)))
-        tails = cut.groupBy(*keys, RANGE).agg(F.max_by(value, F.struct(*order)).alias("_tail"))
-        carry = tails.withColumn(
-            "_carry", F.lag("_tail").over(Window.partitionBy(*keys).orderBy(RANGE)))
-        joined = _with_carry(inside, carry.drop("_tail"), keys)
-        previous = F.when(F.col("_nth") == 1, F.col("_carry")).otherwise(F.col("_before"))
-        return joined.withColumn(name, previous).drop(RANGE, "_before", "_nth", "_carry")
-
-    return _joined(plain(df), hot, by_range)
-
-
-def dense_rank_within(df, keys, column, name, hot=None):
-    """Add ``name``: dense rank by ``column``, greatest first, nulls last."""
-    order = F.col(column).desc_nulls_last()
-
-    def plain(rows):
-        window = Window.partitionBy(*keys).orderBy(order)
-        return rows.withColumn(name, F.dense_rank().over(window).cast("long"))
-
-    def by_range(rows):
-        rest = [F.col(c) for c in rows.columns if c not in (*keys, column)]
-        cut = _ranged(rows, keys, [order, *rest])
-        window = Window.partitionBy(RANGE, *keys).orderBy(order)
-        inside = cut.withColumn("_local", F.dense_rank().over(window).cast("long"))
-        ends = cut.groupBy(*keys, RANGE).agg(
-            (F.count_distinct(column) + F.max(F.col(column).isNull().cast("int"))).alias("_n"),
-            F.min_by(column, F.struct(F.col(column).isNotNull(), column)).alias("_low"),
-            F.max(column).alias("_high"))
-        over_ranges = Window.partitionBy(*keys).orderBy(RANGE)
-        # A value cut in two by a range border counts once.
-        shared = F.lag("_low").over(over_ranges).eqNullSafe(F.col("_high")) & (
-            F.row_number().over(over_ranges) > 1)
-        ends = ends.withColumn("_shared", F.coalesce(shared, F.lit(False)).cast("long"))
-        before = F.sum("_n").over(over_ranges.rowsBetween(Window.unboundedPreceding, -1))
-        carry = ends.withColumn("_offset", F.coalesce(before, F.lit(0)) - F.sum("_shared").over(
-            over_ranges.rowsBetween(Window.unboundedPreceding, 0)))
-        joined = _with_carry(inside, carry.drop("_n", "_low", "_high", "_shared"), keys)
-        rank = F.col("_local") + F.col("_offset")
-        return joined.withColumn(name, rank.cast("long")).drop(RANGE, "_local", "_offset")
-
-    return _joined(plain(df), hot, by_range)
+    cut = df.withColumn(SEGMENT, F.date_trunc(segment, F.col(order[0])))
+    window = Window.partitionBy(*keys, SEGMENT).orderBy(*order)
+    inside = (cut.withColumn("_before", F.lag(value).over(window))
+              .withColumn("_nth", F.row_number().over(window)))
+    tails = cut.groupBy(*keys, SEGMENT).agg(F.max_by(value, F.struct(*order)).alias("_tail"))
+    carry = tails.withColumn(
+        "_carry", F.lag("_tail").over(Window.partitionBy(*keys).orderBy(SEGMENT)))
+    joined = _with_carry(inside, carry.drop("_tail"), keys, SEGMENT)
+    previous = F.when(F.col("_nth") == 1, F.col("_carry")).otherwise(F.col("_before"))
+    return joined.withColumn(name, previous).drop(SEGMENT, "_before", "_nth", "_carry")
+
+
+def dense_rank_within(df, keys, column, name, segment="month"):
+    """Add ``name``: dense rank by ``column``, greatest first, nulls last.
+
+    ``column`` is a timestamp or date. A rank goes to a value, so distinct
+    values are ranked and then joined to their rows: rows that are equal in
+    ``column`` never meet in one window, whatever their number.
+    """
+    values = df.select(*keys, column).distinct().withColumn(
+        SEGMENT, F.date_trunc(segment, F.col(column)))
+    inside = Window.partitionBy(*keys, SEGMENT).orderBy(F.desc_nulls_last(column))
+    local = values.withColumn("_local", F.row_number().over(inside))
+    later = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(SEGMENT)).rowsBetween(
+        Window.unboundedPreceding, -1)
+    counts = values.groupBy(*keys, SEGMENT).agg(F.count("*").alias("_n"))
+    carry = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(later), F.lit(0))).drop("_n")
+    ranked = _with_carry(local, carry, keys, SEGMENT)
+    ranks = ranked.select(*[F.col(c).alias("_v_" + c) for c in (*keys, column)],
+                          (F.col("_local") + F.col("_offset")).cast("long").alias(name))
+    return df.join(ranks, _same(df, "_v_", [*keys, column])).select(*df.columns, name)
 
 
 def position_within(df, keys, order, name):
@@ -125,10 +94,6 @@ def position_within(df, keys, order, name):
     carry = cut.groupBy(*keys, RANGE).agg(F.count("*").alias("_n")).withColumn(
         "_offset", F.sum("_n").over(before)).where("_offset > 0").drop("_n")
     inside = F.row_number().over(Window.partitionBy(RANGE, *keys).orderBy(*order)) - 1
-    joined = _with_carry(cut.withColumn("_nth", inside), carry, keys)
+    joined = _with_carry(cut.withColumn("_nth", inside), carry, keys, RANGE, True)
     place = F.coalesce("_offset", F.lit(0)) + F.col("_nth")
     return joined.withColumn(name, place.cast("long")).drop(RANGE, "_tie", "_nth", "_offset")
-
-
-def _joined(cold_result, hot, by_range):
-    return cold_result if hot is None else cold_result.unionByName(by_range(hot))
