@@ -104,8 +104,12 @@ def _key_rows(keys):
     return run
 
 
-def _neighbours(batches):
-    """Links between nodes that follow each other under one key, and those found before."""
+def _stars(batches):
+    """Links from the least node of each key to its others, and those found before.
+
+    Keys that share many nodes mostly share the least one, so that links of
+    different keys are the same ones.
+    """
     last_key = last_node = None
     for batch in batches:
         key, a = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -114,11 +118,14 @@ def _neighbours(batches):
         links = [np.stack([a[found], b[found]])]
         key, a = key[~found], a[~found]
         if len(key):
-            if last_key is not None and key[0] == last_key:
-                links.append(np.array([[last_node], [a[0]]]))
-            same = key[1:] == key[:-1]
-            links.append(np.stack([a[:-1][same], a[1:][same]]))
-            last_key, last_node = key[-1], a[-1]
+            opens = np.ones(len(key), bool)
+            opens[1:] = key[1:] != key[:-1]
+            head = np.flatnonzero(opens)
+            least = a[head]
+            if key[0] == last_key:
+                least[0] = last_node
+            links.append(np.stack([np.repeat(least, np.diff(np.append(head, len(key)))), a]))
+            last_key, last_node = key[-1], least[-1]
         links = np.concatenate(links, axis=1)
         links.sort(axis=0)
         links = np.unique(links[:, links[0] != links[1]], axis=1)
@@ -131,7 +138,7 @@ def meetings(docs, keys, text="text"):
         F.col("text").isNotNull())
     rows = source.mapInArrow(_key_rows(keys), "key long, a long, b long")
     met = rows.repartition("key").sortWithinPartitions("key", "a").mapInArrow(
-        _neighbours, "a long, b long")
+        _stars, "a long, b long")
     return components(met.distinct())
 
 
