@@ -102,6 +102,10 @@ add("exclusion_override", f"""select event_id, account_sid, mcc, mnc,
  case when mcc in ({_LISTS['mcc']}) or mcc || '_' || mnc in ({_LISTS['mcc_mnc']})
   or mcc || '_' || mnc || '_' || account_sid in ({_LISTS['mcc_mnc_account']})
  then 'No' else block end as block from candidates""")
+add("exclusion_override_lists", """select event_id, account_sid, mcc, mnc,
+ case when exists (select 1 from state_rows s where s.mcc = c.mcc and (s.mcc in ('201', '203')
+  or s.mnc = c.mnc and s.account_sid = c.account_sid)) then 'No' else block end as block
+ from candidates c""")
 add("expired_filter", f"""select account_sid, mcc, mnc, {TIMES} from state_rows
  where expiry_time > timestamp '{MID}'""")
 _LATEST = f"""select * from account_features where data_load_date > date '{SINCE}'
@@ -447,12 +451,22 @@ def _plain(found):
 _COUNTRIES = (f"[{_COUNTRY_TABLE}[x] for x in list_concat("
               f"[lower(y) for y in {_plain(matches(X.country_pattern()))}],"
               f" {_plain(matches(X.SHORT_COUNTRY))})]")
+
+
+def _codes(label, code):
+    """Codes of the lists behind a label; the pattern is the oracle's own."""
+    listed = rf"(?i)\b{label}s?[ :=]+({code}(?:(?: ?[,/] ?| and | & | or ){code})*)\b"
+    undashed = f"regexp_replace(text, '{code}(-[0-9]+)+', '#', 'g')"
+    found = f"regexp_extract_all({undashed}, {quoted(listed)}, 1)"
+    return f"flatten([regexp_split_to_array(y, '[^0-9]+') for y in {found}])"
+
+
 FOUND = f"""select ticket_id, turn, role, text, pairs as mcc_mnc,
  nullif(regexp_extract(text, {quoted(X.ACCOUNT_ID[1])}), '') as account_sid,
  {sorted_set(_COUNTRIES)} as country,
- {sorted_set(f"list_concat([split_part(x, '-', 1) for x in pairs], {matches(X.NAMED_MCC, 1)})")}
+ {sorted_set(f"list_concat([split_part(x, '-', 1) for x in pairs], {_codes('mcc', '[2-7][0-9][0-9]')})")}
   as mcc,
- {sorted_set(f"list_concat([split_part(x, '-', 2) for x in pairs], {matches(X.NAMED_MNC, 1)})")}
+ {sorted_set(f"list_concat([split_part(x, '-', 2) for x in pairs], {_codes('mnc', '[0-9]{2,3}')})")}
   as mnc,
  {sorted_set(matches(X.DATE_TEXT))} as date,
  {sorted_set(matches(X.ERROR_CODE))} as error_code,

@@ -185,6 +185,16 @@ def exclusion_override(d):
         d.candidates.select("event_id", "account_sid", "mcc", "mnc", "block"), EXCLUDED)
 
 
+@query
+def exclusion_override_lists(d):
+    """All keys of the state as a long list, two codes as a short one."""
+    listed = d.state_rows.select(F.lit("mcc_mnc_account").alias("level"), F.concat_ws(
+        "_", "mcc", "mnc", "account_sid").alias("key")).union(
+        d.state_rows.where("mcc in ('201', '203')").select(F.lit("mcc"), "mcc"))
+    rows = d.candidates.select("event_id", "account_sid", "mcc", "mnc", "block")
+    return filters.exclusion_override(rows, {"do_not_include": listed})
+
+
 @query
 def expired_filter(d):
     return filters.keep(d.state_rows, filters.not_expired(MID))

@@ -7,7 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tollwatch.functions import columns as C
-from tollwatch.operators import items, lists, state
+from tollwatch.operators import filters, items, lists, state
 
 T0 = datetime(2024, 1, 1)
 
@@ -190,6 +190,9 @@ def skewed_plan(spark, join, column):
         a, b.selectExpr("concat(k, 'x') as key", "'01,02' as mnc")), "phone_prefix"),
     (lambda a, b: state.cleared(a, b.withColumnRenamed("k", "account_sid"), ["account_sid"]),
      "account_sid"),
+    (lambda a, b: filters.exclusion_override(
+        a.withColumn("block", F.lit("Yes")).withColumn("account_sid", F.lit("AC1")),
+        {"do_not_include": b.selectExpr("'mcc' as level", "k as key")}), "mcc"),
 ])
 def test_hot_keys_are_split_in_joins(spark, join, column):
     assert "skew=true" in skewed_plan(spark, join, column)

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pandas as pd
 import pytest
@@ -314,3 +315,46 @@ def test_all_iso_countries_are_found(spark):
     assert short == []
     assert len({c for found in got.values() for c in found}) == 250
     assert all(got[i] == got[i + 250] for i in range(250))
+
+
+@pytest.mark.parametrize("text, mcc, mnc", [
+    ("MCC: 310, 405 and MNC 260, 12", ["310", "405"], ["12", "260"]),
+    ("mccs 310/405 & 222 or 208", ["208", "222", "310", "405"], []),
+    ("MCC 310, then 405", ["310"], []), ("mnc=01 and 30450", [], ["01"]),
+    ("MCC 310 and 9", ["310"], []), ("mcc: 310, mnc: 26", ["310"], ["26"])])
+def test_lists_after_one_label(spark, text, mcc, mnc):
+    got = tickets.ticket_fields(spark.createDataFrame([(1, text)], "ticket_id int, text string"))
+    row = got.first()
+    assert (row.mcc, row.mnc) == (mcc, mnc)
+
+
+@pytest.mark.parametrize("text, found", [
+    ("on 15 January 2024.", ["15 January 2024"]), ("Jan 15 or Feb 3, 2024",
+                                                   ["Feb 3, 2024", "Jan 15"]),
+    ("since the 3rd of May", ["3rd of May"]), ("January 15, we", ["January 15"]),
+    ("in May 2024", ["May 2024"]), ("Sept 2023", ["Sept 2023"]), ("01/02/2024", ["01/02/2024"]),
+    ("Mar was fine, Dec too", []), ("March", ["March"]), ("Janet 15", [])])
+def test_forms_of_dates(spark, text, found):
+    got = tickets.ticket_fields(spark.createDataFrame([(1, text)], "ticket_id int, text string"))
+    assert got.first().date == found
+
+
+def test_an_equal_country_list_is_the_same_list(spark):
+    frame = spark.createDataFrame([(1, "From Burma to Guinea-Bissau, Guinea and guinea.")],
+                                  "ticket_id int, text string")
+    for names in (None, list(X.COUNTRIES)):
+        assert tickets.ticket_fields(frame, names).first().country == [
+            "Guinea", "Guinea-Bissau", "Myanmar"]
+
+
+def test_the_tree_of_names_finds_what_an_alternation_does(spark):
+    names = X.country_names()
+    texts = [f"x {n}, {n.upper()} y" for n in names] + [
+        "South Georgia and the South Sand", "Guinea-", "Nigeria Niger", "Dominican Republics"]
+    plain = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, (
+        n for n in names if n not in X.SHORT_COUNTRIES)), key=len, reverse=True)) + r")\b", re.I)
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = frame.select("text", X.every_match("text", X.country_pattern()).alias("m")).collect()
+    for r in got:
+        if r.text.isascii():
+            assert r.m == plain.findall(r.text), r.text

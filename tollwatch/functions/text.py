@@ -173,35 +173,58 @@ HELP_WORDS = ["account sid", "error code", "fraud", "blocked", "safelist"]
 # Patterns, each with the characters a match may start with.
 ACCOUNT_ID = "A", r"\bAC[0-9A-Za-z]*[0-9][0-9A-Za-z]*"
 DASHED_NUMBERS = "0-9", r"\b[0-9]+(?:-[0-9]+)+\b"
-NAMED_MCC = "Mm", r"\b[Mm][Cc][Cc][ :=]+([2-7][0-9]{2})\b"
-NAMED_MNC = "Mm", r"\b[Mm][Nn][Cc][ :=]+([0-9]{2,3})\b"
+# A label and the codes listed after it, such as ``MCC: 310, 405 and 222``; a dashed number
+# ends the list.
+_STEP, _ENDS = "(?: ?, ?| ?/ ?| and | & | or )", r"\b(?!-[0-9])"
+_MCC, _MNC = f"[2-7][0-9]{{2}}{_ENDS}", f"[0-9]{{2,3}}{_ENDS}"
+NAMED_MCC = "Mm", rf"\b[Mm][Cc][Cc][Ss]?[ :=]+({_MCC}(?:{_STEP}{_MCC})*)"
+NAMED_MNC = "Mm", rf"\b[Mm][Nn][Cc][Ss]?[ :=]+({_MNC}(?:{_STEP}{_MNC})*)"
 ERROR_CODE = "0-9", r"\b[0-9]{5}\b"
+# A full month stands for itself, a short one needs a day or year beside it.
+MONTH = ("January|February|March|April|May|June|July|August|September|October|November|December")
+SHORT_MONTH = "Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec"
+_DAY = "[0-9]{1,2}(?:st|nd|rd|th)?"
 DATE_TEXT = "ADFJMNOS0-9", (
-    r"\b(?:January|February|March|April|May|June|July|August|September|October|November"
-    r"|December)(?: [0-9]{1,2},?)?(?: [0-9]{4})?\b|\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b"
+    rf"\b{_DAY} (?:of )?(?:{MONTH}|{SHORT_MONTH})\b(?:,? [0-9]{{4}}\b)?"
+    rf"|\b(?:{MONTH})(?: {_DAY},?)?(?: [0-9]{{4}})?\b"
+    rf"|\b(?:{SHORT_MONTH}) (?:{_DAY}(?:,? [0-9]{{4}})?|[0-9]{{4}})\b"
+    r"|\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|\b[0-9]{1,2}/[0-9]{1,2}/(?:[0-9]{4}|[0-9]{2})\b"
 )
 CARRIER_PAIR = r"^[2-7][0-9]{2}-[0-9]{2,3}$"
 
 
-def _any_case(text):
-    """Pattern of a text inside ``(?i:)``, which folds ASCII letters only in Java."""
-    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() and not c.isascii() else
-                   f"[{c}]" if c in ".()" else c for c in text)
+def _any_case(character):
+    """Pattern of one character inside ``(?i:)``, which folds ASCII letters only in Java."""
+    if character.isalpha() and not character.isascii():
+        return f"[{character.lower()}{character.upper()}]"
+    return f"[{character}]" if character in ".()" else character
 
 
 def country_pattern(names=COUNTRIES):
-    """Any of the names, grouped by first letter so that few are tried at a word."""
-    groups = {}
-    for name in sorted(_with_other_names(names), key=len, reverse=True):
-        groups.setdefault(name[0].lower(), []).append(_any_case(name[1:]))
-    tries = "|".join(
-        f"{_any_case(first)}(?:{'|'.join(rest)})" for first, rest in sorted(groups.items()))
-    letters = "".join(sorted(groups))
-    return letters + letters.upper(), rf"\b(?i:{tries})\b"
+    """Any of the names, as a tree of their letters, so that a word is read once.
+
+    Each branch goes on with the longer name first.
+    """
+    tree = {}
+    for name in _with_other_names(names):
+        at = tree
+        for character in name.lower():
+            at = at.setdefault(_any_case(character), {})
+        at[""] = {}
+
+    def rendered(node):
+        tries = [c + rendered(below) for c, below in sorted(node.items()) if c]
+        if not tries:
+            return ""
+        joined = tries[0] if len(tries) == 1 and "" not in node else f"(?:{'|'.join(tries)})"
+        return joined + "?" * ("" in node)
+
+    letters = "".join(sorted({n[0].lower() for n in _with_other_names(names)}))
+    return letters + letters.upper(), rf"\b(?i:{rendered(tree)})\b"
 
 
 def _with_other_names(names):
-    return {**{n: n for n in names}, **(OTHER_NAMES if names is COUNTRIES else {})}
+    return {**{n: n for n in names}, **(OTHER_NAMES if list(names) == COUNTRIES else {})}
 
 
 SHORT_COUNTRY = "UD", r"\b(?:" + "|".join(SHORT_COUNTRIES) + r")\b"
@@ -245,16 +268,20 @@ def carrier_pairs(text):
         every_match(text, DASHED_NUMBERS), lambda x: x.rlike(CARRIER_PAIR)))
 
 
+def _listed(text, pattern):
+    """Codes of all lists that follow a label."""
+    lists = every_match(text, pattern, 1)
+    return F.flatten(F.transform(lists, lambda x: F.split(x, "[^0-9]+")))
+
+
 def mccs(text, pairs):
     return sorted_set(F.concat(
-        F.transform(pairs, lambda x: F.substring_index(x, "-", 1)),
-        every_match(text, NAMED_MCC, 1)))
+        F.transform(pairs, lambda x: F.substring_index(x, "-", 1)), _listed(text, NAMED_MCC)))
 
 
 def mncs(text, pairs):
     return sorted_set(F.concat(
-        F.transform(pairs, lambda x: F.substring_index(x, "-", -1)),
-        every_match(text, NAMED_MNC, 1)))
+        F.transform(pairs, lambda x: F.substring_index(x, "-", -1)), _listed(text, NAMED_MNC)))
 
 
 def error_codes(text):

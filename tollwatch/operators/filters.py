@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollwatch.functions.columns import all_of, as_date, as_timestamp, joined_key
+from tollwatch.operators.lists import splittable
 
 
 def account_is(account_sid):
@@ -59,9 +60,14 @@ def exclusion_override(df, config):
     ``config["do_not_include"]`` holds up to three lists: ``mcc``, ``mcc_mnc``
     and ``mcc_mnc_account``, parts joined by ``_``. A list may also be a frame
     whose first column holds the entries; long lists should be, since they are
-    joined and not written into the plan.
+    joined and not written into the plan. A hot key of the rows is split by
+    adaptive execution. ``do_not_include`` may also be one frame of (level, key).
     """
     lists = config.get("do_not_include") or {}
+    if isinstance(lists, DataFrame):
+        one = lists
+        lists = {level: one.where(F.col("level") == level).select("key")
+                 for level in ("mcc", "mcc_mnc", "mcc_mnc_account")}
     columns = df.columns
     keys = {
         "mcc": F.col("mcc"),
@@ -72,8 +78,9 @@ def exclusion_override(df, config):
     for name, key in keys.items():
         listed = lists.get(name)
         if isinstance(listed, DataFrame):
-            entries = listed.select(listed[listed.columns[0]].alias(f"_{name}")).distinct()
-            df = df.join(entries, key == F.col(f"_{name}"), "left")
+            # no entry is null, so a null key finds none
+            entries = listed.select(listed[listed.columns[0]].alias(f"_{name}")).dropna().distinct()
+            df = df.withColumn("_key", key).join(entries, splittable("_key", f"_{name}"), "left")
             found = F.col(f"_{name}").isNotNull()
         elif listed:
             found = key.isin(list(listed))
