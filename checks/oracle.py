@@ -136,12 +136,13 @@ add("cleared_anti", f"""select account_sid, mcc, mnc, {TIMES} from state_rows
 add("delta_outer", "select * from master_new except select * from master_old")
 
 
-def merged(key, rows, where="true"):
+def merged(key, rows, where="true", record="record_time", expiry="expiry_time"):
     """Per (key, mcc): sorted mncs and the times of the latest record."""
     return f"""select {key} as key, mcc,
  array_to_string(list_sort(list_distinct(list(mnc))), ',') as mnc,
- max(record_time) as record_time, arg_max(expiry_time, (record_time, expiry_time)) as expiry_time
- from {rows} where {key} is not null and {where} group by {key}, mcc"""
+ max({record}) as record_time, arg_max({expiry}, ({record}, {expiry})) as expiry_time
+ from {rows} where {key} is not null and {record} is not null and {expiry} is not null
+  and {where} group by {key}, mcc"""
 
 
 def last_write(rows):
@@ -155,7 +156,8 @@ add("block_list_check", """select event_id, phone_prefix, higher_prefix, mnc, mo
  from candidates c where mode = 'good' or not exists (select 1 from stored s
   where (s.key = c.phone_prefix or s.key = c.higher_prefix) and s.mnc = c.mnc)""",
     merged_own=merged("phone_prefix", "candidates", "block = 'Yes'"),
-    merged_higher=merged("higher_prefix", "candidates", "higher_prefix_block_flag = 'Yes'"),
+    merged_higher=merged("higher_prefix", "candidates", "higher_prefix_block_flag = 'Yes'",
+                         "higher_prefix_record_time", "higher_prefix_expiry_time"),
     own=last_write("merged_own"), higher=last_write("merged_higher"),
     stored="""select distinct key, unnest(string_split(mnc, ',')) as mnc
  from (select * from own union all select * from higher)""")
@@ -233,8 +235,13 @@ add("traffic_by_code", f"select account_sid, mcc, mnc, {_ROLLED} group by accoun
 _DAILY_BLOCKS = f"""select account_sid, data_load_date, count(*) as total_traffic,
  {counters(S.VERIFY_BREAKDOWN)} from raw_events where product_id = 'Verify' and {lookback(30)}
  group by account_sid, data_load_date"""
-add("account_daily_blocks", f"select * replace (cast(data_load_date as varchar) as"
-    " data_load_date) from daily_blocks", daily_blocks=_DAILY_BLOCKS)
+for name in ("account_daily_blocks", "account_daily_blocks_rollup"):
+    add(name, f"select * replace (cast(data_load_date as varchar) as"
+        " data_load_date) from daily_blocks", daily_blocks=_DAILY_BLOCKS)
+add("block_reports", f"""select case grouping(account_sid, mcc) when 0 then 'carrier'
+ when 1 then 'account' else 'day' end as report, {CARRIER_DAY_SHOWN}, count(*) as total_traffic,
+ {counters(S.VERIFY_BREAKDOWN)} from raw_events where product_id = 'Verify' and {lookback(30)}
+ group by grouping sets (({CARRIER_DAY}), (account_sid, data_load_date), (data_load_date))""")
 _SERIES = {"classic_fg": "Classic Fg", "spp_block": "Spp Block",
            "risk_score_block": "Risk Score Block", "allowed_messages": "Allowed Messages"}
 add("block_series_long", " union all ".join(
@@ -478,8 +485,8 @@ _FIELDS = ("account_sid, " + ", ".join(
 add("ticket_fields", f"select ticket_id, {_FIELDS} from found", found=FOUND)
 add("ticket_products", f"select ticket_id, {joined('products')} as products from found",
     found=FOUND)
-add("ticket_categories", f"select ticket_id, {joined('categories')} as categories from found",
-    found=FOUND)
+for name in ("ticket_categories", "ticket_categories_lexicon"):
+    add(name, f"select ticket_id, {joined('categories')} as categories from found", found=FOUND)
 
 
 def first_decoding(text, branches, default):
@@ -564,7 +571,14 @@ def summary_part(label, array):
 _SUMMARY = f"""concat_ws('; ', 'account: ' || account_sid, {summary_part('country', 'country')},
  {summary_part('product', 'products')}, {summary_part('issue', 'categories')})"""
 add("ticket_summary", f"select ticket_id, {_SUMMARY} as summary from found", found=FOUND)
+_DETAILS = f"""'1. ' || case when {_LOOSE} then 'Account: ' || account_sid
+ else {quoted(ASK_ACCOUNT)} end || chr(10) || '2. ' || case when len(products) > 0 then 'Product: '
+  || array_to_string(products, ', ') else 'Please say which product is affected.' end
+ || chr(10) || '3. Issue: ' || array_to_string(categories, ', ') || '; reason: '
+ || summary"""
 add("triage_report", f"""select ticket_id, {_FIELDS}, {joined('products')} as products,
+ {joined(f"[y for y in [{_DECODED} for x in products] if y is not null]")} as decoded_products,
+ {_DETAILS} as details,
  {joined('categories')} as categories, summary,
  {joined(categories('summary', SUMMARY_WORDS))} as summary_categories, {_LOOSE} as is_account_id,
  {_STRICT} as is_full_account_id, {_REPLY} as reply
@@ -580,6 +594,7 @@ add("account_page", """select s.*, n.service_sid_count from status_rows s left j
 add("render_prompts", f"""select ticket_id, {quoted(SYSTEM_TEXT)} as system_prompt,
  'Query : ' || trim(text, ' ') as user_prompt from tickets""")
 _LENGTH = "cast(length('Query : ' || trim(text, ' ')) as varchar)"
+add("score_new", f"select ticket_id, 'model:' || {_LENGTH} as answer from tickets")
 add("score_batch", f"select ticket_id, 'model:' || {_LENGTH} as answer from tickets")
 add("model_compare", "select ticket_id, " + ", ".join(
     f"'{m}:' || {_LENGTH} as {m}" for m in ("model_a", "model_b", "model_c"))

@@ -242,7 +242,8 @@ def prefix_merge(d):
 def block_list_check(d):
     blocked = lists.prefix_keys(d.candidates.where("block = 'Yes'"))
     higher = lists.prefix_keys(
-        d.candidates.where("higher_prefix_block_flag = 'Yes'"), "higher_prefix")
+        d.candidates.where("higher_prefix_block_flag = 'Yes'"), "higher_prefix",
+        "higher_prefix_record_time", "higher_prefix_expiry_time")
     rows = d.candidates.select("event_id", "phone_prefix", "higher_prefix", "mnc", "mode")
     return lists.check_block_list(rows, blocked.unionByName(higher))
 
@@ -352,7 +353,7 @@ def _daily_traffic(d):
 
 
 def _daily_blocks(d):
-    return blocks.account_daily_blocks(blocks.block_breakdown(d.raw_events, as_of=AS_OF))
+    return blocks.daily_blocks(d.raw_events, as_of=AS_OF)
 
 
 @query
@@ -365,6 +366,16 @@ def account_daily_blocks(d):
     return _daily_blocks(d)
 
 
+@query
+def account_daily_blocks_rollup(d):
+    return blocks.account_daily_blocks(blocks.block_breakdown(d.raw_events, as_of=AS_OF))
+
+
+@query
+def block_reports(d):
+    return blocks.block_reports(d.raw_events, as_of=AS_OF)
+
+
 @query
 def service_count(d):
     return accounts.service_count(d.service_events)
@@ -707,6 +718,26 @@ def score_batch(d):
     return scoring.score_batch(prompts, _stand_in("model")).drop("user_prompt")
 
 
+@query
+def score_new(d):
+    """A first run over some tickets, then one over all, which asks only for the rest."""
+    prompts = tickets.render_prompts(d.tickets, SYSTEM_TEXT).select("ticket_id", "user_prompt")
+    store = fresh_path(d.spark, "answers")
+    for rows in (prompts.where(F.length("user_prompt") > 60), prompts):
+        found = scoring.score_new(rows, _stand_in("model"), store, "model-1")
+    return found.drop("user_prompt")
+
+
+@query
+def ticket_categories_lexicon(d):
+    """Categories by a lexicon table: the built-in phrases as rows."""
+    rows = [(label, k, phrase) for k, (label, phrases) in enumerate(X.CATEGORY_PHRASES.items())
+            for phrase in phrases]
+    lexicon = d.spark.createDataFrame(rows, "label string, place int, phrase string")
+    found = tickets.labels_by_lexicon(d.tickets, lexicon, "categories")
+    return found.select("ticket_id", "categories")
+
+
 @query
 def model_compare(d):
     prompts = tickets.render_prompts(d.tickets, SYSTEM_TEXT).select("ticket_id", "user_prompt")

@@ -1,4 +1,5 @@
 import json
+import random
 import re
 
 import pandas as pd
@@ -358,3 +359,57 @@ def test_the_tree_of_names_finds_what_an_alternation_does(spark):
     for r in got:
         if r.text.isascii():
             assert r.m == plain.findall(r.text), r.text
+
+
+def plain_labels(text, rows):
+    low = text.lower()
+    hit = {(place, label) for phrase, place, label in rows if (
+        re.search(rf"\b{phrase}\b", low) if phrase.isdigit() else phrase.lower() in low)}
+    return [label for _, label in sorted(hit)] or [X.OTHERS]
+
+
+def test_a_lexicon_of_ten_thousand_phrases_in_one_pass(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(2, 6)))
+    phrases = {word() + rng.choice(("", " " + word(), "." + word())) for _ in range(14_000)}
+    phrases |= {str(rng.randrange(10_000, 99_999)) for _ in range(500)}
+    rows_ = [(p, n % 40, f"label {n % 40}") for n, p in enumerate(sorted(phrases))]
+    assert len(rows_) > 10_000
+    lexicon = spark.createDataFrame(rows_, "phrase string, place int, label string")
+    some = [p for p, _, _ in rng.sample(rows_, 40)]
+    texts = [" ".join(rng.sample(some, 2)).upper() + rng.choice(("", "x", " zzz")) for _ in range(30)]
+    texts += ["", "zzz", "1234567", "say 12345x", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "ticket_id int, text string")
+    got = tickets.labels_by_lexicon(frame, lexicon, "labels")
+    for r in got.collect():
+        if r.text is not None:
+            assert r.labels == plain_labels(r.text, rows_), r.text
+
+
+def test_the_built_in_lexicon_as_a_table(spark):
+    rows_ = [(p, k, label) for k, (label, ps) in enumerate(X.CATEGORY_PHRASES.items()) for p in ps]
+    lexicon = spark.createDataFrame(rows_, "phrase string, place int, label string")
+    texts = [f"my {p} is {q}!" for p, _, _ in rows_ for q, _, _ in rows_[::7]] + ["x30450 304501"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "ticket_id int, text string")
+    plain = tickets.ticket_categories(frame).select("ticket_id", "categories")
+    assert rows(tickets.labels_by_lexicon(frame, lexicon, "categories"), "ticket_id", "categories") \
+        == rows(plain)
+
+
+def test_each_prompt_is_asked_once(spark, path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(prompts):
+        asked.add(len(prompts))
+        return prompts.str.upper()
+
+    data = [("a",), ("b",), ("a",), (None,)] + [("hot",)] * 50
+    first = spark.createDataFrame(data, "user_prompt string").repartition(5)
+    second = first.union(spark.createDataFrame([("c",)], "user_prompt string"))
+    for frame, n in ((first, 3), (second, 4)):
+        got = scoring.score_new(frame, model, path("answers"), "m1")
+        assert {(r.user_prompt, r.answer) for r in got.collect()} == {
+            (p, p and p.upper()) for (p,) in frame.distinct().collect()}
+        assert got.count() == frame.count() and asked.value == n
+    scoring.score_new(first, model, path("answers"), "m2")
+    assert asked.value == 7

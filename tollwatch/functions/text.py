@@ -200,16 +200,13 @@ def _any_case(character):
     return f"[{character}]" if character in ".()" else character
 
 
-def country_pattern(names=COUNTRIES):
-    """Any of the names, as a tree of their letters, so that a word is read once.
-
-    Each branch goes on with the longer name first.
-    """
+def letter_tree(phrases, letter=_any_case):
+    """Pattern of any of the phrases, as a tree of their letters, longer ones first."""
     tree = {}
-    for name in _with_other_names(names):
+    for phrase in phrases:
         at = tree
-        for character in name.lower():
-            at = at.setdefault(_any_case(character), {})
+        for character in phrase:
+            at = at.setdefault(letter(character), {})
         at[""] = {}
 
     def rendered(node):
@@ -219,8 +216,55 @@ def country_pattern(names=COUNTRIES):
         joined = tries[0] if len(tries) == 1 and "" not in node else f"(?:{'|'.join(tries)})"
         return joined + "?" * ("" in node)
 
-    letters = "".join(sorted({n[0].lower() for n in _with_other_names(names)}))
-    return letters + letters.upper(), rf"\b(?i:{rendered(tree)})\b"
+    return rendered(tree)
+
+
+def country_pattern(names=COUNTRIES):
+    """Any of the names, so that a word of the text is read once."""
+    names = [n.lower() for n in _with_other_names(names)]
+    letters = "".join(sorted({n[0] for n in names}))
+    return letters + letters.upper(), rf"\b(?i:{letter_tree(names)})\b"
+
+
+def _literal(character):
+    return character if character.isalnum() or character == " " else f"\\{character}"
+
+
+def lexicon_labels(lowered, rows):
+    """Labels of phrases (phrase, place, label) found in a lower-case text, by place.
+
+    At each position the longest phrase is taken; the others that start there
+    are its beginnings, and their labels come with it.
+    """
+    codes = {p for p, _, _ in rows if p.isdigit()}
+    by_phrase = {}
+    for phrase, place, label in rows:
+        by_phrase.setdefault(phrase, set()).add((place, label))
+    found = []
+    for own, pattern in ((codes, r"\b({})\b"), (set(by_phrase) - codes, "(?=({}))")):
+        if not own:
+            continue
+        table = {}
+        for phrase in sorted(own):
+            starts = [phrase] if own is codes else [
+                phrase[:n] for n in range(1, len(phrase) + 1) if phrase[:n] in own]
+            places = sorted({place for p in starts for place, _ in by_phrase[p]})
+            table[phrase] = ",".join(map(str, places))
+        hits = F.array_distinct(F.regexp_extract_all(
+            col(lowered), F.lit(pattern.format(letter_tree(sorted(own), _literal))), 1))
+        found.append(_looked_up(hits, table))
+    names = {place: label for _, place, label in rows}
+    order = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
+    all_places = sorted_set(F.concat(*found)) if found else F.array().cast("array<int>")
+    return F.transform(all_places, lambda p: F.try_element_at(order, p))
+
+
+def _looked_up(hits, table):
+    """Numbers that the table lists for each hit, in one array."""
+    known = F.map_from_arrays(F.lit(list(table)), F.lit(list(table.values())))
+    listed = F.array_join(F.transform(hits, lambda hit: F.try_element_at(known, hit)), ",")
+    return F.when(listed != "", F.split(listed, ",").cast("array<int>")).otherwise(
+        F.array().cast("array<int>"))
 
 
 def _with_other_names(names):

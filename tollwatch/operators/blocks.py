@@ -35,6 +35,43 @@ def block_breakdown(events, product=S.VERIFY, preset=None, days=30, as_of=None,
         F.count(F.lit(1)).alias("total_traffic"), *reason_counters(preset))
 
 
+def _counted(events, product, preset, days, as_of):
+    if preset is None:
+        preset = S.MESSAGING_BREAKDOWN if product == S.MESSAGING else S.VERIFY_BREAKDOWN
+    counters = [F.count(F.lit(1)).alias("total_traffic"), *reason_counters(preset)]
+    return keep(events, product_is(product), within_days(days, as_of)), counters
+
+
+def daily_blocks(events, product=S.VERIFY, preset=None, days=30, as_of=None):
+    """Traffic per account and day, split by reason: one scan and one shuffle.
+
+    The same as ``account_daily_blocks`` of a breakdown, without its finer groups.
+    """
+    rows, counters = _counted(events, product, preset, days, as_of)
+    return rows.groupBy("account_sid", "data_load_date").agg(*counters)
+
+
+#: What each row of ``block_reports`` is about, by the columns that are not summed over.
+REPORTS = {"carrier": ["account_sid", *CARRIER_DAY], "account": ["account_sid", "data_load_date"],
+           "day": ["data_load_date"]}
+
+
+def block_reports(events, product=S.VERIFY, preset=None, days=30, as_of=None):
+    """The breakdown by carrier, by account and by day, from one scan and one shuffle.
+
+    ``report`` names the level of a row; columns that it sums over are null.
+    """
+    rows, counters = _counted(events, product, preset, days, as_of)
+    by = REPORTS["carrier"]
+    level = {sum(1 << (len(by) - 1 - k) for k, c in enumerate(by) if c not in kept): name
+             for name, kept in REPORTS.items()}
+    name = F.create_map(*[F.lit(x) for pair in level.items() for x in pair])
+    found = rows.groupingSets([[F.col(c) for c in kept] for kept in REPORTS.values()], *by).agg(
+        F.grouping_id().cast("int").alias("_level"), *counters)
+    return found.select(F.element_at(name, F.col("_level")).alias("report"), *by,
+                        "total_traffic", *[c for c in found.columns[len(by) + 2:]])
+
+
 def account_daily_blocks(breakdown):
     """Sums of a breakdown per day, and per account where it has that column."""
     by = [c for c in ("account_sid", "data_load_date") if c in breakdown.columns]

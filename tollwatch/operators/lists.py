@@ -64,9 +64,12 @@ def last_write(df):
         "key", "_row.mcc", "_row.mnc", "_row.record_time", "_row.expiry_time")
 
 
-def prefix_keys(df, key="phone_prefix"):
-    """Keys to set for blocked prefixes."""
-    return last_write(prefix_merge(df.where(F.col(key).isNotNull()), key))
+def prefix_keys(df, key="phone_prefix", record="record_time", expiry="expiry_time"):
+    """Keys to set for blocked prefixes, with the times of the columns named.
+
+    Rows without a key or without its times set nothing.
+    """
+    return last_write(prefix_merge(df.dropna(subset=[key, record, expiry]), key, record, expiry))
 
 
 def account_prefix_keys(df):

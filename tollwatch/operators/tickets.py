@@ -65,6 +65,30 @@ def ticket_categories(tickets, text="text", name="categories", phrases=None):
     return found.withColumn(name, some).drop("_labels")
 
 
+#: Phrases that fit into one pattern.
+LEXICON_PHRASES = 100_000
+
+
+def labels_by_lexicon(tickets, lexicon, name, text="text", default=X.OTHERS):
+    """Labels of all phrases of a lexicon table found in the text, in one pass over it.
+
+    ``lexicon`` has label, place (the order of the labels) and phrase. The rules
+    are those of ``ticket_categories``: letter case does not count, a phrase may
+    stand inside a word, and a phrase of digits only counts where it stands
+    alone. ``default`` is the only label of a text without any. The phrases
+    become one pattern on the driver, at most ``LEXICON_PHRASES`` of them.
+    """
+    rows = lexicon.where(F.length("phrase") > 0).select(
+        F.lower("phrase").alias("phrase"), "place", "label").distinct()
+    rows = [tuple(r) for r in rows.limit(LEXICON_PHRASES + 1).collect()]
+    if len(rows) > LEXICON_PHRASES:
+        raise ValueError(f"a lexicon may have {LEXICON_PHRASES} phrases at most")
+    lowered = tickets.withColumn("_lower", F.lower(col(text)))
+    found = X.lexicon_labels("_lower", rows)
+    none = F.array(F.lit(default)) if default is not None else F.array().cast("array<string>")
+    return lowered.withColumn(name, F.when(F.size(found) > 0, found).otherwise(none)).drop("_lower")
+
+
 def account_id_check(df, account="account_sid"):
     return (df.withColumn("is_account_id", X.account_id_loose(account))
             .withColumn("is_full_account_id", X.account_id_strict(account)))
