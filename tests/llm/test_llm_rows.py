@@ -425,3 +425,12 @@ def test_each_occurrence_of_a_license_has_a_span(spark):
         first = 1 + len(between.split())
         assert spans == [(first + k * step, first + k * step + n) for k in range(5)]
         assert got.score == 1 and got.labels.split(",").count(label) == 1
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["key", "group", "rate", "own", "n", "row", "__key", "__group", "__rate", "__n"]
+    docs = spark.createDataFrame([(k, f"text {k}", "src0", *range(10)) for k in range(20)],
+                                 ["doc_id", "text", "source", *names])
+    out = mixing.mix_sources(docs, {"src0": 1.0}, size=2.0)
+    assert out.columns == [*docs.columns, "copy", "shuffle_key"]
+    assert out.count() > 10 and out.where("key = 0 and __n = 9").count() == out.count()

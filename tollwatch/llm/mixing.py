@@ -70,20 +70,21 @@ def mix_sources(docs, targets, other=0.0, size=1.0, seed="mix", source="source",
     """
     kept = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
     rate = rates(docs, targets, other, source, text, size).select(
-        F.struct("draws", "cdf").alias("__rate"), F.col("g").alias("__g"))
+        F.struct("draws", "cdf").alias("rate"), F.col("g").alias("own"))
     key = F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit(""))))
-    joined = docs.select(*kept, key.alias("__key"),
-                         _group(F.col(source), list(targets)).alias("__group"))
-    joined = joined.join(F.broadcast(rate), F.col("__group") == F.col("__g"))
+    # the input's columns stay in one struct, so that none of their names can clash
+    joined = docs.select(F.struct(*kept).alias("row"), key.alias("key"),
+                         _group(F.col(source), list(targets)).alias("group"))
+    joined = joined.join(F.broadcast(rate), F.col("group") == F.col("own"))
 
     def draw(j):
-        u = _uniform(F.lit(seed), F.col("__key"), j.cast("string"))
-        return F.size(F.filter(F.col("__rate.cdf"), lambda c: c <= u))
+        u = _uniform(F.lit(seed), F.col("key"), j.cast("string"))
+        return F.size(F.filter(F.col("rate.cdf"), lambda c: c <= u))
 
-    count = F.aggregate(F.sequence(F.lit(1), F.col("__rate.draws")), F.lit(0),
+    count = F.aggregate(F.sequence(F.lit(1), F.col("rate.draws")), F.lit(0),
                         lambda n, j: n + draw(j))
-    repeated = joined.withColumn("__n", count).where("__n > 0").withColumn(
-        "copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    key = F.md5(F.concat_ws("/", F.lit(seed), F.lit("order"), F.col("__key"),
+    repeated = joined.withColumn("n", count).where("n > 0").withColumn(
+        "copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    key = F.md5(F.concat_ws("/", F.lit(seed), F.lit("order"), F.col("key"),
                             F.col("copy").cast("string")))
-    return repeated.select(*kept, "copy", key.alias("shuffle_key")).orderBy("shuffle_key")
+    return repeated.select("row.*", "copy", key.alias("shuffle_key")).orderBy("shuffle_key")

@@ -158,6 +158,16 @@ def _removal(size):
     return run
 
 
+def _among(rows, hashes):
+    """Rows whose hash is listed. A hash that many rows have is split by adaptive execution:
+
+    the null-safe form asks for a shuffle right below each side, which a plain
+    equality would take over from the grouping of the hashes.
+    """
+    listed = hashes.select(F.col("h").alias("listed"))
+    return rows.join(listed, F.col("h").eqNullSafe(F.col("listed")), "left_semi")
+
+
 def dedup_substrings(docs, size=35, doc_id="doc_id", text="text", keep_text=True, use_filter=True):
     """Words left in each row's text after removing those in repeated windows of ``size`` words.
 
@@ -193,13 +203,13 @@ def dedup_substrings(docs, size=35, doc_id="doc_id", text="text", keep_text=True
         shared = None
         hits = distinct.select("key", "text").mapInArrow(
             _anchor_rows(size, True), "h long, key binary, at int",
-        ).join(repeated, "h", "left_semi").groupBy("key").agg(F.collect_list("at").alias("anchors"))
+        )
+        hits = _among(hits, repeated).groupBy("key").agg(F.collect_list("at").alias("anchors"))
         tagged = distinct.join(hits, "key").select("key", "text", "copies", "anchors")
     again = tagged.mapInArrow(_window_rows(size, shared, False), "h long, n long").groupBy(
         "h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    starts = tagged.mapInArrow(
-        _window_rows(size, shared, True), "h long, key binary, at int",
-    ).join(again, "h").groupBy("key").agg(F.collect_list("at").alias("starts"))
+    starts = tagged.mapInArrow(_window_rows(size, shared, True), "h long, key binary, at int")
+    starts = _among(starts, again).groupBy("key").agg(F.collect_list("at").alias("starts"))
     nothing = F.array().cast("array<int>")
     columns = ["n_words", "n_removed", "kept_sha256", *["kept_text"] * keep_text]
     left = distinct.join(starts, "key", "left").select(
