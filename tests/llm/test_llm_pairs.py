@@ -252,12 +252,47 @@ def test_decontaminate_keeps_clean_rows_and_columns(spark):
         [(2, "clean"), (2, "clean"), (None, None)], key=repr)
 
 
-def test_benchmark_blocks_give_the_same(spark, monkeypatch):
+def test_windows_joined_without_a_bitmap_give_the_same(spark, monkeypatch):
     items = [QUESTION, *[f"item {'abc'[i]} has its own words here and there {i}" for i in range(3)]]
-    texts = [QUESTION, items[1], "and " + items[2]]
+    texts = [QUESTION, items[1], "and " + items[2], QUESTION, "nothing of it"]
     whole = leaks(spark, texts, items)
-    monkeypatch.setattr(templates, "BLOCK_CHARS", 60)
-    assert leaks(spark, texts, items) == whole and len(whole) >= 3
+    monkeypatch.setattr(templates, "_filter", lambda windows: None)
+    assert leaks(spark, texts, items) == whole and len(whole) >= 4
+
+
+def test_leaks_equal_every_text_against_every_item(spark):
+    """The join finds the pairs that the comparison of all texts with all items does."""
+    rng = random.Random(6)
+    words = [f"word{chr(97 + k)}" for k in range(26)] + ["Anna Schmidt", "12", "3.5 km", "seven"]
+    items = [" ".join(rng.choices(words, k=rng.choice((2, 5, 12, 30)))) for _ in range(25)]
+    texts = []
+    for _ in range(60):
+        low = rng.randrange(20)
+        item = rng.choice(items).split()
+        texts.append(" ".join([*rng.choices(words, k=9), *item[low:low + 20], *item[:9],
+                               *rng.choices(words, k=5)]))
+    index = templates.Index(list(range(len(items))), items)
+    want = templates.pd.concat(index.leaks(*templates.raw(
+        templates.pa.array(texts, templates.pa.large_string())), 0.3))
+    found = leaks(spark, texts, items)
+    assert sorted(found) == sorted(zip(want["doc"], want["item"], strict=True)) and len(found) > 40
+    for r in want.itertuples():
+        got = found[r.doc, r.item]
+        assert (got.n_tokens, got.n_slots, got.n_changed) == (r.n_tokens, r.n_slots, r.n_changed)
+
+
+def test_short_items_take_no_document_away(spark):
+    bench = spark.createDataFrame([(1, "the"), (2, "of the old house")], "item_id long, text string")
+    df = frame(spark, [(1, "the cat"), (2, "roof of the old house"), (3, None), (4, "")])
+    df = df.withColumn("leaking", templates.F.lit(1))
+    assert sorted(r.doc_id for r in templates.decontaminate(df, bench).collect()) == [1, 3, 4]
+    assert templates.decontaminate(df, bench.limit(0)).count() == 4
+    assert templates.decontaminate(df.limit(0), bench).count() == 0
+
+
+def test_a_very_long_text_is_searched_whole(spark):
+    long = " ".join(f"x{k}" for k in range(80_000)) + " " + QUESTION
+    assert list(leaks(spark, [long], [QUESTION])) == [(0, 0)]
 
 
 def test_parts_of_hot_windows_are_bounded_and_give_the_same(spark, monkeypatch):

@@ -14,17 +14,17 @@ import pandas as pd
 import pyarrow as pa
 import pyspark.sql.functions as F
 
+from tollwatch.llm.substrings import _filter, _passes
 from tollwatch.llm.words import (
     ALNUM, LOWER, Texts, _table, byte_set, chunks, mix, of_strings, range_hashes, raw,
 )
+from tollwatch.session import written
 
 WINDOW = 8
 #: Matched places that are held at once; more are gone through in parts of texts and items.
 PLACES = 1 << 20
 #: Tokens in a row that make a leak, however long the item is.
 RUN = 13
-#: Characters of benchmark text that are held in memory and sent to tasks at once.
-BLOCK_CHARS = 4 << 20
 LITERAL, NUMBER, UNIT, NAME = range(4)
 
 # Spelled numbers and units of measure.
@@ -124,7 +124,7 @@ class Templates:
 
 
 class Index:
-    """Template and word windows of a block of benchmark texts.
+    """Template and word windows of some benchmark texts.
 
     A text of fewer tokens or words than a window is one window of its own size.
     """
@@ -301,68 +301,151 @@ class Index:
         return out[(out["covered"] >= covered) | (run >= RUN)]
 
 
-def _blocks(benchmark, item_id, text):
-    """Index after index over the whole benchmark, a bounded number of characters each."""
-    items = benchmark.select(F.col(item_id).alias("id"), F.col(text).alias("text")).where(
-        F.col(text).isNotNull())
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // BLOCK_CHARS))
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()
-        rows = sorted(rows, key=lambda r: (str(r.id), r.text))
-        if rows:
-            yield Index([r.id for r in rows], [r.text for r in rows])
+TEMPLATE, WORDS = 0, 1
+
+
+def _keys(texts, kind, size):
+    """Text of each window of a kind and size, and the window's key."""
+    place, h = texts.windows(size) if kind == TEMPLATE else texts.word_windows(size)
+    doc = texts.doc if kind == TEMPLATE else texts.words.doc
+    return doc[place], mix(h + np.uint64(16 * kind + size))
+
+
+def _item_rows(least):
+    """Windows (h, item, kind, size) of benchmark texts; short ones are one window."""
+    def run(batches):
+        for batch, data, at in chunks(batches, 1):
+            texts = Templates(data, at)
+            for kind, counts in ((TEMPLATE, texts.counts), (WORDS, texts.words.counts)):
+                for size in sorted({min(WINDOW, int(n)) for n in counts if n >= least}):
+                    own, h = _keys(texts, kind, size)
+                    fits = (np.minimum(counts, WINDOW) == size)[own]
+                    pairs = np.unique(np.stack([h[fits].view(np.int64), own[fits]]), axis=1)
+                    yield pa.RecordBatch.from_pydict({
+                        "h": pairs[0], "item": batch.column(0).take(pa.array(pairs[1])),
+                        "kind": np.full(pairs.shape[1], kind, np.int32),
+                        "size": np.full(pairs.shape[1], size, np.int32)})
+    return run
+
+
+def _hit_rows(kinds, shared):
+    """Texts with windows that the benchmark may have, and the keys of those windows."""
+    def run(batches):
+        for batch, data, at in chunks(batches, 1):
+            texts = Templates(data, at)
+            found = [np.zeros((2, 0), np.int64)]
+            for kind, size in kinds:
+                own, h = _keys(texts, kind, size)
+                if shared is not None:
+                    good = _passes(shared.value, h)
+                    own, h = own[good], h[good]
+                found.append(np.stack([own, h.view(np.int64)]))
+            own, h = np.unique(np.concatenate(found, axis=1), axis=1)
+            hit, n = np.unique(own, return_counts=True)
+            part = batch.take(pa.array(hit))
+            bounds = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({
+                "key": part.column(0), "text": part.column(1),
+                "h": pa.ListArray.from_arrays(pa.array(bounds), pa.array(h))})
+    return run
+
+
+def _pair_rows(covered):
+    """What is matched in each pair of a document's and an item's text."""
+    def run(batches):
+        for batch, data, at in chunks(batches, 1):
+            keys, item_keys = (batch.column(k).to_pylist() for k in (0, 2))
+            first, items = {}, {}
+            for row, key in enumerate(keys):
+                first.setdefault(key, row)
+            texts = batch.column(3)
+            for row, key in enumerate(item_keys):
+                if key not in items:
+                    items[key] = texts[row].as_py()
+            index = Index(list(items), list(items.values()))
+            asked = set(zip(keys, item_keys, strict=True))
+            rows = batch.take(pa.array(list(first.values())))
+            names = list(first)
+            for found in index.leaks(*raw(rows.column(1)), covered):
+                own = [(names[d], index.ids[i]) in asked for d, i in zip(
+                    found["doc"], found["item"], strict=True)]
+                found = found[own]
+                yield pa.RecordBatch.from_pydict({
+                    "key": pa.array([names[d] for d in found["doc"]], pa.binary()),
+                    "item": pa.array([index.ids[i] for i in found["item"]], pa.binary()),
+                    **{c: pa.array(found[c].to_numpy()) for c in MATCHED}})
+    return run
+
+
+MATCHED = ("n_tokens", "covered", "n_slots", "n_changed")
+FOUND = "key binary, item binary, n_tokens long, covered double, n_slots long, n_changed long"
+
+
+def _digest(text):
+    return F.unhex(F.md5(F.col(text)))
+
+
+def _matches(docs, benchmark, covered, least, text, item_text):
+    """Leaking pairs of distinct texts, by digests.
+
+    The windows of both sides are joined in Spark. Before that, a bitmap of the
+    benchmark's windows, of fixed size, leaves out windows and documents that
+    it cannot have; where the benchmark would fill it, all windows are joined.
+    """
+    spark = docs.sparkSession
+    items = benchmark.where(F.col(item_text).isNotNull()).groupBy(
+        _digest(item_text).alias("item")).agg(F.min(item_text).alias("item_text"))
+    windows = written(items.mapInArrow(
+        _item_rows(least), "h long, item binary, kind int, size int"), "benchmark-windows")
+    # at most WINDOW sizes of two kinds
+    kinds = sorted(tuple(r) for r in windows.select("kind", "size").distinct().collect())
+    bitmap = _filter(windows)
+    shared = None if bitmap is None else spark.sparkContext.broadcast(bitmap)
+    source = docs.select(_digest(text).alias("key"), F.col(text).alias("text")).where(
+        F.col("text").isNotNull())
+    hits = written(source.mapInArrow(
+        _hit_rows(kinds, shared), "key binary, text string, h array<long>"), "benchmark-hits")
+    asked = hits.select("key", F.explode("h").alias("asked")).distinct()
+    # a window that many texts or items have is split by adaptive execution
+    pairs = asked.join(windows.select("h", "item"), F.col("asked").eqNullSafe(F.col("h"))).select(
+        "key", "item").distinct()
+    texts = hits.groupBy("key").agg(F.min("text").alias("text"))
+    both = pairs.join(texts, "key").join(items, "item")
+    return both.select("key", "text", "item", "item_text").mapInArrow(_pair_rows(covered), FOUND)
 
 
 def leaks(docs, benchmark, covered=0.3, doc_id="doc_id", item_id="item_id", text="text",
-          item_text="text"):
+          item_text="text", least=1):
     """Documents and benchmark items of which they hold the share ``covered`` or a run of ``RUN`` tokens.
 
     One row per document row and item: doc_id, item_id, n_tokens matched, the
     share ``covered``, n_slots and n_changed (slots with another value than the
     item's). Null and empty texts hold nothing and are not held; windows without
-    a literal word in half of their tokens match only word for word. Repeated rows on either side give repeated results. The benchmark
-    goes to tasks in blocks of bounded size, each against all documents; with
-    no items the result is empty.
+    a literal word in half of their tokens match only word for word. Items of
+    fewer than ``least`` tokens are not looked for. Repeated rows on either side
+    give repeated results; copies of a text are matched once. An item of fewer
+    words than a window matches as a whole. With no items or no documents the
+    result is empty. Neither side passes through the driver.
     """
-    kinds = dict(docs.dtypes)[doc_id], dict(benchmark.dtypes)[item_id]
-    columns = (f"`{doc_id}` {kinds[0]}, `{item_id}` {kinds[1]}, n_tokens long, covered double,"
-               " n_slots long, n_changed long")
-    own = docs.select(doc_id, F.col(text).alias("__text"))
-    out = None
-    for index in _blocks(benchmark, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        part = own.mapInArrow(_leak_rows(shared, covered, doc_id, item_id), columns)
-        out = part if out is None else out.union(part)
-    return docs.sparkSession.createDataFrame([], columns) if out is None else out
-
-
-def _leak_rows(shared, covered, doc_id, item_id):
-    def run(batches):
-        index = shared.value
-        for batch, data, at in chunks(batches, 1):
-            for found in index.leaks(data, at, covered):
-                ids = batch.column(0).take(pa.array(found["doc"].to_numpy()))
-                yield pa.RecordBatch.from_pydict({
-                    doc_id: ids, item_id: [index.ids[i] for i in found["item"]],
-                    **{c: pa.array(found[c].to_numpy()) for c in (
-                        "n_tokens", "covered", "n_slots", "n_changed")}})
-    return run
+    found = _matches(docs, benchmark, covered, least, text, item_text)
+    own = docs.select(F.col(doc_id).alias("doc"), _digest(text).alias("own"))
+    items = benchmark.select(F.col(item_id).alias("name"), _digest(item_text).alias("its"))
+    rows = own.join(found, F.col("own").eqNullSafe(F.col("key"))).join(
+        items, F.col("item").eqNullSafe(F.col("its")))
+    return rows.select(F.col("doc").alias(doc_id), F.col("name").alias(item_id), *MATCHED)
 
 
-def decontaminate(docs, benchmark, covered=0.3, text="text", item_id="item_id",
-                  item_text="text"):
-    """``docs`` without the rows that ``leaks`` would report; columns unchanged."""
-    names = docs.columns
-    for index in _blocks(benchmark, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+def decontaminate(docs, benchmark, covered=0.3, text="text", item_text="text", least=4):
+    """``docs`` without the rows that ``leaks`` would report; columns unchanged.
 
-        def run(batches, shared=shared):
-            for batch, data, at in chunks(batches, names.index(text)):
-                clean = np.ones(len(batch), bool)
-                for found in shared.value.leaks(data, at, covered):
-                    clean[found["doc"].to_numpy()] = False
-                yield batch.filter(pa.array(clean))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    Items of fewer than ``least`` tokens take no document away, since common
+    phrases are that short; ``leaks`` can report them. Null and empty texts
+    stay, repeated rows share their fate, empty tables on either side leave
+    ``docs`` as they are.
+    """
+    name = "leaking"
+    while name in docs.columns:
+        name += "_"
+    gone = _matches(docs, benchmark, covered, least, text, item_text).select(
+        F.col("key").alias(name)).distinct()
+    return docs.join(gone, _digest(text).eqNullSafe(F.col(name)), "left_anti")
