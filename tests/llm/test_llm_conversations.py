@@ -149,3 +149,18 @@ def test_op12_equals_plain_python(spark):
             for c, own in want.items()}
     ours = {r[0]: tuple(r)[1:] for r in queries.op12_conversation_repair(spark, SMALL).collect()}
     assert ours == want
+
+
+def test_long_texts_and_clashing_columns(spark):
+    """A message of two million characters and a conversation of 9,000 rows, cut into segments."""
+    names = ["user", "assistant"]
+    rows = [(1, k, names[k % 2], f"line {k}.", "x", "y") for k in range(9000)]
+    rows += [(2, 0, "user", "a" * 2_000_000 + ".", "x", "y"), (2, 1, "assistant", "ok.", "x", "y")]
+    df = spark.createDataFrame(
+        rows, "conv_id long, turn long, role string, text string, conv string, key string")
+    out = {r.conv_id: r for r in conv.summarize_repairs(df).collect()}
+    assert (out[1].cost, out[1].audit, out[2].cost, out[2].audit) == (0, "K" * 9000, 0, "KK")
+    text = "\n".join(f"{r[2]}:{r[3]}" for r in rows[:9000])
+    assert out[1].repaired_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    parts = conv.repair_conversations(df).where("conv_id = 1").collect()
+    assert len(parts) >= 3 and max(len(p.messages) for p in parts) <= conv.SEGMENT_ROWS
