@@ -152,7 +152,8 @@ def last_write(rows):
 
 _KEY_ROWS = f"select key, mcc, mnc, {TIMES}"
 add("prefix_merge", f"{_KEY_ROWS} from merged", merged=merged("higher_prefix", "candidates"))
-add("block_list_check", """select event_id, phone_prefix, higher_prefix, mnc, mode
+for name in ("block_list_check", "block_list_check_filtered"):
+    add(name, """select event_id, phone_prefix, higher_prefix, mnc, mode
  from candidates c where mode = 'good' or not exists (select 1 from stored s
   where (s.key = c.phone_prefix or s.key = c.higher_prefix) and s.mnc = c.mnc)""",
     merged_own=merged("phone_prefix", "candidates", "block = 'Yes'"),

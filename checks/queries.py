@@ -238,14 +238,23 @@ def prefix_merge(d):
     return lists.prefix_merge(d.candidates, "higher_prefix")
 
 
-@query
-def block_list_check(d):
+def _block_list(d, prefilter):
     blocked = lists.prefix_keys(d.candidates.where("block = 'Yes'"))
     higher = lists.prefix_keys(
         d.candidates.where("higher_prefix_block_flag = 'Yes'"), "higher_prefix",
         "higher_prefix_record_time", "higher_prefix_expiry_time")
     rows = d.candidates.select("event_id", "phone_prefix", "higher_prefix", "mnc", "mode")
-    return lists.check_block_list(rows, blocked.unionByName(higher))
+    return lists.check_block_list(rows, blocked.unionByName(higher), prefilter)
+
+
+@query
+def block_list_check(d):
+    return _block_list(d, False)
+
+
+@query
+def block_list_check_filtered(d):
+    return _block_list(d, True)
 
 
 @query

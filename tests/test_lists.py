@@ -122,7 +122,9 @@ def test_block_list(spark):
          (4, "1x", "2x", "01", "good"), (5, "3", "9x", "01", "bad"), (6, None, None, "01", "bad"),
          (7, "1x", "9x", "01", None), (8, "5x", "5x", None, "bad"), (9, "1x", "1x", None, "bad")],
         "n int, phone_prefix string, higher_prefix string, mnc string, mode string")
-    assert rows(lists.check_block_list(df, keys), "n") == [(2,), (4,), (5,), (6,), (8,), (9,)]
+    for prefilter in (False, True):
+        assert rows(lists.check_block_list(df, keys, prefilter), "n") == [
+            (2,), (4,), (5,), (6,), (8,), (9,)]
 
 
 def test_delete_keys(spark):
@@ -196,3 +198,30 @@ def skewed_plan(spark, join, column):
 ])
 def test_hot_keys_are_split_in_joins(spark, join, column):
     assert "skew=true" in skewed_plan(spark, join, column)
+
+
+def test_the_filter_lets_few_rows_through(spark):
+    listed = spark.range(200).selectExpr("concat(id, 'x') as p", "'01' as m")
+    rows_ = spark.range(20_000).selectExpr("concat(id, 'x') as p", "'01' as m")
+    bits = lists.bit_filter(listed, "p", "m")
+    passed = rows_.where(lists.may_hold(bits, "p", "m"))
+    assert passed.join(listed, ["p", "m"]).count() == 200 and passed.count() < 260
+
+
+def test_block_list_shuffles_only_rows_that_may_be_listed(spark):
+    df = spark.range(0, 30_000, 1, 4).selectExpr(
+        "concat(id, 'x') as phone_prefix", "concat(id % 97, 'x') as higher_prefix",
+        "case when id % 2 = 0 then '01' end as mnc", "case when id % 5 = 0 then 'good' end as mode")
+    keys = spark.range(50).selectExpr("concat(id + 1000, 'x') as key", "'01,02' as mnc")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = lists.check_block_list(df, keys, True)
+        assert got.count() == 30_000 - 20  # even ids of 1000 to 1049 that are not in mode good
+        plan = got._jdf.queryExecution().executedPlan()
+        assert plan.toString().count("LeftAnti") >= 2
+    finally:
+        for k in settings:
+            spark.conf.unset(k)

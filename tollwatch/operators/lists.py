@@ -136,22 +136,57 @@ def any_inserted(upserted):
     return not upserted.where("inserted").isEmpty()
 
 
-def check_block_list(df, keys):
+#: Bits of the filter before a list's join; a longer list lets more rows through.
+FILTER_BITS = 1 << 20
+
+
+def _bit(*columns):
+    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+
+
+def bit_filter(listed, *columns):
+    """One value, an array of ``FILTER_BITS`` bits with those set that the list's entries hash to."""
+    words = listed.select(_bit(*columns).alias("b")).select(
+        F.shiftright("b", 6).alias("w"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("v"),
+    ).groupBy("w").agg(F.bit_or("v").alias("v"))
+    every = listed.sparkSession.range(FILTER_BITS // 64).select(
+        F.col("id").alias("w"), F.lit(0).cast("long").alias("v"))
+    dense = words.union(every).groupBy("w").agg(F.bit_or("v").alias("v"))
+    one = dense.agg(F.array_sort(F.collect_list(F.struct("w", "v"))).alias("all"))
+    return one.select(F.col("all.v")).scalar()
+
+
+def may_hold(bits, *columns):
+    """Whether the list behind the bits may have an entry of these values."""
+    b = _bit(*columns)
+    word = F.get(bits, F.shiftright(b, 6).cast("int"))
+    return F.getbit(word, b.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def check_block_list(df, keys, prefilter=False):
     """Drop candidates whose prefix or higher prefix is blocked for their mnc.
 
     Stored prefixes end in ``x``; other keys are not looked at. Rows in mode
-    ``good`` always stay.
+    ``good`` always stay. With ``prefilter`` a filter of fixed size, made from
+    the list, first keeps the rows that it cannot have, and only the others are
+    shuffled to be looked up: for lists that hit few of many candidates.
     """
     stored = keys.where(F.col("key").endswith("x")).select(
         F.col("key").alias("_prefix"),
         F.explode(F.split("mnc", ",")).alias("_mnc")).distinct()
     # No stored prefix or mnc is null, so a null never matches.
     droppable = ~F.col("mode").eqNullSafe(F.lit("good"))
-    result = df
-    for prefix in ("phone_prefix", "higher_prefix"):
+    prefixes = ("phone_prefix", "higher_prefix")
+    left = df
+    if prefilter:
+        bits = bit_filter(stored, "_prefix", "_mnc")
+        asked = droppable & (
+            may_hold(bits, prefixes[0], "mnc") | may_hold(bits, prefixes[1], "mnc"))
+        left = df.where(asked)
+    for prefix in prefixes:
         hit = splittable(prefix, "_prefix") & splittable("mnc", "_mnc")
-        result = result.join(stored, hit & droppable, "left_anti")
-    return result
+        left = left.join(stored, hit & droppable, "left_anti")
+    return df.where(~asked).union(left) if prefilter else left
 
 
 def check_allow_list(df, keys, hash_keys=False):
