@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 
+# Fixed values throughout: the names and type letters that the store expects of an item.
+
 def _text(name):
     return F.struct(F.col(name).cast("string").alias("S")).alias(name)
 
