@@ -168,3 +168,34 @@ def test_long_texts_and_one_word_texts(spark):
     out = {r[0]: tuple(r)[1:] for r in trees_of_sets.jaccard_components(docs).collect()}
     assert out == {1: (59_997, 1), 2: (59_998, 1), 3: (1, 3), 4: (1, 3)}
     assert {r[0]: r[1] for r in darts.classes(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+@pytest.mark.parametrize("n", [100, 800])
+def test_links_of_a_large_group_are_one_for_each_text(spark, monkeypatch, n):
+    """Near copies that share many keys, and blocks that share many texts, give no link twice."""
+    rng = random.Random(n)
+    base = [str(rng.randrange(10**6)) for _ in range(150)]
+    texts = []
+    for _ in range(n):
+        words = list(base)
+        for k in rng.sample(range(0, 150, 5), 2):
+            words[k] = str(rng.randrange(10**6))
+        texts.append(" ".join(words))
+    found, components = [], groups.components
+
+    def counted(edges):
+        found.append((edges.count(), edges.distinct().count()))
+        return components(edges)
+
+    monkeypatch.setattr(groups, "components", counted)
+    monkeypatch.setattr(groups, "BLOCK_TEXTS", 3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+        out = darts.classes(docs).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = classes_of(n, linked_pairs(sets_of(texts, 5), 80)) if n == 100 else [0] * n
+    assert [r[1] for r in sorted(out)] == list(want)
+    (met, _), (linked, _) = found
+    assert met < 1.2 * n + 100 and linked < 1.2 * n + 100

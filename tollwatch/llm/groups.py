@@ -2,10 +2,11 @@
 
 Texts are nodes, by a digest. ``meetings`` finds which nodes share a key, as
 edges of a forest: keys that many texts of a task have are folded there, so a
-hot key sends a few rows to the shuffle, not one for each text. ``linked`` lays
-out the texts of each group of meeting nodes side by side and compares them in
-blocks inside tasks. Only links that join two parts come out, so a group of any
-size gives a row for each of its texts and pair of blocks at most.
+hot key sends a few rows to the shuffle, not one for each text, and the texts
+that meet in a task go on as one. ``linked`` lays out the texts of each group of
+meeting nodes side by side and compares them in blocks inside tasks. A block
+gives a link for each of its texts at most, and a pair of blocks only links
+between the classes that each of them has by itself.
 """
 
 import numpy as np
@@ -63,31 +64,36 @@ def components(edges):
             return state
 
 
+def _forest(a, b):
+    """Nodes of the links (a, b), and for each the least node that they link it to."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return nodes, nodes[labels_of(len(nodes), at[:len(a)], at[len(a):])]
+
+
 def _fold(key, node, hot):
     """Which (key, node) rows go on, and (a, b) links in place of the others.
 
     Rows of one key in a chunk go on as one. Keys that several nodes of a
-    chunk had are remembered in ``hot``, and do not go on again.
+    chunk had are remembered in ``hot``, and do not go on again. Nodes that
+    meet here are linked to the least of them, one link for each, and it stands
+    for them in the rows that go on.
     """
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
     opens = np.ones(len(key), bool)
     opens[1:] = key[1:] != key[:-1]
     head = np.flatnonzero(opens)
-    first = np.repeat(node[head], np.diff(np.append(head, len(key))))
-    pairs = [np.stack([first, node])[:, first != node]]
-    if hot:
-        known = np.array([hot.get(k, 0) for k in key[head].tolist()], np.int64)
-        seen = known != 0
-        pairs.append(np.stack([known, node[head]])[:, seen & (known != node[head])])
-    else:
-        seen = np.zeros(len(head), bool)
     size = np.diff(np.append(head, len(key)))
+    known = np.array([hot.get(k, 0) for k in key[head].tolist()], np.int64)
+    seen = known != 0
+    nodes, least = _forest(np.concatenate([np.repeat(node[head], size), known[seen]]),
+                           np.concatenate([node, node[head][seen]]))
+    key, node = key[head], least[np.searchsorted(nodes, node[head])]
     for i in np.flatnonzero(~seen & (size > 1)).tolist():
         if len(hot) < HOT_KEYS:
-            hot[int(key[head[i]])] = int(node[head[i]])
-    links = np.unique(np.concatenate(pairs, axis=1), axis=1)
-    return key[head][~seen], node[head][~seen], links
+            hot[int(key[i])] = int(node[i])
+    joined = nodes != least
+    return key[~seen], node[~seen], np.stack([least[joined], nodes[joined]])
 
 
 def _key_rows(keys):
@@ -126,10 +132,9 @@ def _stars(batches):
                 least[0] = last_node
             links.append(np.stack([np.repeat(least, np.diff(np.append(head, len(key)))), a]))
             last_key, last_node = key[-1], least[-1]
-        links = np.concatenate(links, axis=1)
-        links.sort(axis=0)
-        links = np.unique(links[:, links[0] != links[1]], axis=1)
-        yield pa.RecordBatch.from_pydict({"a": links[0], "b": links[1]})
+        nodes, least = _forest(*np.concatenate(links, axis=1))
+        joined = nodes != least
+        yield pa.RecordBatch.from_pydict({"a": least[joined], "b": nodes[joined]})
 
 
 def meetings(docs, keys, text="text"):
@@ -180,6 +185,7 @@ ROWS = ("a binary, b binary, root long, part long, node binary, text string, ite
 
 
 def _record(links, root=None, part=None, nodes=(), texts=(), items=()):
+    """Links, and texts of a part, each with the node that its links in the part lead to."""
     gap, n = [None] * len(links), len(nodes)
     return pa.RecordBatch.from_arrays(
         [pa.array([*(x[0] for x in links), *[None] * n], pa.binary()),
@@ -214,24 +220,29 @@ class _Held:
         if len(self.nodes) < 2:
             return []
         label = self.compare(self.sets, self.left)
-        return [(self.nodes[k], self.nodes[i]) for i, k in enumerate(label.tolist()) if i != k]
+        links = ((self.nodes[k], self.nodes[i]) for i, k in enumerate(label.tolist()))
+        return list(dict.fromkeys((a, b) for a, b in links if a != b))
 
 
 def _group_rows(encode, compare):
-    """Links of groups that lie in this task as one block, and the texts of all others in parts."""
+    """Links of groups that lie in this task as one block; texts of all others in parts, and their links.
+
+    In place of its node a text of a part has the first node that it is linked to there.
+    """
     def run(batches):
         part = TaskContext.get().partitionId() << 32
         held, cut, first = _Held(compare), False, True
 
         def flush(whole):
             nonlocal part
-            if whole:
-                links = held.links()
-                if links:
-                    yield _record(links)
-            elif held.nodes:
-                yield _record([], held.of, part, held.nodes, held.texts, map(len, held.sets))
+            links = held.links()
+            if not whole and held.nodes:
+                to = {b: a for a, b in links}
+                yield _record(links, held.of, part, [to.get(x, x) for x in held.nodes], held.texts,
+                              map(len, held.sets))
                 part += 1
+            elif links:
+                yield _record(links)
             held.empty()
 
         for batch, data, at in chunks(batches, 2):
@@ -253,7 +264,10 @@ def _group_rows(encode, compare):
 
 
 def _pair_rows(encode, compare):
-    """Links between the texts of a block, or of two blocks, as they come sorted."""
+    """Links between the parts of a block, or of two blocks, as they come sorted.
+
+    Texts that are linked within their part have one node, so they give one link.
+    """
     def run(batches):
         held = _Held(compare)
         for batch, data, at in chunks(batches, 5):
@@ -285,9 +299,10 @@ def linked(docs, keys, encode, compare, least_ratio, text="text"):
     Sets whose sizes have a ratio below ``least_ratio`` are never linked.
 
     Groups that a task holds as one block are compared there. Of the others,
-    those longer than a block or cut by the border of a task, the parts are
-    gathered into blocks by their sizes, and blocks are compared two by two
-    where their sizes allow links.
+    those longer than a block or cut by the border of a task, each part is
+    compared within itself, parts are gathered into blocks by their sizes, and
+    blocks are compared two by two where their sizes allow links, a block of
+    several parts also with itself.
     """
     met = meetings(docs, keys, text)
     source = docs.select(_short(F.col(text)).alias("short"), F.col(text).alias("text")).where(
@@ -310,11 +325,13 @@ def linked(docs, keys, encode, compare, least_ratio, text="text"):
     members = members.join(parts.select("part", "block"), "part").select(
         "root", "block", "node", "text")
     blocks = parts.groupBy("root", "block").agg(
-        F.min("least").alias("least"), F.max("most").alias("most"))
-    low, high = (blocks.select("root", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "least", "most")))
+        F.min("least").alias("least"), F.max("most").alias("most"), F.count("*").alias("parts"))
+    columns = "block", "least", "most", "parts"
+    low, high = (blocks.select("root", *(F.col(c).alias(f"{c}_{k}") for c in columns))
                  for k in ("low", "high"))
     pairs = low.join(high, "root").where(
-        (F.col("block_low") <= F.col("block_high"))
+        ((F.col("block_low") < F.col("block_high"))
+         | (F.col("block_low") == F.col("block_high")) & (F.col("parts_low") > 1))
         & (F.col("most_low") >= least_ratio * F.col("least_high"))
         & (F.col("most_high") >= least_ratio * F.col("least_low"))).select(
         "root", F.col("block_low").alias("low"), F.col("block_high").alias("high"))
