@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from tollwatch.llm import darts, groups, trees_of_sets
 from tollwatch.llm.words import raw
 
@@ -199,3 +200,25 @@ def test_links_of_a_large_group_are_one_for_each_text(spark, monkeypatch, n):
     assert [r[1] for r in sorted(out)] == list(want)
     (met, _), (linked, _) = found
     assert met < 1.2 * n + 100 and linked < 1.2 * n + 100
+
+
+def test_removal_stage_links_each_text_once(spark, monkeypatch):
+    """The pipeline's stage keeps the least of 150 near copies, with a link for each in every round."""
+    rng = random.Random(3)
+    base = [str(rng.randrange(10**6)) for _ in range(150)]
+    rows = []
+    for n in range(150):
+        words = list(base)
+        words[rng.randrange(150)] = str(rng.randrange(10**6))
+        words[rng.randrange(150)] = str(rng.randrange(10**6))
+        rows.append((n, " ".join(words)))
+    found, components = [], groups.components
+
+    def counted(edges):
+        found.append(edges.count())
+        return components(edges)
+
+    monkeypatch.setattr(groups, "components", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert [r[0] for r in corpus_pipeline.near_dedup(spark, docs, None).collect()] == [0]
+    assert max(found) < 1.2 * len(rows) + 20
