@@ -222,3 +222,88 @@ def test_removal_stage_links_each_text_once(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert [r[0] for r in corpus_pipeline.near_dedup(spark, docs, None).collect()] == [0]
     assert max(found) < 1.2 * len(rows) + 20
+
+
+def with_passage(rng, texts, words=12):
+    """``texts`` that all begin with the same passage."""
+    passage = " ".join(str(rng.randrange(10**6)) for _ in range(words))
+    return [f"{passage} {t}" for t in texts]
+
+
+@pytest.mark.parametrize("size", [1, 4])
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_links_share_a_key_that_both_keep(size, percent):
+    """Texts that leave out the keys that are last in any one order still meet where they are linked."""
+    rng = random.Random(7 * size + percent)
+    for _ in range(8):
+        texts = with_passage(rng, families(rng), 4) + families(rng, 6, (2, 4, 6, 150))
+        data, at = raw(pa.array(texts, pa.large_string()))
+        owner, key, kind, free = trees_of_sets.spared_keys(size, percent)(data, at)
+        order = list(set(key.tolist()))
+        rng.shuffle(order)
+        order = {k: i for i, k in enumerate(order)}
+        rows, left, out = collections.defaultdict(list), {}, collections.defaultdict(set)
+        for o, k, c, f in zip(owner.tolist(), key.tolist(), kind.tolist(), free.tolist(), strict=True):
+            rows[o, c].append(k)
+            assert left.setdefault((o, c), f) == f
+        for (o, c), mine in rows.items():
+            out[o].update(sorted(mine, key=order.get)[:max(len(mine) - left[o, c], 0)])
+        assert any(left.values())
+        assert all(out[i] & out[j] for i, j in linked_pairs(sets_of(texts, size), percent))
+
+
+@pytest.mark.parametrize("limit", [3, 1 << 16])
+def test_shared_keys_are_counted_alike_in_all_their_rows(monkeypatch, limit):
+    monkeypatch.setattr(groups, "HOT_KEYS", limit)
+    rng = random.Random(limit)
+    rows = sorted([(k, rng.randrange(30)) for k in range(40) for _ in range(rng.choice((1, 2, 3, 20)))])
+    batches = []
+    low = 0
+    while low < len(rows):
+        some = rows[low:low + rng.randrange(1, 9)]
+        low += len(some)
+        columns = [pa.array([r[k] for r in some], pa.int64()) for k in (0, 1)]
+        batches.append(pa.RecordBatch.from_arrays(
+            columns + [pa.array([r[0] % 7 for r in some], pa.int32()),
+                       pa.array([r[1] % 5 for r in some], pa.int32())], names=list(groups.KEY_COLUMNS)))
+    nodes = collections.Counter(k for k, _ in set(rows))
+    want = [(k, v, k % 7, v % 5, min(nodes[k], limit)) for k, v in sorted(set(rows)) if nodes[k] > 1]
+    got = [tuple(r.values()) for b in groups._shared(batches) for r in b.to_pylist()]
+    assert got == want
+    assert list(groups._shared([])) == []
+
+
+def test_a_common_passage_joins_no_strangers(spark, monkeypatch):
+    """1,200 unlike texts with one passage, and near copies of some, meet only where they are near."""
+    rng = random.Random(21)
+    texts = with_passage(rng, [" ".join(str(rng.randrange(10**6)) for _ in range(rng.randrange(180, 220)))
+                               for _ in range(1200)])
+    for t in texts[:30]:
+        words = t.split()
+        words[rng.randrange(20, len(words))] = "x"
+        texts.append(" ".join(words))
+    found, components = [], groups.components
+
+    def counted(edges):
+        found.append(edges.count())
+        return components(edges)
+
+    monkeypatch.setattr(groups, "components", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    out = {r[0]: r[2] for r in trees_of_sets.jaccard_components(docs).collect()}
+    assert out == {i: i if i < 1200 else i - 1200 for i in range(len(texts))}
+    met, linked = found
+    assert linked == 30 and met < 60
+
+
+@pytest.mark.parametrize("hot", [4, 1 << 16])
+def test_passages_and_near_copies_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(groups, "HOT_KEYS", hot)
+    rng = random.Random(hot)
+    texts = with_passage(rng, families(rng, 30, (8, 20, 40, 100), 5)) + with_passage(
+        rng, families(rng, 20, (1, 5, 60), 9), 6)
+    texts += rng.sample(texts, 20)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = classes_of(len(texts), linked_pairs(sets_of(texts, 4)))
+    ours = {r[0]: r[2] for r in trees_of_sets.jaccard_components(docs).collect()}
+    assert [ours[i] for i in range(len(texts))] == want.tolist()

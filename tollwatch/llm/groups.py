@@ -3,12 +3,16 @@
 Texts are nodes, by a digest. ``meetings`` finds which nodes share a key, as
 edges of a forest: keys that many texts of a task have are folded there, so a
 hot key sends a few rows to the shuffle, not one for each text, and the texts
-that meet in a task go on as one. ``linked`` lays out the texts of each group of
-meeting nodes side by side and compares them in blocks inside tasks. A block
-gives a link for each of its texts at most, and a pair of blocks only links
-between the classes that each of them has by itself.
+that meet in a task go on as one. ``spared_meetings`` is for keys of which texts
+have more than they need: each leaves out those that most texts have, so that a
+passage in many unlike texts does not join them. ``linked`` lays out the texts
+of each group of meeting nodes side by side and compares them in blocks inside
+tasks. A block gives a link for each of its texts at most, and a pair of blocks
+only links between the classes that each of them has by itself.
 """
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
@@ -147,6 +151,92 @@ def meetings(docs, keys, text="text"):
     return components(met.distinct())
 
 
+def _unseen(batches):
+    """Batches without the rows of nodes that the task has had, as far as it remembers them."""
+    seen = set()
+    for batch in batches:
+        new = []
+        for i, node in enumerate(batch.column(0).to_pylist()):
+            if node not in seen:
+                new.append(i)
+                if len(seen) < HOT_KEYS:
+                    seen.add(node)
+        yield batch.take(pa.array(new, pa.int64()))
+
+
+KEY_COLUMNS = "key", "node", "kind", "free"
+KEY_TYPES = pa.int64(), pa.int64(), pa.int32(), pa.int32()
+KEY_ROW = "key long, node long, kind int, free int"
+
+
+def _spared_rows(keys):
+    def run(batches):
+        for batch, data, at in chunks(_unseen(batches), 1):
+            owner, key, kind, free = keys(data, at)
+            rows = key.view(np.int64), batch.column(0).to_numpy()[owner], kind, free
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(rows, KEY_TYPES, strict=True)], names=list(KEY_COLUMNS))
+    return run
+
+
+def _shared(batches):
+    """Rows of keys that several nodes have, each node once, and ``n``, the number of these nodes.
+
+    Rows come sorted. ``n`` is counted up to ``HOT_KEYS``; the rows of a key are
+    held until it is known, so that all of them get the same.
+    """
+    held, hot = [np.zeros(0, np.int64)] * 4, None
+    for batch in itertools.chain(batches, [None]):
+        rows = held
+        if batch is not None:
+            rows = [np.concatenate([x, c.to_numpy()]) for x, c in zip(held, batch.columns, strict=True)]
+        key, node = rows[:2]
+        if not len(key):
+            continue
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        rows = [x[new] for x in rows]
+        key = rows[0]
+        opens = np.ones(len(key), bool)
+        opens[1:] = key[1:] != key[:-1]
+        head = np.flatnonzero(opens)
+        size = np.diff(np.append(head, len(key)))
+        n = np.minimum(size, HOT_KEYS)
+        if key[0] == hot:
+            n[0] = HOT_KEYS  # its first rows are gone
+        ready = len(key) if batch is None else head[-1]
+        if batch is not None and n[-1] == HOT_KEYS:
+            hot, ready = key[-1], len(key) - 1
+        held = [x[ready:] for x in rows]
+        n = np.repeat(n, size)[:ready]
+        some = n > 1
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(x[:ready][some], kind) for x, kind in zip(rows, KEY_TYPES, strict=True)),
+             pa.array(n[some], pa.int32())], names=[*KEY_COLUMNS, "n"])
+
+
+def spared_meetings(docs, keys, text="text"):
+    """(node, root) of texts that share a key with another text, where some keys may be left out.
+
+    ``keys(data, at)`` gives text numbers, keys, the class of each key and how
+    many keys of that class its text may leave out. Each text leaves out those
+    that most texts have, ties by the key, so that a passage which many unlike
+    texts have in common does not join them. Only keys of several texts are
+    counted: the others stay, and join nothing.
+    """
+    source = docs.select(_short(F.col(text)).alias("node"), F.col(text).alias("text")).where(
+        F.col("text").isNotNull())
+    rows = source.mapInArrow(_spared_rows(keys), KEY_ROW)
+    shared = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(
+        _shared, f"{KEY_ROW}, n int")
+    most = Window.partitionBy("node", "kind").orderBy(F.desc("n"), "key")
+    kept = shared.withColumn("place", F.row_number().over(most)).where("place > free").select(
+        "key", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"))
+    met = kept.repartition("key").sortWithinPartitions("key", "a").mapInArrow(
+        _stars, "a long, b long")
+    return components(met.distinct())
+
+
 def overlaps(sets, i, j):
     """Elements in common of pairs of sets."""
     out = np.zeros(len(i), np.int64)
@@ -288,15 +378,16 @@ def _pair_rows(encode, compare):
     return run
 
 
-def linked(docs, keys, encode, compare, least_ratio, text="text"):
+def linked(docs, keys, encode, compare, least_ratio, text="text", meet=meetings):
     """(node, root) of texts linked by ``compare`` to another text, nodes as in ``node_of``.
 
     ``keys(data, at)`` gives the keys of some texts as text numbers and unsigned
-    64-bit keys; two texts that are to be linked must share one. ``encode(data,
-    at)`` gives the set of each text, and ``compare(sets, left)`` the label of
-    each set: the least number among the sets that it is linked to, among all
-    of them or, for ``left`` over 0, between the first ``left`` and the others.
-    Sets whose sizes have a ratio below ``least_ratio`` are never linked.
+    64-bit keys, or as ``meet`` asks for them, which makes groups of texts that
+    share keys; two texts that are to be linked must be in one group.
+    ``encode(data, at)`` gives the set of each text, and ``compare(sets, left)``
+    the label of each set: the least number among the sets that it is linked to,
+    among all of them or, for ``left`` over 0, between the first ``left`` and the
+    others. Sets whose sizes have a ratio below ``least_ratio`` are never linked.
 
     Groups that a task holds as one block are compared there. Of the others,
     those longer than a block or cut by the border of a task, each part is
@@ -304,7 +395,7 @@ def linked(docs, keys, encode, compare, least_ratio, text="text"):
     blocks are compared two by two where their sizes allow links, a block of
     several parts also with itself.
     """
-    met = meetings(docs, keys, text)
+    met = meet(docs, keys, text)
     source = docs.select(_short(F.col(text)).alias("short"), F.col(text).alias("text")).where(
         F.col("text").isNotNull())
     # copies of a text are one before the shuffle

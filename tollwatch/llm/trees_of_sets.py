@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 
 from tollwatch.llm.darts import shingles
-from tollwatch.llm.groups import labels_of, linked, node_of, overlaps
+from tollwatch.llm.groups import labels_of, linked, node_of, overlaps, spared_meetings
 from tollwatch.llm.words import LOWER, Texts, chunks, mix
 
 SHINGLE = 4
@@ -58,16 +58,20 @@ def _classes(longest, percent):
     return np.array(low), differing + 1 + spare, spare
 
 
-def part_keys(size=SHINGLE, percent=PERCENT):
-    """Function that gives the keys of texts: one for each part of their elements.
+def spared_keys(size=SHINGLE, percent=PERCENT):
+    """Function that gives the keys of texts, each with its class and how many may be left out.
 
     Two linked sets differ in at most ``k`` elements, where ``k`` follows from
     the class of the larger one; each set uses the parts of its own class and of
     those above that a partner may be in. Of ``k + 1 + e`` parts at least
     ``e + 1`` are equal. Parts without elements say nothing and give no key; a
     set with more than ``e`` of them has keys for the choices of ``e + 1``. That
-    is seldom from 80 percent on, where a part has some four elements or more;
+    is seldom from 80 percent on, where a part has some three elements or more;
     lower thresholds are refused.
+
+    Since ``e + 1`` parts are equal, a set may leave out as many as ``e`` in each
+    class, its empty parts among them, if all sets leave out those that are last
+    in one order of all parts: the first of the equal ones stays in both.
     """
     if percent < 80:
         raise ValueError("part keys need a threshold of 80 percent or more")
@@ -79,7 +83,7 @@ def part_keys(size=SHINGLE, percent=PERCENT):
         low, parts, spare = _classes(1 << int(sizes.max(initial=1)).bit_length(), percent)
         own = np.searchsorted(low, sizes, side="right") - 1
         spread, value = mix(h + np.uint64(1)), mix(h + np.uint64(2))
-        owners, found = [], []
+        owners, found, kinds, free = [], [], [], []
         step = 0
         while True:
             kind = np.minimum(own + step, len(parts) - 1)
@@ -100,9 +104,11 @@ def part_keys(size=SHINGLE, percent=PERCENT):
             part = np.arange(base[-1]) - base[owner]
             key = mix(total + mix(((kind[owner] << 32) + part).astype(np.uint64)))
             filled = count > 0
+            empty = np.bincount(owner[~filled], minlength=n)
             owners.append(owner[filled])
             found.append(key[filled])
-            empty = np.bincount(owner[~filled], minlength=n)
+            kinds.append(kind[owner[filled]])
+            free.append(np.maximum(spare[kind] - empty, 0)[owner[filled]])
             for d in np.flatnonzero(use & (empty > spare[kind])).tolist():
                 none = part[base[d]:base[d + 1]][~filled[base[d]:base[d + 1]]].tolist()
                 choices = list(itertools.combinations(none, int(spare[kind[d]]) + 1))
@@ -111,12 +117,21 @@ def part_keys(size=SHINGLE, percent=PERCENT):
                     named = mix(named + column + np.uint64(1))
                 owners.append(np.full(len(choices), d))
                 found.append(mix(named))
+                kinds.append(np.full(len(choices), kind[d]))
+                free.append(np.zeros(len(choices), np.int64))
         if not owners:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        return np.concatenate(owners), np.concatenate(found)
+            return (np.zeros(0, np.int64), np.zeros(0, np.uint64),
+                    np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return tuple(map(np.concatenate, (owners, found, kinds, free)))
     return keys
 
 
+def part_keys(size=SHINGLE, percent=PERCENT):
+    """Function that gives the keys of texts: one for each part of their elements, none left out."""
+    every = spared_keys(size, percent)
+    return lambda data, at: every(data, at)[:2]
+
+
 class Tree:
     """Bitmaps and size ranges of sets, level by level from the leaves up."""
 
@@ -234,8 +249,8 @@ def jaccard_components(docs, percent=PERCENT, size=SHINGLE, doc_id="doc_id", tex
     columns are not looked at. Shingles are compared by 64-bit hashes.
     """
     kind = dict(docs.dtypes)[doc_id]
-    roots = linked(docs, part_keys(size, percent), encoded(size), compared(percent), percent / 100,
-                   text)
+    roots = linked(docs, spared_keys(size, percent), encoded(size), compared(percent),
+                   percent / 100, text, spared_meetings)
     own = docs.select(F.col(doc_id), node_of(F.col(text)).alias("node"), F.col(text).alias("text"))
     own = own.mapInArrow(_sizes(size, doc_id), f"`{doc_id}` {kind}, node binary, n_shingles long")
     own = own.select(F.col(doc_id).alias("id"), "node", "n_shingles")
