@@ -307,3 +307,17 @@ def test_passages_and_near_copies_equal_brute_force(spark, monkeypatch, hot):
     want = classes_of(len(texts), linked_pairs(sets_of(texts, 4)))
     ours = {r[0]: r[2] for r in trees_of_sets.jaccard_components(docs).collect()}
     assert [ours[i] for i in range(len(texts))] == want.tolist()
+
+
+@pytest.mark.parametrize("n", [7, 15, 127, 255, 1023])
+def test_keys_do_not_hang_on_the_other_texts_of_a_chunk(n):
+    """A text has the keys of a longer partner's class when the partner is elsewhere."""
+    words = [str(k) for k in range(n + n // 6)]
+    for more in range(n // 6 + 1):
+        if 100 * n < 85 * (n + more):
+            continue
+        keys = []
+        for text in (" ".join(words[:n]), " ".join(words[:n + more])):
+            owner, key, kind, free = trees_of_sets.spared_keys(1)(*raw(pa.array([text], pa.large_string())))
+            keys.append(set(key.tolist()))
+        assert keys[0] & keys[1]

@@ -80,7 +80,8 @@ def spared_keys(size=SHINGLE, percent=PERCENT):
         doc, h = _sets(data, at, size)
         n = len(at) - 1
         sizes = np.bincount(doc, minlength=n)
-        low, parts, spare = _classes(1 << int(sizes.max(initial=1)).bit_length(), percent)
+        # up to the classes of partners that are longer than all texts here
+        low, parts, spare = _classes(2 << int(sizes.max(initial=1)).bit_length(), percent)
         own = np.searchsorted(low, sizes, side="right") - 1
         spread, value = mix(h + np.uint64(1)), mix(h + np.uint64(2))
         owners, found, kinds, free = [], [], [], []
