@@ -1,7 +1,9 @@
 """Groups of texts that meet, compared in blocks, against brute force."""
 
 import collections
+import os
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -321,3 +323,22 @@ def test_keys_do_not_hang_on_the_other_texts_of_a_chunk(n):
             owner, key, kind, free = trees_of_sets.spared_keys(1)(*raw(pa.array([text], pa.large_string())))
             keys.append(set(key.tolist()))
         assert keys[0] & keys[1]
+
+
+def test_files_of_the_meetings_are_gone_before_texts_are_sent(spark, monkeypatch):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def size():
+        names = manager.getAllFiles().mkString("\n").split("\n")
+        return sum(os.path.getsize(f) for f in names if os.path.isfile(f))
+
+    rng = random.Random(5)
+    docs = spark.createDataFrame(list(enumerate(families(rng, 300, (200, 300), 3))),
+                                 "doc_id long, text string")
+    before, released = [], groups.released
+    monkeypatch.setattr(groups, "released", lambda s: (before.append(size()), released(s)))
+    assert groups.spared_meetings(docs, trees_of_sets.spared_keys()).count() > 0
+    until = time.time() + 10  # they are deleted in the background
+    while size() > before[0] / 4 and time.time() < until:
+        time.sleep(0.1)
+    assert size() <= before[0] / 4

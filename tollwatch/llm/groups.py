@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Window
 
 from tollwatch.llm.words import chunks
-from tollwatch.session import checkpointed, written
+from tollwatch.session import checkpointed, released, written
 
 #: Texts and set elements of a block; a single longer text is a block of its own.
 BLOCK_TEXTS = 1024
@@ -234,7 +234,10 @@ def spared_meetings(docs, keys, text="text"):
         "key", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"))
     met = kept.repartition("key").sortWithinPartitions("key", "a").mapInArrow(
         _stars, "a long, b long")
-    return components(met.distinct())
+    found = components(met.distinct())
+    del rows, shared, kept, met
+    released(docs.sparkSession)
+    return found
 
 
 def overlaps(sets, i, j):

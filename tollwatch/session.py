@@ -1,5 +1,6 @@
 """Session settings and the shared folder for checkpoints and written tables."""
 
+import gc
 import os
 import tempfile
 import uuid
@@ -54,6 +55,15 @@ def checkpointed(df):
     return df.checkpoint()
 
 
+def released(spark):
+    """Have shuffle files deleted of frames that are gone.
+
+    Otherwise they stay until the driver happens to collect its garbage.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df, name):
     """Keep ``df`` as a table in the shared folder; readers get only the columns they use."""
     path = fresh_path(df.sparkSession, name)
